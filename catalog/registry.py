@@ -150,9 +150,9 @@ CTES: dict[str, str] = {
     "land_edges": "SELECT n_nationkey AS polygon_id, " + ", ".join(
         f"UNNEST([{', '.join(f'{centre}+({corner[axis]})' for corner in corners)}]) AS {name}"
         for name, centre, axis, corners in (
-            ("ax", _LON, 0, standin.LAND_CORNERS), ("ay", _LAT, 1, standin.LAND_CORNERS),
-            ("bx", _LON, 0, standin.LAND_CORNERS[1:] + standin.LAND_CORNERS[:1]),
-            ("by", _LAT, 1, standin.LAND_CORNERS[1:] + standin.LAND_CORNERS[:1]),
+            ("lon_a", _LON, 0, standin.LAND_CORNERS), ("lat_a", _LAT, 1, standin.LAND_CORNERS),
+            ("lon_b", _LON, 0, standin.LAND_CORNERS[1:] + standin.LAND_CORNERS[:1]),
+            ("lat_b", _LAT, 1, standin.LAND_CORNERS[1:] + standin.LAND_CORNERS[:1]),
         )) + " FROM nation",
     "footprints": f"SELECT build_id, longitude, latitude, longitude-{_HALF} AS lon_min, longitude+{_HALF} AS lon_max, "
     f"latitude-{_HALF} AS lat_min, latitude+{_HALF} AS lat_max FROM buildings",
@@ -169,8 +169,8 @@ CTES: dict[str, str] = {
     "permit_pairs": "SELECT build_id, permit_id, {distance} AS d FROM buildings f JOIN permits p "
     "ON p.latitude BETWEEN f.latitude-0.0005 AND f.latitude+0.0005 AND p.longitude BETWEEN f.longitude-0.0008 AND f.longitude+0.0008",
     "on_land": "SELECT * FROM prepared b WHERE build_id IN (SELECT build_id FROM ("
-    "SELECT b2.build_id, e.polygon_id, COUNT(*) AS crossings FROM buildings b2 JOIN land_edges e ON (ay>latitude)<>(by>latitude) "
-    "AND longitude < ax+(bx-ax)*((latitude-ay)/(by-ay)) GROUP BY b2.build_id, e.polygon_id) WHERE crossings%2=1)",
+    "SELECT b2.build_id, e.polygon_id, COUNT(*) AS crossings FROM buildings b2 JOIN land_edges e ON (lat_a>latitude)<>(lat_b>latitude) "
+    "AND longitude < lon_a+(lon_b-lon_a)*((latitude-lat_a)/(lat_b-lat_a)) GROUP BY b2.build_id, e.polygon_id) WHERE crossings%2=1)",
     "year_counts": "SELECT TRUNC(year_built) AS year, occ_cls, COUNT(*) AS n FROM prepared WHERE occ_cls IS NOT NULL GROUP BY 1,2",
     "banded": "SELECT *, CASE WHEN gfa<a33 THEN 'Small' WHEN gfa<a67 THEN 'Medium' ELSE 'Large' END AS area_cat, "
     "CASE WHEN height_used<h33 THEN 'Short' WHEN height_used<h67 THEN 'Mid' ELSE 'High' END AS height_cat, "

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 UNCLASSIFIED = "Unclassified"
 MISSING = "NaN (Missing)"
 UNKNOWN = "Unknown"
+WHITE_SPACE = " \t\n\r\x0b\x0c"
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def has_text(c: Column) -> Column:

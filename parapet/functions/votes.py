@@ -69,14 +69,17 @@ def tokens(text: Column) -> Column:
 
 def votes_for(found: Column, vote_type: str) -> Column:
     """Sum of the tokens of one vote type."""
-    mine = F.filter(found, lambda t: t["code"] == vote_type)
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, t: acc + t["votes"])
+    none = F.lit(0).cast("bigint")
+    return F.aggregate(found, none, lambda acc, t: acc + F.when(t["code"] == vote_type, t["votes"]).otherwise(none))
 
 
 def scores(found: Column) -> Column:
-    """array<struct<name,code,votes>>, one entry per candidate class."""
+    """array<struct<name,code,type,votes>>, one entry per candidate class."""
     return F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(code).alias("code"), votes_for(found, vote).alias("votes"))
+        F.struct(
+            F.lit(name).alias("name"), F.lit(code).alias("code"), F.lit(vote).alias("type"),
+            votes_for(found, vote).alias("votes"),
+        )
         for name, code, vote in CANDIDATES
     ])
 
@@ -94,20 +97,27 @@ def best(scored: Column) -> Column:
 
 
 def decide(text: Column) -> Column:
-    """struct<outcome,name,tie> for one vote text: changed, tie or none."""
+    """struct<outcome,name,tie,rule> for one vote text, parsed once.
+
+    ``outcome`` is changed, tie or none; ``rule`` is the mix rule that a winner implies.
+    """
 
-    def judged(winners: Column) -> Column:
+    def judged(found: Column, winners: Column) -> Column:
         count = F.size(winners)
+        first = F.get(winners, F.lit(0))
         return F.struct(
             F.when(count == 1, "changed").when(count > 1, "tie").otherwise("none").alias("outcome"),
-            F.when(count == 1, F.get(winners, F.lit(0))["name"]).alias("name"),
+            F.when(count == 1, first["name"]).alias("name"),
             F.when(count > 1, tie_key(winners)).alias("tie"),
+            F.when(count == 1, mix_rule(found, first["type"])).alias("rule"),
         )
 
     def winners(scored: Column) -> Column:
         return F.when(total_votes(scored) != 0, best(scored))
 
-    return bind(tokens(text), lambda found: bind(scores(found), lambda scored: bind(winners(scored), judged)))
+    return bind(tokens(text), lambda found: bind(
+        scores(found), lambda scored: bind(winners(scored), lambda chosen: judged(found, chosen))
+    ))
 
 
 def tie_key(winners: Column) -> Column:
@@ -116,48 +126,60 @@ def tie_key(winners: Column) -> Column:
     return F.array_join(F.array_sort(parts), ", ")
 
 
-def mix_code(found: Column, own: Column, current: Column) -> Column:
-    """The mix label from the positive votes: own type present or not, how many others."""
+def mix_rule(found: Column, own: Column) -> Column:
+    """Which mix label the positive votes imply, given the vote type of the class.
+
+    ``same`` when only the own type has votes, ``keep`` when nothing has.
+    """
     codes = F.array_distinct(F.transform(F.filter(found, lambda t: t["votes"] > 0), lambda t: t["code"]))
 
     def label(present: Column) -> Column:
-        has_own = F.exists(present, lambda code: code == own)
-        others = F.size(F.filter(present, lambda code: code != own))
+        has_own = F.coalesce(F.array_contains(present, own), F.lit(False))
+        others = F.size(present) - has_own.cast("int")
         return (
-            F.when(has_own & (others == 0), F.lit(None).cast("string"))
+            F.when(has_own & (others == 0), "same")
             .when(has_own, "MIX_SC2")
             .when(others == 1, "MIX_SC1")
             .when(others > 1, "MIX_SC3")
-            .otherwise(current)
+            .otherwise("keep")
         )
 
     return bind(codes, label)
 
 
+def apply_mix(rule: Column, current: Column) -> Column:
+    """The mix label after a rule; one type only is written as null."""
+    return F.when(rule == "same", F.lit(None).cast("string")).when(rule == "keep", current).otherwise(rule)
+
+
 def _whole_number(text: Column) -> Column:
     """Text to whole number, 0 when it is none (digits may be grouped by underscores)."""
     plain = F.regexp_replace(strip(text), r"(?<=\d)_(?=\d)", "")
     number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
-    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), number.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _last_of_each(pairs: Column) -> Column:
+    """Of entries with the same type keep the last; a list without repeats is left as it is."""
+    repeated = F.size(F.array_distinct(F.transform(pairs, lambda e: e["type"]))) < F.size(pairs)
+    last = F.filter(pairs, lambda e, i: ~F.exists(
+        F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda later: later["type"] == e["type"]
+    ))
+    return F.when(repeated, last).otherwise(pairs)
 
 
 def listed(text: Column) -> Column:
     """array<struct<type,points>> of a delimited list; of a repeated type the last entry stays."""
-    body = F.regexp_replace(strip(text), r"^[{}]+|[{}]+$", "")
+    body = F.btrim(strip(text), F.lit("{}"))
     parts = F.filter(F.split(F.replace(body, F.lit(";"), F.lit(",")), ","), lambda p: p.contains(":"))
     pairs = F.transform(
         parts,
         lambda p: F.struct(
             strip(F.substring_index(p, ":", 1)).alias("type"),
-            _whole_number(F.regexp_replace(p, r"(?s)^[^:]*:", "")).alias("points"),
+            _whole_number(p.substr(F.instr(p, ":") + 1, F.length(p))).alias("points"),
         ),
     )
-    return bind(pairs, lambda all_pairs: F.filter(
-        all_pairs,
-        lambda e, i: ~F.exists(
-            F.slice(all_pairs, i + 2, F.greatest(F.size(all_pairs), F.lit(1))), lambda later: later["type"] == e["type"]
-        ),
-    ))
+    return bind(pairs, _last_of_each)
 
 
 def listed_if_text(text: Column) -> Column:

@@ -10,9 +10,9 @@ from parapet.functions.text import UNCLASSIFIED, has_text, is_unclassified
 
 
 def vote_outcome(df: DataFrame) -> DataFrame:
-    """Add ``outcome`` (changed, tie, none), ``vote_class`` and ``tie`` for unclassified rows.
+    """Add ``outcome`` (changed, tie, none), ``vote_class``, ``tie`` and ``mix_rule`` for unclassified rows.
 
-    All three are null on rows that already have a class; their vote text is never parsed.
+    All are null on rows that already have a class; their vote text is never parsed.
     """
     is_open = is_unclassified(F.col("occ_cls"))
     judged = df.withColumn("_vote", F.when(is_open & has_text(F.col("occ_dict")), V.decide(F.col("occ_dict"))))
@@ -20,6 +20,7 @@ def vote_outcome(df: DataFrame) -> DataFrame:
         "outcome": F.when(is_open, F.coalesce(F.col("_vote.outcome"), F.lit("none"))),
         "vote_class": F.col("_vote.name"),
         "tie": F.col("_vote.tie"),
+        "mix_rule": F.col("_vote.rule"),
     }).drop("_vote")
 
 
@@ -37,15 +38,15 @@ def needs_mix(df: DataFrame) -> DataFrame:
 
 
 def recalculate_mix(resolved: DataFrame) -> DataFrame:
-    """Renew ``mix_sc`` of the rows that :func:`needs_mix` selects.
+    """Renew ``mix_sc`` of the rows that :func:`needs_mix` selects, from the rule found with the votes.
 
-    A null class counts as different from ``Unclassified``, but cannot occur together
-    with that original label.
+    Those are exactly the rows with that original label and a vote winner, so the vote text
+    need not be read again.
     """
-    eligible = (F.col("occ_cls_orig") == UNCLASSIFIED) & (F.col("occ_cls") != UNCLASSIFIED)
-    own = V.class_to_vote_type(F.col("occ_cls"))
-    renewed = V.bind(V.tokens(F.coalesce("occ_dict", F.lit(""))), lambda found: V.mix_code(found, own, F.col("mix_sc")))
-    return resolved.withColumn("mix_sc", F.when(eligible, renewed).otherwise(F.col("mix_sc")))
+    renewed = (F.col("occ_cls_orig") == UNCLASSIFIED) & F.col("mix_rule").isNotNull()
+    return resolved.withColumn(
+        "mix_sc", F.when(renewed, V.apply_mix(F.col("mix_rule"), F.col("mix_sc"))).otherwise(F.col("mix_sc"))
+    )
 
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:

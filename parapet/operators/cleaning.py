@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.functions.numbers import parse_number, percent
+from parapet.functions.numbers import as_number, percent
 from parapet.operators.quantiles import exact_quantiles
 from parapet.sources.schema import BUILDING_TYPES, ensure_columns
 
@@ -37,7 +37,7 @@ def valid_height() -> Column:
 
 def with_heights(df: DataFrame) -> DataFrame:
     """``height_num`` read from text, and ``height_used`` that falls back to the predicted height."""
-    measured, predicted = parse_number(F.col("height")), parse_number(F.col("pred_height"))
+    measured, predicted = as_number(df, "height"), as_number(df, "pred_height")
     return (
         df.withColumn("height_num", measured)
         .withColumn("height_used", F.when(F.col("height_num") > 0, F.col("height_num")).otherwise(predicted))
@@ -46,9 +46,14 @@ def with_heights(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """All filters; four predicates on one scan, no shuffle."""
-    prepared = with_heights(ensure_columns(df, BUILDING_TYPES))
-    return prepared.where(valid_year() & valid_area() & valid_raw_height() & valid_height())
+    """All filters on one scan, no shuffle.
+
+    Both height filters together say that the first known height is positive; said that way
+    the height text is read once per row.
+    """
+    full = ensure_columns(df, BUILDING_TYPES)
+    first_known = F.coalesce(as_number(full, "height"), as_number(full, "pred_height"))
+    return with_heights(full.where(valid_year() & valid_area() & (first_known > 0)))
 
 
 def outlier_threshold(df: DataFrame, column: str = "gfa") -> float | None:
@@ -103,7 +108,7 @@ def quality_checks(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     def counted(df: DataFrame, stage: str) -> DataFrame:
         return df.agg(
             F.count_if(F.col("gfa") < 0).alias("negative_gfa"),
-            F.count_if(parse_number(F.col("height")) < 0).alias("negative_height"),
+            F.count_if(as_number(df, "height") < 0).alias("negative_height"),
         ).select(F.lit(stage).alias("stage"), "*")
 
     return counted(raw, "raw").unionByName(counted(cleaned, "cleaned"))
@@ -126,7 +131,7 @@ def large_groups(df: DataFrame, by: str, more_than: int) -> DataFrame:
     The counts are partial aggregates; the surviving group labels are few, so the semi
     join is a broadcast one and the rows themselves never move.
     """
-    keep = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+    keep = df.groupBy(by).agg(F.count(by).alias("n")).where(F.col("n") > more_than)
     return df.join(keep.select(by), by, "left_semi")
 
 

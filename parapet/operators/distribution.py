@@ -20,11 +20,14 @@ MIX_NONE = "Same Type Only"
 
 
 def value_counts(df: DataFrame, column: str | Column, name: str = "value", keep_missing: bool = False) -> DataFrame:
-    """Rows per value; nulls are left out, or counted under a label of their own."""
+    """Rows per value; nulls are left out, or counted under a label of their own.
+
+    The null group is dropped by its count of non-null values after the aggregate: a filter
+    on the value itself would be pushed below and compute an expensive label twice.
+    """
     c = F.col(column) if isinstance(column, str) else column
     label = F.coalesce(c, F.lit(MISSING)) if keep_missing else c
-    counted = df.select(label.alias(name)).where(F.col(name).isNotNull())
-    return counted.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    return df.select(label.alias(name)).groupBy(name).agg(F.count(name).alias("n")).where(F.col("n") > 0)
 
 
 def by_frequency(counts: DataFrame, name: str, k: int | None = None) -> DataFrame:
@@ -35,8 +38,8 @@ def by_frequency(counts: DataFrame, name: str, k: int | None = None) -> DataFram
 
 def top_values(df: DataFrame, column: str, k: int, keep_null: bool = False) -> DataFrame:
     """The ``k`` most frequent values of a column: at most ``k`` rows, safe to broadcast."""
-    source = df if keep_null else df.where(F.col(column).isNotNull())
-    counts = source.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.count(F.lit(1)) if keep_null else F.count(column)
+    counts = df.groupBy(F.col(column).alias("value")).agg(size.alias("n")).where(F.col("n") > 0)
     return by_frequency(counts, "value", k)
 
 
@@ -78,8 +81,8 @@ def group_value_counts(
     The missing label is kept besides the top ``k``. One aggregate serves all groups, so a
     dominant group is pre-aggregated on the map side like any other.
     """
-    known = df.where(F.col(by).isNotNull())
-    counts = known.groupBy(by, F.coalesce(F.col(column), F.lit(MISSING)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    value = F.coalesce(F.col(column), F.lit(MISSING)).alias("value")
+    counts = df.groupBy(by, value).agg(F.count(by).alias("n")).where(F.col("n") > 0)
     if labels:
         listed = counts.select(by).distinct().select(by, F.explode(F.array(*[F.lit(x) for x in labels])).alias("value"))
         zeros = listed.withColumn("n", F.lit(0).cast("bigint"))

@@ -174,9 +174,8 @@ def flow_meta(df: DataFrame, top_classes: int = 12, top_soils: int = 15, group_o
 
 def class_use_links(df: DataFrame) -> DataFrame:
     """Class to primary use: (occ_cls, prim_occ, source, target, value)."""
-    counted = df.dropna("any", subset=["occ_cls", "prim_occ"]).groupBy("occ_cls", "prim_occ").agg(
-        F.count(F.lit(1)).alias("value")
-    )
+    both = F.col("occ_cls").isNotNull() & F.col("prim_occ").isNotNull()
+    counted = df.groupBy("occ_cls", "prim_occ").agg(F.count_if(both).alias("value"))
     use = F.when(F.col("prim_occ") == UNCLASSIFIED, F.concat(F.lit("Unclassified (from "), "occ_cls", F.lit(")")))
     return counted.where("value > 0").select(
         "occ_cls", "prim_occ",

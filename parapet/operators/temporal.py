@@ -21,8 +21,10 @@ def annual_series(cluster_rows: DataFrame) -> DataFrame:
 
 def yearly_counts(df: DataFrame) -> DataFrame:
     """Buildings per year and class."""
-    known = df.dropna("any", subset=["occ_cls", "year_built"])
-    return known.groupBy(truncate(F.col("year_built")).alias("year"), "occ_cls").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where("year_built IS NOT NULL").groupBy(truncate(F.col("year_built")).alias("year"), "occ_cls").agg(
+        F.count("occ_cls").alias("n")
+    )
+    return counts.where("n > 0")
 
 
 def normalised_series(df: DataFrame) -> DataFrame:
@@ -56,8 +58,8 @@ def historic_summary(df: DataFrame) -> DataFrame:
 
 def historic_classes(df: DataFrame) -> DataFrame:
     """Buildings before 1940 per class."""
-    old = df.where((F.col("year_built") < ERA_SPLIT) & F.col("occ_cls").isNotNull())
-    return old.groupBy("occ_cls").agg(F.count(F.lit(1)).alias("n"))
+    old = df.where(F.col("year_built") < ERA_SPLIT)
+    return old.groupBy("occ_cls").agg(F.count("occ_cls").alias("n")).where("n > 0")
 
 
 def decade_classes(df: DataFrame) -> DataFrame:
