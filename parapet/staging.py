@@ -25,9 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the frame that reads it."""
+def stage(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the frame that reads it.
+
+    ``spread_by`` names a unique column to spread the rows evenly by before writing: one
+    shuffle that pays when dozens of passes read the result.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if spread_by is not None:
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        df = df.repartition(files, spread_by)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
