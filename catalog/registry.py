@@ -239,7 +239,7 @@ def with_ctes(body: str) -> str:
             needed.add(name)
             todo.append(CTES[name])
     chosen = ", ".join(f"{name} AS ({sql})" for name, sql in CTES.items() if name in needed)
-    return f"WITH {chosen} {body}" if chosen else body
+    return f"WITH RECURSIVE {chosen} {body}" if chosen else body
 
 
 def _final(columns: tuple[tuple[str, str], ...], sql: str) -> str:
