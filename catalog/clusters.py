@@ -63,7 +63,7 @@ _define_fit("elbow_fit", "SELECT *, 'all' AS grp FROM prepared WHERE occ_cls IS
 _define_fit("few_fit", _ALL_AND_CLASS, clustering.NUMERIC, False, (2, 3, 4), clustering.PLAIN_MIN_ROWS)
 _define_fit("plain_fit", _ALL_AND_CLASS, clustering.NUMERIC, False, tuple(clustering.PLAIN_K), clustering.PLAIN_MIN_ROWS)
 
-add("m1_standardise", "build_id:n sqmeters_z:n height_used_z:n year_built_z:n", lambda c: clustering.standardise(c.cluster, clustering.NUMERIC),
+add("m1_standardise", "build_id:n sqmeters_z:n height_used_z:n year_built_z:n", lambda c: clustering.standardise(cleaning.cluster_table(c.staged), clustering.NUMERIC),
     "SELECT build_id, " + ", ".join(f"({x}-AVG({x}) OVER ())/STDDEV_POP({x}) OVER () AS {x}_z" for x in clustering.NUMERIC) + " FROM cluster_rows")
 
 
@@ -81,16 +81,16 @@ add("m2_one_hot", "build_id:n label:t hot:n", _one_hot, " UNION ALL ".join(
 
 
 def _library(c: Inputs):
-    labelled = clustering.library_kmeans(c.cluster, clustering.NUMERIC, ("occ_cls",), clustering.MAIN_K)
+    labelled = clustering.library_kmeans(cleaning.cluster_table(c.staged), clustering.NUMERIC, ("occ_cls",), clustering.MAIN_K)
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("sqmeters").alias("avg_sqmeters"))
 
 
 add("m3_library_kmeans", "cluster:n n:n avg_sqmeters:n", _library)
-add("m4_main_clusters", "pid:n cluster:n d2:n", lambda c: clustering.main_clusters(c.cluster).labels(), "SELECT pid, cluster, d2 FROM main_fit_labels")
+add("m4_main_clusters", "pid:n cluster:n d2:n", lambda c: clustering.main_clusters(cleaning.cluster_table(c.staged)).labels(), "SELECT pid, cluster, d2 FROM main_fit_labels")
 
 
 def _below_outliers(c: Inputs):
-    rows = cleaning.complete_cases(c.prepared.select("build_id", "occ_cls", "gfa", "year_built"))
+    rows = cleaning.complete_cases(c.staged.select("build_id", "occ_cls", "gfa", "year_built"))
     return cleaning.drop_outliers(rows)
 
 
@@ -102,12 +102,12 @@ _STATS = ("COUNT(*) AS n, AVG(sqmeters) AS avg_sqmeters, STDDEV_POP(sqmeters) AS
 _AREA = ", AVG(gfa) AS avg_gfa, STDDEV_POP(gfa) AS std_gfa"
 _STAT_COLUMNS = "n:n avg_sqmeters:n std_sqmeters:n avg_height:n std_height:n avg_year:n std_year:n"
 add("m6_class_clusters", f"grp:t k:n cluster:n {_STAT_COLUMNS} avg_gfa:n std_gfa:n",
-    lambda c: clustering.cluster_stats(clustering.plain_clusters(c.prepared).labels(), with_area=True),
+    lambda c: clustering.cluster_stats(clustering.plain_clusters(c.staged).labels(), with_area=True),
     f"SELECT grp, k, cluster, {_STATS}{_AREA} FROM plain_fit_labels GROUP BY grp, k, cluster")
 
 
 def _feature_report(c: Inputs):
-    labels = clustering.feature_clusters(c.prepared).labels()
+    labels = clustering.feature_clusters(c.staged).labels()
     key = ["grp", "combo", "k", "cluster"]
     stats = clustering.cluster_stats(labels).join(clustering.dominant_features(labels), key, "left")
     return stats.join(clustering.wcss(labels).drop("n"), key[:3])
@@ -117,7 +117,7 @@ add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominan
 
 
 def _sample_labels(c: Inputs):
-    sample = sampling.stratified_sample(sampling.sample_base(c.prepared))
+    sample = sampling.stratified_sample(sampling.sample_base(c.staged))
     return clustering.sample_clusters(sample).labels()
 
 
@@ -146,7 +146,7 @@ def _mode(column: str, combos: str) -> str:
 add("m9_dominant_features", "combo:t cluster:n dominant_material:t dominant_foundation:t", lambda c: clustering.dominant_features(_fixed_labels(c)),
     f"SELECT m.combo, m.cluster, m.material_type AS dominant_material, f.foundation_type AS dominant_foundation FROM ({_mode('material_type', chr(39) + 'both' + chr(39) + ', ' + chr(39) + 'material' + chr(39))}) m "
     f"LEFT JOIN ({_mode('foundation_type', chr(39) + 'both' + chr(39))}) f ON m.combo=f.combo AND m.cluster=f.cluster")
-add("m10_batched_models", "grp:t k:n pid:n cluster:n d2:n", lambda c: clustering.plain_clusters(c.prepared, (2, 3, 4)).labels(),
+add("m10_batched_models", "grp:t k:n pid:n cluster:n d2:n", lambda c: clustering.plain_clusters(c.staged, (2, 3, 4)).labels(),
     "SELECT grp, k, pid, cluster, d2 FROM few_fit_labels")
 
 
@@ -173,16 +173,16 @@ def _aligned(c: Inputs):
 add("j2_align_labels", "build_id:n occ_cls:t cluster:n", _aligned,
     "SELECT p.build_id, p.occ_cls, CASE WHEN c.build_id IS NOT NULL THEN p.build_id%7 END AS cluster FROM prepared p LEFT JOIN cluster_rows c USING (build_id)")
 add("a30_cluster_analysis", "cluster:n n:n most_common_occ:t area_mean:n area_median:n area_std:n year_mean:n year_median:n year_std:n",
-    lambda c: clustering.cluster_analysis(clustering.main_clusters(c.cluster).labels()),
+    lambda c: clustering.cluster_analysis(clustering.main_clusters(cleaning.cluster_table(c.staged)).labels()),
     "SELECT l.cluster, COUNT(*) AS n, any_value(m.occ_cls) AS most_common_occ, AVG(gfa) AS area_mean, quantile_cont(gfa,0.5) AS area_median, COALESCE(STDDEV_SAMP(gfa),0) AS area_std, "
     "TRUNC(AVG(year_built)) AS year_mean, TRUNC(quantile_cont(year_built,0.5)) AS year_median, COALESCE(STDDEV_SAMP(year_built),0) AS year_std FROM main_fit_labels l JOIN ("
     "SELECT cluster, occ_cls FROM (SELECT cluster, occ_cls, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY COUNT(*) DESC, occ_cls) AS r FROM main_fit_labels GROUP BY 1,2) WHERE r=1) m ON l.cluster=m.cluster GROUP BY l.cluster")
-add("d17_cluster_shares", "cluster:n n:n share:n", lambda c: clustering.cluster_shares(clustering.main_clusters(c.cluster).labels()),
+add("d17_cluster_shares", "cluster:n n:n share:n", lambda c: clustering.cluster_shares(clustering.main_clusters(cleaning.cluster_table(c.staged)).labels()),
     "SELECT cluster, COUNT(*) AS n, COUNT(*)/SUM(COUNT(*)) OVER () AS share FROM main_fit_labels GROUP BY cluster")
 
 
 def _enhanced_sample(c: Inputs):
-    sample = sampling.random_sample(sampling.sample_base(c.prepared))
+    sample = sampling.random_sample(sampling.sample_base(c.staged))
     return clustering.sample_label_columns(clustering.sample_clusters(sample), sample)
 
 

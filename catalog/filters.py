@@ -38,7 +38,7 @@ def _outliers(c):
 add("f7_outlier_count", "outliers:n n:n threshold:n", _outliers,
     f"SELECT COUNT(*) FILTER (WHERE gfa>t) AS outliers, COUNT(*) AS n, MIN(t) AS threshold FROM buildings, "
     f"(SELECT quantile_cont(gfa, 0.99999) AS t FROM buildings WHERE {_AREA}) WHERE {_AREA}")
-add("f8_drop_outliers", "build_id:n gfa:n", lambda c: cleaning.drop_outliers(c.cluster),
+add("f8_drop_outliers", "build_id:n gfa:n", lambda c: cleaning.drop_outliers(cleaning.cluster_table(c.staged)),
     "SELECT build_id, gfa FROM cluster_rows WHERE gfa < (SELECT quantile_cont(gfa, 0.99999) FROM cluster_rows)")
 add("f9_complete_cases", "build_id:n " + " ".join(f"{x}:{'t' if x in ('occ_cls', 'material_type', 'foundation_type') else 'n'}" for x in CLUSTER_COLUMNS),
     lambda c: c.cluster, "SELECT * FROM cluster_rows")
@@ -84,9 +84,9 @@ add("f16_quality_checks", "stage:t negative_gfa:n negative_height:n", lambda c:
     "SELECT 'cleaned', COUNT(*) FILTER (WHERE gfa<0), COUNT(*) FILTER (WHERE height_num<0) FROM cleaned")
 add("f17_sample_projection", "build_id:n gfa:n sqmeters:n height_used:n pred_height:n year_built:n occ_cls:t material_type:t foundation_type:t "
     "assumed_height:n drainagecl:t flodfreqcl:t eng_class:t wtdepannmin:n compname:t longitude:n latitude:n",
-    lambda c: sampling.sample_base(c.prepared), "SELECT * FROM sample_rows")
+    lambda c: sampling.sample_base(c.staged), "SELECT * FROM sample_rows")
 add("f18_map_points", "build_id:n lon:n lat:n occupancy:t year_built:n area:n drainage:t flooding:t eng_property:t water_table:n compname:t",
-    lambda c: sampling.map_points(c.prepared),
+    lambda c: sampling.map_points(c.staged),
     "SELECT build_id, longitude AS lon, latitude AS lat, occ_cls AS occupancy, TRUNC(year_built) AS year_built, gfa AS area, drainagecl AS drainage, "
     "flodfreqcl AS flooding, eng_class AS eng_property, wtdepannmin AS water_table, compname FROM "
     "(SELECT * FROM prepared ORDER BY md5(build_id || '#337'), build_id LIMIT 75000) WHERE longitude IS NOT NULL AND latitude IS NOT NULL")

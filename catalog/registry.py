@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.operators import cleaning
+from parapet.operators.sampling import SAMPLE_COLUMNS
 from parapet.plans import buildings as plan
 from parapet.sources import standin
+from parapet.staging import stage
 
 DECIMALS = 6
+# What multi-pass reports read: the sample columns and the labels of the flow reports.
+STAGED_COLUMNS = (*SAMPLE_COLUMNS, "prim_occ", "mix_sc")
 
 
 class Inputs:
@@ -58,6 +62,11 @@ class Inputs:
     def cluster(self) -> DataFrame:
         return cleaning.cluster_table(self.prepared)
 
+    @cached_property
+    def staged(self) -> DataFrame:
+        """The prepared table written once, for reports that need several passes over it."""
+        return stage(self.prepared.select(*STAGED_COLUMNS), "prepared")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("clf", "shoreline", "nsi_points", "permits", "soil_components", "land_polygons"):
             return getattr(standin, name)(self.spark, self.folder)

@@ -58,7 +58,7 @@ add("t5_crosstab_axes", "era:t axis:t label:t position:n",
 _SHARES = ("SELECT COALESCE({0},'NaN (Missing)') AS value, COUNT(*) AS n, 100.0*COUNT(*)/(SELECT COUNT(*) FROM prepared) AS pct FROM prepared GROUP BY 1")
 add("a13_drainage", "value:t n:n pct:n", lambda c: distribution.value_shares(c.prepared, "drainagecl"), _SHARES.format("drainagecl"))
 add("a14_flooding", "value:t n:n pct:n", lambda c: distribution.value_shares(c.prepared, "flodfreqcl"), _SHARES.format("flodfreqcl"))
-add("a15_water_table", "mean:n median:n std:n min:n max:n q25:n q75:n", lambda c: soil.water_table_stats(c.prepared),
+add("a15_water_table", "mean:n median:n std:n min:n max:n q25:n q75:n", lambda c: soil.water_table_stats(c.staged),
     "SELECT AVG(wtdepannmin) AS mean, quantile_cont(wtdepannmin,0.5) AS median, STDDEV_SAMP(wtdepannmin) AS std, MIN(wtdepannmin) AS min, MAX(wtdepannmin) AS max, "
     "quantile_cont(wtdepannmin,0.25) AS q25, quantile_cont(wtdepannmin,0.75) AS q75 FROM prepared")
 add("a16_engineering", "value:t n:n pct:n", lambda c: distribution.value_shares(c.prepared, "eng_class", ENG_LABELS), _SHARES.format("eng_class"))
@@ -71,7 +71,7 @@ add("a17_soil_components", "value:t n:n pct:n total_unique:n top_coverage:n", la
 
 def _soil_by_class(c: Inputs):
     parts = [
-        distribution.group_value_counts(c.prepared, "occ_cls", column, **options).withColumn("what", F.lit(what))
+        distribution.group_value_counts(c.staged, "occ_cls", column, **options).withColumn("what", F.lit(what))
         for what, column, options in (
             ("drainage", "drainagecl", {}), ("flooding", "flodfreqcl", {}),
             ("engineering", "eng_class", {"labels": ENG_LABELS}), ("components", "compname", {"top_k": soil.TOP_COMPONENTS_PER_CLASS}),
@@ -90,7 +90,7 @@ _ENG = ("SELECT 'engineering' AS what, k.occ_cls, l.value, COUNT(p.build_id) AS
         f"SELECT 'engineering', occ_cls, 'NaN (Missing)', COUNT(*) {_KNOWN} AND eng_class IS NULL GROUP BY occ_cls")
 add("a18_soil_by_class", "what:t occ_cls:t value:t n:n", _soil_by_class,
     f"{_by_class('drainage', 'drainagecl')} UNION ALL {_by_class('flooding', 'flodfreqcl')} UNION ALL {_ENG} UNION ALL {_TOP10}")
-add("a18_water_by_class", "occ_cls:t mean:n median:n std:n", lambda c: soil.water_table_by_class(c.prepared),
+add("a18_water_by_class", "occ_cls:t mean:n median:n std:n", lambda c: soil.water_table_by_class(c.staged),
     f"SELECT occ_cls, AVG(wtdepannmin) AS mean, quantile_cont(wtdepannmin,0.5) AS median, STDDEV_SAMP(wtdepannmin) AS std {_KNOWN} AND wtdepannmin IS NOT NULL GROUP BY occ_cls")
 _RISK = "(drainagecl IN ('Poorly drained','Very poorly drained') OR flodfreqcl='High')"
 add("a19_risk_summary", "high_risk_count:n high_risk_percentage:n high_risk_avg_year:n high_risk_total_area:n", lambda c: soil.risk_summary(c.prepared),
@@ -114,8 +114,8 @@ add("a23_mix_recalculated", "mix_sc_recalculated:n", lambda c: classes.needs_mix
 
 # --- flows --------------------------------------------------------------------------------
 def _links(c: Inputs):
-    edges = flows.terciles(c.prepared)
-    return flows.hierarchy_links(flows.hierarchy_cube(c.prepared, edges))
+    edges = flows.terciles(c.staged)
+    return flows.hierarchy_links(flows.hierarchy_cube(c.staged, edges))
 
 
 _PAIR = "step:n source:t target:t value:n"
@@ -201,10 +201,10 @@ add("t4_sorted_classes", "classes:t",
     "SELECT string_agg(occ_cls, '|' ORDER BY occ_cls) AS classes FROM (SELECT DISTINCT occ_cls FROM prepared WHERE occ_cls IS NOT NULL)")
 
 # --- samples ------------------------------------------------------------------------------
-add("p1_random_sample", "build_id:n gfa:n", lambda c: sampling.random_sample(sampling.sample_base(c.prepared)), "SELECT build_id, gfa FROM random_rows")
-add("p1_random_sample_2500", "build_id:n gfa:n", lambda c: sampling.random_sample(sampling.sample_base(c.prepared), 2500),
+add("p1_random_sample", "build_id:n gfa:n", lambda c: sampling.random_sample(sampling.sample_base(c.staged)), "SELECT build_id, gfa FROM random_rows")
+add("p1_random_sample_2500", "build_id:n gfa:n", lambda c: sampling.random_sample(sampling.sample_base(c.staged), 2500),
     "SELECT build_id, gfa FROM sample_rows ORDER BY hkey, build_id LIMIT 2500")
-add("p2_stratified_sample", "build_id:n occ_cls:t", lambda c: sampling.stratified_sample(sampling.sample_base(c.prepared)), "SELECT build_id, occ_cls FROM balanced_rows")
+add("p2_stratified_sample", "build_id:n occ_cls:t", lambda c: sampling.stratified_sample(sampling.sample_base(c.staged)), "SELECT build_id, occ_cls FROM balanced_rows")
 
 # --- annual views -------------------------------------------------------------------------
 add("d9_normalised_series", "year:n occ_cls:t n:n share:n", lambda c: temporal.normalised_series(c.prepared),
@@ -231,5 +231,5 @@ add("d14_area_weighted", "occ_cls:t year_built_weighted:n height_used_weighted:n
     f"SUM(wtdepannmin*gfa)/SUM(CASE WHEN wtdepannmin IS NOT NULL THEN gfa END) AS wtdepannmin_weighted {_KNOWN} GROUP BY occ_cls")
 add("d15_material_evolution", "year:n material_type:t n:n total_area:n", lambda c: temporal.material_evolution(c.prepared),
     "SELECT TRUNC(year_built) AS year, material_type, COUNT(*) AS n, SUM(gfa) AS total_area FROM prepared WHERE year_built>=1940 AND year_built<2025 AND material_type IS NOT NULL GROUP BY 1,2")
-add("d16_risk_points", "build_id:n lon:n lat:n occ_cls:t high_risk:b", lambda c: sampling.risk_points(c.prepared),
+add("d16_risk_points", "build_id:n lon:n lat:n occ_cls:t high_risk:b", lambda c: sampling.risk_points(c.staged),
     f"SELECT build_id, longitude AS lon, latitude AS lat, occ_cls, COALESCE({_RISK},FALSE) AS high_risk FROM (SELECT * FROM prepared ORDER BY md5(build_id || '#337'), build_id LIMIT 75000) WHERE longitude IS NOT NULL AND latitude IS NOT NULL")

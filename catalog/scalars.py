@@ -41,13 +41,13 @@ _ODD_TEXT = "CASE k%4 WHEN 0 THEN LOWER(occ_dict) WHEN 1 THEN CONCAT(REPLACE(occ
 
 def _tokens(c):
     odd = c.raw.selectExpr("build_id", f"{_ODD_TEXT} AS t").where("t IS NOT NULL")
-    found = odd.withColumn("found", V.tokens(F.col("t")))
-    return found.select("build_id", *[V.votes_for(F.col("found"), x).alias(x.lower()) for x in standin.VOTE_ORDER])
+    found = odd.withColumn("found", V.tokens("t"))
+    return found.select("build_id", *[V.votes_for("found", x).alias(x.lower()) for x in standin.VOTE_ORDER])
 
 
 def _listed(c):
     odd = c.raw.selectExpr("build_id", f"{_ODD_TEXT} AS t").where("t IS NOT NULL")
-    return odd.select("build_id", F.inline(V.listed(F.col("t")))).withColumnRenamed("type", "vote_type")
+    return odd.select("build_id", F.inline(V.listed("t"))).withColumnRenamed("type", "vote_type")
 
 
 _COUNT = {x: f"CAST(regexp_extract(occ_dict, '{x}: ([0-9]+)', 1) AS BIGINT)" for x in standin.VOTE_ORDER}

@@ -43,7 +43,7 @@ add("s5_json_records", "build_id:n occ_cls:t material_type:t year_built:n latitu
 
 def sample_chunks(c: Inputs):
     """The random and the balanced sample, each numbered and cut into chunks."""
-    base = sampling.sample_base(c.prepared)
+    base = sampling.sample_base(c.staged)
     random = sampling.random_sample(base).withColumn("type", F.lit("random"))
     balanced = sampling.stratified_sample(base).withColumn("type", F.lit("balanced"))
     return sampling.chunked(random.unionByName(balanced), by="type")

@@ -3,18 +3,21 @@
 Two readings exist because two reports define them differently: the *token* reading
 (any ``ABC: number`` found anywhere, repeated codes added up) decides the class, the
 *list* reading (comma separated pairs, the last repeat wins) feeds the vote flow.
-Everything is a column expression: no shuffle, no Python.
+Everything is one SQL expression per function: no shuffle, no Python in the tasks. The
+functions take the name of the text column.
+
+``bind`` evaluates a value once per row and names it. Inside a lambda body Spark does not
+share repeated expressions, so a parsed list mentioned twice would be parsed twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parapet.functions.text import has_text, strip
+from parapet.functions.text import has_text
 
 # The vote token pattern, and class, code and vote type of each candidate.
 VOTE_TOKEN = r"(?i)([A-Z]{3})\s*:\s*(-?\d+(\.\d+)?)"
@@ -29,15 +32,6 @@ CANDIDATES = (
 )
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` mentions it.
-
-    A lambda body is not subject to common subexpression elimination, so an expression
-    repeated in one would be computed again for every array element.
-    """
-    return F.transform(F.array(value), use)[0]
-
-
 def _literal_map(pairs: list[tuple[str, str]]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
 
@@ -54,97 +48,84 @@ def class_to_vote_type(c: Column) -> Column:
     return F.try_element_at(_literal_map([(name, vote) for name, _, vote in CANDIDATES]), c)
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<code,votes>> of every token, in order, votes cut toward zero."""
-    found = F.regexp_extract_all(text, F.lit(VOTE_TOKEN), F.lit(0))
-    parsed = F.transform(
-        found,
-        lambda t: F.struct(
-            F.upper(F.substring(t, 1, 3)).alias("code"),
-            F.substring_index(t, ":", -1).try_cast("double").try_cast("bigint").alias("votes"),
-        ),
+def _bind(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+# --- the token reading ----------------------------------------------------------------------
+def _tokens(column: str) -> str:
+    parsed = (
+        "named_struct('code', upper(substr(t, 1, 3)), "
+        "'votes', try_cast(try_cast(substring_index(t, ':', -1) AS DOUBLE) AS BIGINT))"
     )
-    return F.filter(parsed, lambda t: t["votes"].isNotNull())
+    return f"filter(transform(regexp_extract_all({column}, r'{VOTE_TOKEN}', 0), t -> {parsed}), t -> t.votes IS NOT NULL)"
 
 
-def votes_for(found: Column, vote_type: str) -> Column:
-    """Sum of the tokens of one vote type."""
-    none = F.lit(0).cast("bigint")
-    return F.aggregate(found, none, lambda acc, t: acc + F.when(t["code"] == vote_type, t["votes"]).otherwise(none))
+def _votes_for(found: str, vote_type: str) -> str:
+    return f"aggregate({found}, 0L, (total, t) -> total + IF(t.code = '{vote_type}', t.votes, 0L))"
 
 
-def scores(found: Column) -> Column:
-    """array<struct<name,code,type,votes>>, one entry per candidate class."""
-    return F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.lit(code).alias("code"), F.lit(vote).alias("type"),
-            votes_for(found, vote).alias("votes"),
-        )
+def _scores(found: str) -> str:
+    """One struct<name,code,type,votes> per candidate."""
+    entries = [
+        f"named_struct('name', '{name}', 'code', '{code}', 'type', '{vote}', 'votes', {_votes_for(found, vote)})"
         for name, code, vote in CANDIDATES
-    ])
+    ]
+    return f"array({', '.join(entries)})"
 
 
-def total_votes(scored: Column) -> Column:
-    return F.aggregate(scored, F.lit(0).cast("bigint"), lambda acc, s: acc + s["votes"])
+def _winners(scored: str) -> str:
+    """The candidates that share the highest vote; null when all votes add up to zero."""
+    top = _bind("top", f"array_max(transform({scored}, s -> s.votes))", f"filter({scored}, s -> s.votes = top)")
+    return f"IF(aggregate({scored}, 0L, (total, s) -> total + s.votes) <> 0, {top}, NULL)"
 
 
-def best(scored: Column) -> Column:
-    """The candidates that share the highest vote."""
-    return bind(
-        F.array_max(F.transform(scored, lambda s: s["votes"])),
-        lambda top: F.filter(scored, lambda s: s["votes"] == top),
-    )
+def _tie(winners: str) -> str:
+    """``C:1, R:1`` with the codes in order."""
+    return f"array_join(array_sort(transform({winners}, s -> concat(s.code, ':', CAST(s.votes AS STRING)))), ', ')"
 
 
-def decide(text: Column) -> Column:
-    """struct<outcome,name,tie,rule> for one vote text, parsed once.
+def _mix_rule(found: str, own: str) -> str:
+    """Which mix label the positive votes imply, given the vote type of the class.
 
-    ``outcome`` is changed, tie or none; ``rule`` is the mix rule that a winner implies.
+    ``same`` when only the own type has votes, ``keep`` when nothing has.
     """
+    codes = f"array_distinct(transform(filter({found}, t -> t.votes > 0), t -> t.code))"
+    has_own = f"array_contains(codes, {own})"
+    label = (
+        f"CASE WHEN {has_own} AND size(codes) = 1 THEN 'same' WHEN {has_own} THEN 'MIX_SC2' "
+        "WHEN size(codes) = 1 THEN 'MIX_SC1' WHEN size(codes) > 1 THEN 'MIX_SC3' ELSE 'keep' END"
+    )
+    return _bind("codes", codes, label)
 
-    def judged(found: Column, winners: Column) -> Column:
-        count = F.size(winners)
-        first = F.get(winners, F.lit(0))
-        return F.struct(
-            F.when(count == 1, "changed").when(count > 1, "tie").otherwise("none").alias("outcome"),
-            F.when(count == 1, first["name"]).alias("name"),
-            F.when(count > 1, tie_key(winners)).alias("tie"),
-            F.when(count == 1, mix_rule(found, first["type"])).alias("rule"),
-        )
 
-    def winners(scored: Column) -> Column:
-        return F.when(total_votes(scored) != 0, best(scored))
+def tokens(column: str) -> Column:
+    """array<struct<code,votes>> of every token, in order, votes cut toward zero."""
+    return F.expr(_tokens(column))
 
-    return bind(tokens(text), lambda found: bind(
-        scores(found), lambda scored: bind(winners(scored), lambda chosen: judged(found, chosen))
-    ))
 
+def votes_for(found: str, vote_type: str) -> Column:
+    """Sum of the tokens of one vote type; ``found`` names a column made by :func:`tokens`."""
+    return F.expr(_votes_for(found, vote_type))
 
-def tie_key(winners: Column) -> Column:
-    """``C:1, R:1`` for two or more winners, codes in order."""
-    parts = F.transform(winners, lambda s: F.concat(s["code"], F.lit(":"), s["votes"].cast("string")))
-    return F.array_join(F.array_sort(parts), ", ")
 
+def mix_rule(found: str, own: str) -> Column:
+    return F.expr(_mix_rule(found, own))
 
-def mix_rule(found: Column, own: Column) -> Column:
-    """Which mix label the positive votes imply, given the vote type of the class.
 
-    ``same`` when only the own type has votes, ``keep`` when nothing has.
-    """
-    codes = F.array_distinct(F.transform(F.filter(found, lambda t: t["votes"] > 0), lambda t: t["code"]))
-
-    def label(present: Column) -> Column:
-        has_own = F.coalesce(F.array_contains(present, own), F.lit(False))
-        others = F.size(present) - has_own.cast("int")
-        return (
-            F.when(has_own & (others == 0), "same")
-            .when(has_own, "MIX_SC2")
-            .when(others == 1, "MIX_SC1")
-            .when(others > 1, "MIX_SC3")
-            .otherwise("keep")
-        )
+def decide(column: str) -> Column:
+    """struct<outcome,name,tie,rule> for one vote text, parsed once.
 
-    return bind(codes, label)
+    ``outcome`` is changed, tie or none; ``rule`` is the mix rule that a winner implies.
+    """
+    one, several = "size(winners) = 1", "size(winners) > 1"
+    verdict = (
+        f"named_struct('outcome', CASE WHEN {one} THEN 'changed' WHEN {several} THEN 'tie' ELSE 'none' END, "
+        f"'name', IF({one}, winners[0].name, NULL), 'tie', IF({several}, {_tie('winners')}, NULL), "
+        f"'rule', IF({one}, {_mix_rule('found', 'winners[0].type')}, NULL))"
+    )
+    judged = _bind("scored", _scores("found"), _bind("winners", _winners("scored"), verdict))
+    return F.expr(_bind("found", _tokens(column), judged))
 
 
 def apply_mix(rule: Column, current: Column) -> Column:
@@ -152,35 +133,28 @@ def apply_mix(rule: Column, current: Column) -> Column:
     return F.when(rule == "same", F.lit(None).cast("string")).when(rule == "keep", current).otherwise(rule)
 
 
-def _whole_number(text: Column) -> Column:
-    """Text to whole number, 0 when it is none (digits may be grouped by underscores)."""
-    plain = F.regexp_replace(strip(text), r"(?<=\d)_(?=\d)", "")
-    number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
-    return F.coalesce(text.try_cast("bigint"), number.try_cast("bigint"), F.lit(0).cast("bigint"))
+# --- the list reading -----------------------------------------------------------------------
+_SPACE = r"' \t\n\r\u000B\u000C'"
+_NUMBER = r"r'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
 
 
-def _last_of_each(pairs: Column) -> Column:
-    """Of entries with the same type keep the last; a list without repeats is left as it is."""
-    repeated = F.size(F.array_distinct(F.transform(pairs, lambda e: e["type"]))) < F.size(pairs)
-    last = F.filter(pairs, lambda e, i: ~F.exists(
-        F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda later: later["type"] == e["type"]
-    ))
-    return F.when(repeated, last).otherwise(pairs)
+def _whole_number(text: str) -> str:
+    """Text to whole number, 0 when it is none (digits may be grouped by underscores)."""
+    plain = f"regexp_replace(btrim({text}, {_SPACE}), r'(?<=\\d)_(?=\\d)', '')"
+    number = f"IF({plain} RLIKE {_NUMBER}, try_cast({plain} AS DOUBLE), NULL)"
+    return f"coalesce(try_cast({text} AS BIGINT), try_cast({number} AS BIGINT), 0L)"
 
 
-def listed(text: Column) -> Column:
+def listed(column: str) -> Column:
     """array<struct<type,points>> of a delimited list; of a repeated type the last entry stays."""
-    body = F.btrim(strip(text), F.lit("{}"))
-    parts = F.filter(F.split(F.replace(body, F.lit(";"), F.lit(",")), ","), lambda p: p.contains(":"))
-    pairs = F.transform(
-        parts,
-        lambda p: F.struct(
-            strip(F.substring_index(p, ":", 1)).alias("type"),
-            _whole_number(p.substr(F.instr(p, ":") + 1, F.length(p))).alias("points"),
-        ),
-    )
-    return bind(pairs, _last_of_each)
+    body = f"btrim(btrim({column}, {_SPACE}), '{{}}')"
+    parts = f"filter(split(replace({body}, ';', ','), ','), p -> contains(p, ':'))"
+    points = _whole_number("substr(p, instr(p, ':') + 1)")
+    pairs = f"transform({parts}, p -> named_struct('type', btrim(substring_index(p, ':', 1), {_SPACE}), 'points', {points}))"
+    later = "exists(slice(pairs, i + 2, greatest(size(pairs), 1)), o -> o.type = e.type)"
+    repeated = "size(array_distinct(transform(pairs, e -> e.type))) < size(pairs)"
+    return F.expr(_bind("pairs", pairs, f"IF({repeated}, filter(pairs, (e, i) -> NOT {later}), pairs)"))
 
 
-def listed_if_text(text: Column) -> Column:
-    return F.when(has_text(text), listed(text))
+def listed_if_text(column: str) -> Column:
+    return F.when(has_text(F.col(column)), listed(column))

@@ -15,7 +15,7 @@ def vote_outcome(df: DataFrame) -> DataFrame:
     All are null on rows that already have a class; their vote text is never parsed.
     """
     is_open = is_unclassified(F.col("occ_cls"))
-    judged = df.withColumn("_vote", F.when(is_open & has_text(F.col("occ_dict")), V.decide(F.col("occ_dict"))))
+    judged = df.withColumn("_vote", F.when(is_open & has_text(F.col("occ_dict")), V.decide("occ_dict")))
     return judged.withColumns({
         "outcome": F.when(is_open, F.coalesce(F.col("_vote.outcome"), F.lit("none"))),
         "vote_class": F.col("_vote.name"),

@@ -13,6 +13,7 @@ from parapet.functions import votes as V
 from parapet.functions.text import UNCLASSIFIED, UNKNOWN
 from parapet.operators.distribution import recode_rare
 from parapet.operators.quantiles import exact_quantiles
+from parapet.staging import stage
 
 # Names and limits of the hierarchy and flow reports.
 ROOT = "All Buildings"
@@ -54,10 +55,13 @@ def with_bands(df: DataFrame, edges: Terciles) -> DataFrame:
 
 
 def hierarchy_cube(df: DataFrame, edges: Terciles) -> DataFrame:
-    """Count and area per class and band combination, with the class recoded to the top nine."""
-    cube = with_bands(df, edges).groupBy("occ_cls", *FULL_LEVELS[1:]).agg(
+    """Count and area per class and band combination, with the class recoded to the top nine.
+
+    The cube has a row per label combination and is read several times, so it is staged.
+    """
+    cube = stage(with_bands(df, edges).groupBy("occ_cls", *FULL_LEVELS[1:]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("gfa").alias("area")
-    )
+    ), "hierarchy-cube")
     totals = cube.where("occ_cls IS NOT NULL").groupBy("occ_cls").agg(F.sum("n").alias("_n"))
     top = totals.orderBy(F.desc("_n"), "occ_cls").limit(TOP_CLASSES).select("occ_cls", F.lit(True).alias("_top"))
     named = cube.join(F.broadcast(top), "occ_cls", "left")
@@ -192,7 +196,7 @@ def vote_links(df: DataFrame) -> DataFrame:
     class is reported as ``nan``.
     """
     pairs = df.select(
-        F.coalesce("occ_cls", F.lit("nan")).alias("occ_cls"), F.inline(V.listed_if_text(F.col("occ_dict")))
+        F.coalesce("occ_cls", F.lit("nan")).alias("occ_cls"), F.inline(V.listed_if_text("occ_dict"))
     )
     summed = pairs.groupBy("occ_cls", F.col("type").alias("vote_type")).agg(
         F.sum("points").alias("points"), F.count_if(F.col("points") > 0).alias("buildings")
