@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from catalog.registry import CTES, Inputs, add, define
+from catalog.registry import Inputs, add, define
 from parapet.operators import cleaning, clustering, sampling
 
 # The class labels of the stand-in data, in order.
@@ -31,10 +31,8 @@ def _define_fit(name: str, rows: str, numeric: tuple[str, ...], with_class: bool
     share = "[" + ", ".join(f"CASE WHEN c.s0={j} THEN 1.0E0 ELSE 0.0E0 END" for j in range(1, size + 1)) + "]"
     bias = "2.0E0" if with_class else "0.0E0"
     start = (f"SELECT 0 AS it, grp, k, j, " + ", ".join(f"c.x{i}/1000000.0 AS c{i}" for i in dims) + f", {bias} AS bias, {share} AS p, FALSE AS done FROM ("
-             f"SELECT grp, k, UNNEST(range(least(k, len(cs)))) AS j, UNNEST(cs[1:k]) AS c FROM (SELECT * FROM {name}_seeds WHERE step={max(ks) - 1}), (SELECT UNNEST([{', '.join(map(str, ks))}]) AS k) "
-             f"WHERE (SELECT COUNT(*) FROM {name}_points q WHERE q.grp={name}_seeds_grp(grp)) >= greatest(k, {least}))")
-    start = start.replace(f"(SELECT COUNT(*) FROM {name}_points q WHERE q.grp={name}_seeds_grp(grp))", f"(SELECT MAX(n) FROM {name}_sizes z WHERE z.grp=f.grp)")
-    start = start.replace(f"(SELECT * FROM {name}_seeds WHERE step={max(ks) - 1})", f"(SELECT * FROM {name}_seeds WHERE step={max(ks) - 1}) f").replace("SELECT grp, k, UNNEST(range", "SELECT f.grp, k, UNNEST(range")
+             f"SELECT f.grp, k, UNNEST(range(least(k, len(cs)))) AS j, UNNEST(cs[1:k]) AS c FROM (SELECT * FROM {name}_seeds WHERE step={max(ks) - 1}) f, "
+             f"(SELECT UNNEST([{', '.join(map(str, ks))}]) AS k) WHERE (SELECT MAX(n) FROM {name}_sizes z WHERE z.grp=f.grp) >= greatest(k, {least}))")
     define(f"{name}_sizes", f"SELECT grp, COUNT(*) AS n FROM {name}_points GROUP BY grp")
     far = " + ".join(f"(x{i}/1000000.0-c{i})*(x{i}/1000000.0-c{i})" for i in dims)
     far += " + (bias - 2.0*l.p[s0])" if with_class else ""

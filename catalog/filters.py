@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import add
+from parapet.functions.bands import era
 from parapet.functions.numbers import parse_number
-from parapet.operators import classes, cleaning, crosstab, flows, sampling, soil
+from parapet.operators import cleaning, flows, sampling, soil
 from parapet.operators.cleaning import CLUSTER_COLUMNS
 
 _YEAR = "year_built>0"
@@ -45,7 +46,7 @@ add("f9_complete_cases", "build_id:n " + " ".join(f"{x}:{'t' if x in ('occ_cls',
 add("f10_complete_subset", "build_id:n wtdepannmin:n",
     lambda c: cleaning.complete_cases(c.prepared.select("build_id", "wtdepannmin", *sampling.SAMPLE_REQUIRED), sampling.SAMPLE_REQUIRED),
     "SELECT build_id, wtdepannmin FROM prepared WHERE sqmeters IS NOT NULL AND height_used IS NOT NULL AND year_built IS NOT NULL AND occ_cls IS NOT NULL")
-add("f11_era_split", "build_id:n era:t", lambda c: c.cleaned_plain.withColumn("era", _era()),
+add("f11_era_split", "build_id:n era:t", lambda c: c.cleaned_plain.withColumn("era", era(F.col("year_built"))),
     "SELECT build_id, CASE WHEN year_built<1940 THEN 'pre1940' ELSE 'post1940' END AS era FROM cleaned")
 add("f12_class_groups", "occ_cls:t n:n area:n",
     lambda c: c.prepared.where("occ_cls IS NOT NULL").groupBy("occ_cls").agg(F.count(F.lit(1)).alias("n"), F.sum("gfa").alias("area")),
@@ -91,8 +92,3 @@ add("f18_map_points", "build_id:n lon:n lat:n occupancy:t year_built:n area:n dr
     "flodfreqcl AS flooding, eng_class AS eng_property, wtdepannmin AS water_table, compname FROM "
     "(SELECT * FROM prepared ORDER BY md5(build_id || '#337'), build_id LIMIT 75000) WHERE longitude IS NOT NULL AND latitude IS NOT NULL")
 add("f19_positive_only", "metric:t occ_cls:t vote_type:t value:n", lambda c: flows.vote_links(c.prepared), "SELECT * FROM vote_links")
-
-
-def _era():
-    from parapet.functions.bands import era
-    return era(F.col("year_built"))

@@ -7,7 +7,7 @@ from parapet.functions import bands as B
 from parapet.functions import numbers as N
 from parapet.functions import votes as V
 from parapet.functions.text import UNKNOWN, has_text, is_unclassified
-from parapet.operators import classes, crosstab, flows, temporal
+from parapet.operators import classes, crosstab, flows
 from parapet.sources import standin
 from parapet.sources.schema import id_column
 

@@ -53,6 +53,7 @@ SEED = 42
 
 UNITS = 1_000_000
 MAX_LABELS = 1_000
+MAX_GROUPS = 1_000
 # Upper bound of the centroids a pass sends to every task.
 CENTROID_BYTES = 64 * 1024 * 1024
 
@@ -295,7 +296,11 @@ class Fitted:
 
 
 def _sizes(df: DataFrame) -> dict[str, int]:
-    return {r.grp: r.n for r in df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Rows per group; also the check that groups are few, on which every broadcast here rests."""
+    rows = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to cluster")
+    return {r.grp: r.n for r in rows}
 
 
 def fit_groups(
@@ -303,12 +308,13 @@ def fit_groups(
     min_rows: int, name: str, **options: float,
 ) -> Fitted:
     """One model per group with at least ``min_rows`` rows, combination and k (k at most the rows)."""
+    sizes = _sizes(grouped)
     features = sorted({f for found in combos.values() for f in found})
     design = Design(tuple(numeric), fit_labels(grouped, features))
     table = points(grouped, design, name)
     models = [
         Model(group, combo, tuple(found), k)
-        for group, n in sorted(_sizes(table).items()) if n >= min_rows
+        for group, n in sorted(sizes.items()) if n >= min_rows
         for combo, found in combos.items() for k in ks if k <= n
     ]
     if not models:
@@ -358,10 +364,8 @@ def sample_clusters(sample: DataFrame, ks: Sequence[int] = SAMPLE_K, **options:
     features = sorted({f for found in combos.values() for f in found})
     design = Design(NUMERIC, fit_labels(rows, features))
     table = points(rows, design, "sample-clusters")
-    models = [
-        Model(name, name, found, k) for name, found in combos.items()
-        for k in ks if k <= _sizes(table).get(name, 0)
-    ]
+    sizes = _sizes(table)
+    models = [Model(name, name, found, k) for name, found in combos.items() for k in ks if k <= sizes.get(name, 0)]
     return Fitted(table, design, fit(table, design, models, **options) if models else {})
 
 

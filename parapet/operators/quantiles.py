@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 8192
+MAX_GROUPS = 1_000
 
 
 @dataclass
@@ -53,7 +54,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str
     """
     group = F.col(by) if by else F.lit("")
     values = df.select(group.alias("g"), F.col(column).cast("double").alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
-    bounds = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    bounds = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bounds = bounds.limit(MAX_GROUPS + 1).collect()
+    if len(bounds) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups in {by}: not a label column")
 
     sizes, known, pending = {}, defaultdict(dict), []
     for row in bounds:

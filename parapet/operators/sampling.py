@@ -28,7 +28,7 @@ SAMPLE_COLUMNS = (
 )
 # A cut is fine enough when at most this many rows share its last prefix.
 SLACK_ROWS = 50_000
-HEX = "0123456789abcdef"
+MAX_GROUPS = 1_000
 
 
 def prefix_cuts(keys: DataFrame, rows: int, by: str | None = None, digits: int = 2) -> dict[Any, str]:
@@ -51,7 +51,10 @@ def prefix_cuts(keys: DataFrame, rows: int, by: str | None = None, digits: int =
                 hit = hit | ((F.col("g") == F.lit(g)) & F.col("key").startswith(prefix))
             scoped = source.where(hit)
         depth += digits
-        counted = scoped.groupBy("g", F.substring("key", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        most = MAX_GROUPS * 16**digits
+        counted = scoped.groupBy("g", F.substring("key", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+        if len(counted) > most:
+            raise ValueError(f"more than {MAX_GROUPS} groups in {by}: not a label column")
         following: dict[Any, tuple[str, int]] = {}
         for g in {row.g for row in counted}:
             missing = rows if open_groups is None else open_groups[g][1]
