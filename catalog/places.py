@@ -1,7 +1,5 @@
 """Entries for the proximity and containment joins."""
 
-from pyspark.sql import functions as F
-
 from catalog.registry import Inputs, add
 from parapet.operators import crosstab, distribution, spatial, temporal
 from parapet.sources.standin import FOOTPRINT_HALF
@@ -20,7 +18,7 @@ add("d2_single_home", "build_id:n point_id:n", lambda c: spatial.single_home_mat
     "SELECT build_id, first_point AS point_id FROM footprint_votes WHERE n_points=1 AND t6=1")
 add("d3_multi_unit", "build_id:n n_points:n occ_dict:t", lambda c: spatial.multi_unit_votes(_votes(c)),
     "SELECT build_id, n_points, 'AGR: ' || t0 || ', COM: ' || t1 || ', EDU: ' || t2 || ', GOV: ' || t3 || ', IND: ' || t4 || ', REL: ' || t5 || ', RES: ' || t6 AS occ_dict FROM footprint_votes WHERE n_points>1")
-add("d4_nearest_point", "build_id:n point_id:n distance_m:n", lambda c: spatial.nearest_for_unmatched(_footprints(c), c.nsi_points, _votes(c)),
+add("d4_nearest_point", "build_id:n point_id:n distance_m:n", lambda c: spatial.nearest_for_unmatched(_footprints(c), c.nsi_points, spatial.rule_matches(_footprints(c), c.nsi_points)),
     "SELECT * FROM near_points")
 add("d5_match_rate", "matched:n total:n match_rate:n", lambda c: spatial.match_rate(_footprints(c), c.nsi_points),
     "SELECT COUNT(*) AS matched, (SELECT COUNT(*) FROM buildings) AS total, ROUND(100.0*COUNT(*)/(SELECT COUNT(*) FROM buildings),2) AS match_rate FROM match_rules")

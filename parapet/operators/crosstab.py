@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.bands import era
@@ -25,14 +25,16 @@ def cells(df: DataFrame, by: Sequence[str], value: str = "gfa") -> DataFrame:
 def dense(sparse: DataFrame, table: str, row: str, col: str, measures: Sequence[str]) -> DataFrame:
     """All row × column pairs of each table, missing cells filled with 0.
 
-    Each row carries its cells as a map and meets the column labels of its table in an
-    equi-join, so the full grid is made per row and no cross join is needed. Both sides are
-    aggregates over label columns.
+    Each row carries its cells as a map and the column labels of its table, so the full grid
+    is made per row, without a cross join and without a second look at the input. The window
+    and the maps see cells only, one per pair of labels.
     """
+    labels = F.array_sort(F.collect_set(col).over(Window.partitionBy(table)))
     cell = F.struct(F.col(col), F.struct(*measures))
-    by_row = sparse.groupBy(table, row).agg(F.map_from_entries(F.collect_list(cell)).alias("_cells"))
-    labels = sparse.groupBy(table).agg(F.array_sort(F.collect_set(col)).alias("_labels"))
-    grid = by_row.join(labels, table).select(table, row, F.explode("_labels").alias(col), "_cells")
+    by_row = sparse.withColumn("_labels", labels).groupBy(table, row).agg(
+        F.map_from_entries(F.collect_list(cell)).alias("_cells"), F.first("_labels").alias("_labels")
+    )
+    grid = by_row.select(table, row, F.explode("_labels").alias(col), "_cells")
     found = F.try_element_at(F.col("_cells"), F.col(col))
     return grid.select(table, row, col, *[F.coalesce(found[m], F.lit(0)).alias(m) for m in measures])
 

@@ -140,9 +140,9 @@ def labelled_flow(df: DataFrame, top_classes: int = 12, top_soils: int = 15, gro
     if not group_others:
         return named.withColumn("occupancy", F.coalesce("occ_cls", F.lit(UNKNOWN))).drop("occ_cls")
     # The recodes work on counts per label combination, far fewer rows than buildings.
-    cube = named.groupBy("year_band", "occ_cls", "material", "foundation", "soil").agg(
+    cube = stage(named.groupBy("year_band", "occ_cls", "material", "foundation", "soil").agg(
         F.count(F.lit(1)).alias("n"), F.sum("gfa").alias("gfa")
-    )
+    ), "flow-cube")
     classes = _weighted_recode(cube, "occ_cls", top_classes, "Other", "occupancy")
     return _weighted_recode(classes, "soil", top_soils, "Other Soils", "soil").drop("occ_cls")
 

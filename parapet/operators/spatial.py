@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet.functions.numbers import percent
+from parapet.staging import stage
 
 EARTH_RADIUS_M = 6_371_000.0
 METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180.0
@@ -85,16 +86,21 @@ def footprint_votes(points: DataFrame, footprints: DataFrame) -> DataFrame:
     return votes.withColumn("n_points", sum((F.col(f"t{i}") for i in range(1, len(POINT_TYPES))), F.col("t0")))
 
 
+def vote_rule() -> Column:
+    """The rule by which a footprint's points match it: single, multi, or null."""
+    single = (F.col("n_points") == 1) & (F.col(f"t{RESIDENTIAL}") == 1)
+    return F.when(single, "single").when(F.col("n_points") > 1, "multi")
+
+
 def single_home_matches(votes: DataFrame) -> DataFrame:
     """Footprints that hold exactly one point, a residential one."""
-    one = votes.where((F.col("n_points") == 1) & (F.col(f"t{RESIDENTIAL}") == 1))
-    return one.select("build_id", F.col("first_point").alias("point_id"))
+    return votes.where(vote_rule() == "single").select("build_id", F.col("first_point").alias("point_id"))
 
 
 def multi_unit_votes(votes: DataFrame) -> DataFrame:
     """Footprints with several points, and their points per type as a vote string."""
     parts = [F.concat(F.lit(f"{code}: "), F.col(f"t{i}").cast("string")) for i, code in enumerate(POINT_TYPES)]
-    many = votes.where(F.col("n_points") > 1)
+    many = votes.where(vote_rule() == "multi")
     return many.select("build_id", "n_points", F.concat_ws(", ", *parts).alias("occ_dict"))
 
 
@@ -131,20 +137,27 @@ def nearest_within(places: DataFrame, targets: DataFrame, radius_m: float, targe
     )
 
 
-def nearest_for_unmatched(footprints: DataFrame, points: DataFrame, votes: DataFrame) -> DataFrame:
-    """The nearest point within five metres for footprints that the first two rules left open."""
-    done = single_home_matches(votes).select("build_id").unionByName(multi_unit_votes(votes).select("build_id"))
-    left = footprints.select("build_id", "longitude", "latitude").join(done, "build_id", "left_anti")
+def nearest_for_unmatched(footprints: DataFrame, points: DataFrame, matched: DataFrame) -> DataFrame:
+    """The nearest point within five metres for footprints whose ``build_id`` is not in ``matched``."""
+    left = footprints.select("build_id", "longitude", "latitude").join(matched.select("build_id"), "build_id", "left_anti")
     return nearest_within(left, points, NEAREST_POINT_M, "point_id").select("build_id", "point_id", "distance_m")
 
 
-def matches(footprints: DataFrame, points: DataFrame) -> DataFrame:
-    """All matched footprints and the rule that matched them: single, multi or nearest."""
+def rule_matches(footprints: DataFrame, points: DataFrame) -> DataFrame:
+    """Footprints matched by the first two rules: (build_id, rule)."""
     votes = footprint_votes(points, footprints)
-    single = single_home_matches(votes).select("build_id", F.lit("single").alias("rule"))
-    multi = multi_unit_votes(votes).select("build_id", F.lit("multi").alias("rule"))
-    near = nearest_for_unmatched(footprints, points, votes).select("build_id", F.lit("nearest").alias("rule"))
-    return single.unionByName(multi).unionByName(near)
+    return votes.select("build_id", vote_rule().alias("rule")).where("rule IS NOT NULL")
+
+
+def matches(footprints: DataFrame, points: DataFrame) -> DataFrame:
+    """All matched footprints and the rule that matched them: single, multi or nearest.
+
+    The first two rules are needed twice, as matches and to leave them out of the third, so
+    their result is staged.
+    """
+    ruled = stage(rule_matches(footprints, points), "rule-matches")
+    near = nearest_for_unmatched(footprints, points, ruled).select("build_id", F.lit("nearest").alias("rule"))
+    return ruled.unionByName(near)
 
 
 def match_rate(footprints: DataFrame, points: DataFrame) -> DataFrame:
