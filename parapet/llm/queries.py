@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm import language, line_dedup, mixing, near_dup, nearest, packing, quality, url_filters
+from parapet.llm import language, line_dedup, mixing, near_dup, nearest, packing, quality, substrings, url_filters
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_substrings")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, folder, "documents"))
