@@ -133,7 +133,8 @@ def mix(
     joined = base.join(by_depth, inner)
     part = F.col("cut").isNotNull() & (order_key(F.col("epochs"), F.col("identity"), seed) <= F.col("cut"))
     joined = joined.withColumn("copies", F.col("epochs") + F.when(part, F.lit(1)).otherwise(F.lit(0))).where(F.col("copies") > 0)
-    extra = {name: F.col(c) for name, c in zip(names, inner) if name not in docs.columns}
+    taken = {c.lower() for c in docs.columns}
+    extra = {name: F.col(c) for name, c in zip(names, inner) if name.lower() not in taken}
     return unboxed(joined, docs.columns, **extra, n_tokens=F.col("tokens"), n_copies=F.col("copies").cast("long"))
 
 
