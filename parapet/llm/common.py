@@ -28,10 +28,10 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def unboxed(df: DataFrame, fields: list[str], **columns: Column) -> DataFrame:
-    """The columns of ``row`` again; ``columns`` replace or follow them."""
-    named = {name.lower(): name for name in columns}
-    kept = [F.col("row").getField(f).alias(f) for f in fields if f.lower() not in named]
-    return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
+    """The columns of ``row`` again; ``columns`` replace those of their name or follow them."""
+    fresh = {name.lower(): c.alias(name) for name, c in columns.items()}
+    kept = [fresh.pop(f.lower(), F.col("row").getField(f).alias(f)) for f in fields]
+    return df.select(*kept, *fresh.values())
 
 
 def words_of(text: Column) -> Column:
