@@ -129,7 +129,8 @@ def mix(
     base = boxed(docs, **{f"level_{i}": c for i, c in enumerate(named.values())}, tokens=tokens.cast("long"), identity=identity)
     inner = [f"level_{i}" for i in range(len(names))]
     narrow = stage(base.select(*inner, "tokens", "identity"), "mix-narrow")
-    by_depth = plan(narrow, inner, weights, total, max_epochs, seed)
+    # Written, so that Spark knows how small it is and can send it to the rows instead of the rows to it.
+    by_depth = stage(plan(narrow, inner, weights, total, max_epochs, seed), "mix-plan")
     joined = base.join(by_depth, inner)
     part = F.col("cut").isNotNull() & (order_key(F.col("epochs"), F.col("identity"), seed) <= F.col("cut"))
     joined = joined.withColumn("copies", F.col("epochs") + F.when(part, F.lit(1)).otherwise(F.lit(0))).where(F.col("copies") > 0)
