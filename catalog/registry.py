@@ -28,7 +28,7 @@ STAGED_COLUMNS = (*SAMPLE_COLUMNS, "prim_occ", "mix_sc")
 
 
 class Inputs:
-    """The input frames of one data folder; each is a lazy plan, nothing is cached."""
+    """The input frames of one data folder; each is a lazy plan but ``staged``, which is written on first use."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -148,8 +148,8 @@ CTES: dict[str, str] = {
     "sample_chunks": "SELECT *, FLOOR(sample_index/5000)+1 AS chunk_index FROM ("
     "SELECT 'random' AS type, build_id, ROW_NUMBER() OVER (ORDER BY hkey, build_id)-1 AS sample_index FROM random_rows UNION ALL "
     "SELECT 'balanced', build_id, ROW_NUMBER() OVER (ORDER BY hkey, build_id)-1 FROM balanced_rows)",
-    "clf": f"SELECT {select_list(standin.CLF_EXPRESSIONS)} FROM buildings WHERE build_id%5=0",
-    "shoreline": "SELECT * EXCLUDE (foundation_type, occ_dict) FROM buildings WHERE longitude < -73.0",
+    "clf": f"SELECT {select_list(standin.CLF_EXPRESSIONS)} FROM buildings",
+    "shoreline": "SELECT * EXCLUDE (foundation_type, occ_dict) FROM buildings",
     "nsi_points": "SELECT l_orderkey*10+l_linenumber AS point_id, MIN(l_partkey)%7 AS type_no, "
     "CAST((MIN(o_custkey)*31+l_orderkey)%3600 AS DOUBLE)/1000-73.5E0+(l_linenumber-4)*0.00002E0 AS longitude, "
     "CAST((MIN(o_custkey)*17+l_orderkey*7)%1600 AS DOUBLE)/1000+41.2E0 AS latitude "

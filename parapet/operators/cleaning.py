@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.functions.numbers import as_number, percent
+from parapet.functions.numbers import as_number, null_non_finite, percent
 from parapet.operators.quantiles import exact_quantiles
 from parapet.sources.schema import BUILDING_TYPES, ensure_columns
 
@@ -46,12 +46,12 @@ def with_heights(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """All filters on one scan, no shuffle.
+    """All filters on one scan, no shuffle. Non-finite numbers count as missing.
 
     Both height filters together say that the first known height is positive; said that way
     the height text is read once per row.
     """
-    full = ensure_columns(df, BUILDING_TYPES)
+    full = null_non_finite(ensure_columns(df, BUILDING_TYPES))
     first_known = F.coalesce(as_number(full, "height"), as_number(full, "pred_height"))
     return with_heights(full.where(valid_year() & valid_area() & (first_known > 0)))
 
@@ -69,7 +69,7 @@ def drop_outliers(df: DataFrame, column: str = "gfa") -> DataFrame:
 
 def cleaning_funnel(df: DataFrame) -> DataFrame:
     """One row with every counter of the funnel, counted in one pass over the raw table."""
-    prepared = with_heights(ensure_columns(df, BUILDING_TYPES))
+    prepared = with_heights(null_non_finite(ensure_columns(df, BUILDING_TYPES)))
     year, area = F.coalesce(valid_year(), F.lit(False)), F.coalesce(valid_area(), F.lit(False))
     raw_height, height = valid_raw_height(), F.coalesce(valid_height(), F.lit(False))
     threshold = outlier_threshold(prepared.where(year & area))

@@ -445,7 +445,8 @@ def library_kmeans(rows: DataFrame, numeric: Sequence[str], categorical: Sequenc
 
     scaled = standardise(rows, numeric)
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
-    encoders = [OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v", handleInvalid="keep") for c in categorical]
+    # The indexer puts unknown labels last, and the last one has no indicator: all zeros.
+    encoders = [OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v") for c in categorical]
     assembler = VectorAssembler(inputCols=[f"{c}_z" for c in numeric] + [f"{c}_v" for c in categorical], outputCol="features")
     estimator = KMeans(k=k, seed=SEED, maxIter=MAX_ITERATIONS, tol=TOLERANCE, predictionCol="cluster")
     model = Pipeline(stages=[*indexers, *encoders, assembler, estimator]).fit(scaled)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parapet.functions.numbers import finite_or_null
+
 BUCKETS = 8192
 MAX_GROUPS = 1_000
 
@@ -50,10 +52,10 @@ def _interpolate(stats: dict[int, float], n: int, prob: float) -> float:
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str | None = None) -> Quantiles:
     """Linear-interpolation quantiles of ``column``, per value of ``by`` when given.
 
-    ``by`` must be a label column (few groups); nulls in either column are left out.
+    ``by`` must be a label column (few groups); nulls in either column and non-finite values are left out.
     """
     group = F.col(by) if by else F.lit("")
-    values = df.select(group.alias("g"), F.col(column).cast("double").alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
+    values = df.select(group.alias("g"), finite_or_null(F.col(column).cast("double")).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
     bounds = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     bounds = bounds.limit(MAX_GROUPS + 1).collect()
     if len(bounds) > MAX_GROUPS:
@@ -75,6 +77,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str
         if not unresolved:
             break
         pending = _split(values, unresolved)
+        if [p[:3] for p in pending] == [u[:3] for u in unresolved]:
+            raise RuntimeError(f"the ranges of {column} don't narrow")
 
     table = {}
     for g, n in sizes.items():

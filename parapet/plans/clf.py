@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parapet.operators import crosstab
 from parapet.sources import readers, writers
 
-# A scatter plot has to be drawn, so its size is checked before it is collected.
+# More rows than these are not collected; the scatter is then the data set that ``run`` writes.
 SCATTER_ROWS = 100_000
 
 
@@ -24,10 +24,9 @@ def heatmap(cells: DataFrame, table: str, measure: str) -> dict:
 def document(clf: DataFrame) -> dict:
     """The whole document; the matrices have one value per pair of labels."""
     scatter = crosstab.clf_scatter(clf).select(*crosstab.SCATTER_COLUMNS).limit(SCATTER_ROWS + 1).collect()
-    if len(scatter) > SCATTER_ROWS:
-        raise ValueError(f"more than {SCATTER_ROWS} scatter rows; use crosstab.clf_scatter as a data set")
-    cells = crosstab.clf_heatmaps(clf)
-    out = {"scatter_data": {c: [r[c] for r in scatter] for c in crosstab.SCATTER_COLUMNS}}
+    cells = clf.sparkSession.createDataFrame(crosstab.clf_heatmaps(clf).collect(), crosstab.clf_heatmaps(clf).schema)
+    small = len(scatter) <= SCATTER_ROWS
+    out = {"scatter_data": {c: [r[c] for r in scatter] for c in crosstab.SCATTER_COLUMNS} if small else {"path": "scatter"}}
     for table in ("material", "struct"):
         out[f"heatmap_{table}_count"] = heatmap(cells, table, "n")
         out[f"heatmap_{table}_gfa"] = heatmap(cells, table, "area")

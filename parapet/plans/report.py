@@ -22,7 +22,7 @@ from parapet.sources import writers
 from parapet.staging import stage
 
 VERSION = "3.2"
-# A section of the summary may have this many rows; a larger one is a programming error.
+# A larger section stays a data set, and the summary names its place.
 SUMMARY_ROWS = 200_000
 
 
@@ -138,11 +138,11 @@ def samples(prepared: DataFrame, with_labels: bool = True) -> DataFrame:
     return sampling.chunked(parts[0].unionByName(parts[1], allowMissingColumns=True), by="type")
 
 
-def _rows(df: DataFrame, section: str) -> list[dict]:
-    """A report as plain records; its size is checked, since it depends on labels only."""
+def _rows(df: DataFrame, place: str) -> list[dict] | dict:
+    """A report as plain records, or where it lies if it is too large for that."""
     rows = null_non_finite(df).limit(SUMMARY_ROWS + 1).collect()
     if len(rows) > SUMMARY_ROWS:
-        raise ValueError(f"section {section} has more than {SUMMARY_ROWS} rows")
+        return {"path": place}
     return [row.asDict(recursive=True) for row in rows]
 
 
@@ -159,12 +159,13 @@ def write_report(raw: DataFrame, folder: str, source: str = "", clusters: bool =
         path = f"{folder}/sections/{name}"
         writers.write_records(report, path)
         # Read back what was written instead of running the report a second time.
-        document[name] = _rows(raw.sparkSession.read.schema(report.schema).json(path), name)
+        document[name] = _rows(raw.sparkSession.read.schema(report.schema).json(path), path)
     writers.write_records(sampling.map_points(t.prepared), f"{folder}/map_points")
     writers.write_records(classes.reclass_map(t.prepared), f"{folder}/reclass_map")
     chunks = stage(samples(t.prepared, with_labels=clusters), "sample-chunks")
     writers.write_chunks(chunks, f"{folder}/samples")
-    files = _rows(sampling.chunk_manifest(chunks), "samples_files")
+    # A manifest has a row for every 5,000 sample rows, and samples have a fixed size.
+    files = [row.asDict() for row in sampling.chunk_manifest(chunks).collect()]
     document["metadata"] = metadata(t.prepared.count(), files, source)
     return document
 

@@ -7,17 +7,40 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parapet.functions.numbers import null_non_finite, parse_number
 from parapet.sources import schema as S
 
 
+# Words that stand for a missing value.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+    "nan", "null",
+)
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Infinity)\s*$"
+_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+
+
 def _text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text: only the header line is read to learn their names."""
-    return (
-        spark.read.option("header", True).option("inferSchema", False)
+    """All columns as text: only the header line is read to learn their names.
+
+    Quoted fields may hold line breaks, and the usual words for a missing value become null.
+    """
+    text = (
+        spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
         .option("quote", '"').option("escape", '"').csv(path)
     )
+    return text.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns])
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A building table from Parquet: known headers get their short names, non-finite numbers become null."""
+    df = null_non_finite(spark.read.parquet(path))
+    chosen = S.id_column(df.columns)
+    named = df.select(*[F.col(f"`{c}`").alias(S.BUILDING_HEADERS.get(c, c)) for c in df.columns])
+    named = named.withColumn("build_id", F.col(f"`{S.BUILDING_HEADERS.get(chosen, chosen)}`"))
+    return S.ensure_columns(named, {k: t for k, t in S.BUILDING_TYPES.items() if k != "build_id"})
 
 
 def _rename_and_type(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:
@@ -50,12 +73,25 @@ def read_clf(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_shoreline(spark: SparkSession, path: str) -> DataFrame:
-    """Any columns; the guaranteed ones are added as nulls when missing."""
+    """Any columns; the guaranteed ones are added as nulls when missing.
+
+    Columns whose values are all numbers become numbers, whole ones if all are whole; one
+    aggregate over the file tells which. Infinities are numbers here.
+    """
     text = _text_csv(spark, path)
-    numeric = {c for c, t in S.SHORELINE_COLUMNS.items() if t.simpleString() == "double"}
-    typed = text.select(*[
-        (parse_number(F.col(f"`{c}`")) if c in numeric else F.col(f"`{c}`")).alias(c) for c in text.columns
-    ])
+    columns = [F.col(f"`{c}`") for c in text.columns]
+    fits = lambda c, pattern: F.coalesce(F.bool_and(c.rlike(pattern)), F.lit(False))
+    told = text.agg(*[x.alias(f"{kind}{i}") for i, c in enumerate(columns) for kind, x in (("n", fits(c, _NUMBER)), ("w", fits(c, _WHOLE)))]).first()
+    out = []
+    for i, (name, c) in enumerate(zip(text.columns, columns)):
+        number = F.regexp_replace(F.trim(c), "(?i)^([+-]?)inf(inity)?$", "$1Infinity").try_cast("double")
+        if S.SHORELINE_COLUMNS.get(name, T.StringType()) == T.DoubleType():
+            out.append(number.alias(name))
+        elif name in S.SHORELINE_COLUMNS or not told[f"n{i}"]:
+            out.append(c.alias(name))
+        else:
+            out.append((F.trim(c).try_cast("bigint") if told[f"w{i}"] else number).alias(name))
+    typed = text.select(*out)
     return null_non_finite(S.ensure_columns(typed, S.SHORELINE_COLUMNS), inf=False)
 
 

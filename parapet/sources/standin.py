@@ -90,11 +90,11 @@ def buildings(spark: SparkSession, sf_dir: str, votes: bool = True) -> DataFrame
 
 
 def clf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buildings(spark, sf_dir, votes=False).where("build_id%5=0").selectExpr(*_select(CLF_EXPRESSIONS))
+    return buildings(spark, sf_dir, votes=False).selectExpr(*_select(CLF_EXPRESSIONS))
 
 
 def shoreline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buildings(spark, sf_dir, votes=False).where("longitude < -73.0").drop("foundation_type")
+    return buildings(spark, sf_dir, votes=False).drop("foundation_type")
 
 
 def nsi_points(spark: SparkSession, sf_dir: str) -> DataFrame:

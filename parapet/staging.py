@@ -7,6 +7,7 @@ executor costs a re-read and never a recomputation, and later passes prune colum
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -24,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    # local and local[...] run in this process; local-cluster[...] has executors of its own.
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
         return _local_folder()
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
