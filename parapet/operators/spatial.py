@@ -125,7 +125,10 @@ def nearest_within(places: DataFrame, targets: DataFrame, radius_m: float, targe
     row = F.floor(F.col("t_lat") / height)
     near = near.withColumn("cy", F.explode(F.sequence(row - 1, row + 1)))
     step = width(F.col("cy"))
-    first, last = F.floor(F.col("t_lon") / step) - 1, F.floor(F.col("t_lon") / step) + 1
+    # Next to the date line a target also stands on the other side of it; cells are far narrower than a degree.
+    turned = F.when(F.col("t_lon") > 179, F.array("t_lon", F.col("t_lon") - 360)).when(F.col("t_lon") < -179, F.array("t_lon", F.col("t_lon") + 360))
+    near = near.withColumn("at", F.explode(F.coalesce(turned, F.array("t_lon"))))
+    first, last = F.floor(F.col("at") / step) - 1, F.floor(F.col("at") / step) + 1
     near = near.withColumn("cx", F.explode(F.sequence(first, last)))
 
     distance = F.round(haversine(F.col("longitude"), F.col("latitude"), F.col("t_lon"), F.col("t_lat")), 6)

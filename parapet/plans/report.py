@@ -62,6 +62,15 @@ def _indexed(links: DataFrame, diagram: str, first: str, second: str) -> DataFra
     return flows.indexed_links(links, flows.node_index(links, diagram, first, second), diagram)
 
 
+def _nodes(links: DataFrame, diagram: str, first: str, second: str) -> DataFrame:
+    """Names of the numbers that a diagram's links use."""
+    return flows.node_index(links, diagram, first, second)
+
+
+def _class_uses(t: Tables) -> DataFrame:
+    return flows.class_use_links(t.prepared).withColumn("diagram", F.lit("class_use"))
+
+
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "summary_stats": lambda t: temporal.summary(t.prepared),
     "overview_occupancy_counts": lambda t: distribution.value_counts(t.prepared, "occ_cls", "occ_cls"),
@@ -70,9 +79,10 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "hierarchy_bands": lambda t: flows.band_descriptions(t.prepared, flows.terciles(t.prepared)),
     "year_occ_flow": lambda t: flows.flow_table(t.prepared),
     "year_occ_flow_meta": lambda t: flows.flow_meta(t.prepared),
-    "occupancy_hierarchy": lambda t: _indexed(
-        flows.class_use_links(t.prepared).withColumn("diagram", F.lit("class_use")), "diagram", "occ_cls", "prim_occ"),
+    "occupancy_hierarchy": lambda t: _indexed(_class_uses(t), "diagram", "occ_cls", "prim_occ"),
+    "occupancy_hierarchy_nodes": lambda t: _nodes(_class_uses(t), "diagram", "occ_cls", "prim_occ"),
     "occ_cls_vote_flow": lambda t: _indexed(flows.vote_links(t.prepared), "metric", "occ_cls", "vote_type"),
+    "occ_cls_vote_flow_nodes": lambda t: _nodes(flows.vote_links(t.prepared), "metric", "occ_cls", "vote_type"),
     "temporal_data": lambda t: temporal.annual_series(t.cluster),
     "pre1940": lambda t: temporal.historic_summary(t.prepared),
     "pre1940_classes": lambda t: temporal.historic_classes(t.prepared),
@@ -89,6 +99,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "soil_risk": lambda t: soil.risk_summary(t.prepared),
     "soil_risk_by_occupancy": lambda t: soil.risk_by_class(t.prepared),
     "cleaning_funnel": lambda t: cleaning.cleaning_funnel(t.raw),
+    "quality_checks": lambda t: cleaning.quality_checks(t.raw, t.prepared),
     "unclassified_resolution": lambda t: classes.resolution_stats(t.prepared),
     "unclassified_changed_to": lambda t: classes.changed_to(t.prepared),
     "unclassified_ties": lambda t: classes.tie_histogram(t.prepared),
@@ -166,7 +177,7 @@ def write_report(raw: DataFrame, folder: str, source: str = "", clusters: bool =
     writers.write_chunks(chunks, f"{folder}/samples")
     # A manifest has a row for every 5,000 sample rows, and samples have a fixed size.
     files = [row.asDict() for row in sampling.chunk_manifest(chunks).collect()]
-    document["metadata"] = metadata(t.prepared.count(), files, source)
+    document["metadata"] = metadata(t.prepared.count(), files, source) | {"initial_columns": raw.columns}
     return document
 
 

@@ -87,3 +87,13 @@ def test_report_files(document):
     rows = [json.loads(x) for x in files[0].read_text().splitlines()]
     assert [r["sample_index"] for r in rows] == list(range(doc["metadata"]["total_random_samples"]))
     assert list((Path(folder) / "reclass_map").glob("part-*")) and list((Path(folder) / "map_points").glob("part-*"))
+
+
+def test_links_resolve_to_names(document):
+    _, doc = document
+    for section, diagram in (("occupancy_hierarchy", "diagram"), ("occ_cls_vote_flow", "metric")):
+        names = {(n[diagram], n["idx"]): n["name"] for n in doc[f"{section}_nodes"]}
+        assert doc[section] and len(names) == len(doc[f"{section}_nodes"])
+        for link in doc[section]:
+            assert names[link[diagram], link["source_idx"]] != names[link[diagram], link["target_idx"]]
+    assert [c["stage"] for c in doc["quality_checks"]] == ["raw", "cleaned"] and "gfa" in doc["metadata"]["initial_columns"]

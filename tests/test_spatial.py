@@ -68,3 +68,13 @@ def test_dominant_component(spark):
                                   "mukey string, compname string, comppct_r int, cokey int")
     got = {r.mukey: (r.compname, r.comppct_r) for r in S.dominant_components(parts).collect()}
     assert got == {"a": ("b", 40), "z": (None, 5)}
+
+
+def test_nearest_across_the_date_line(spark):
+    places = [(1, 179.99999, 10.0), (2, -179.99999, 10.0), (3, 180.0, 0.0), (4, 179.0, 0.0)]
+    targets = [(7, -179.99999, 10.0), (8, 179.99998, 60.0), (9, -179.9999, 0.0)]
+    got = S.nearest_within(
+        spark.createDataFrame(places, "build_id int, longitude double, latitude double"),
+        spark.createDataFrame(targets, "permit_id int, longitude double, latitude double"), 30.0, "permit_id",
+    ).collect()
+    assert {(r.build_id, r.permit_id, round(r.distance_m, 1)) for r in got} == {(1, 7, 2.2), (2, 7, 0.0), (3, 9, 11.1)}
