@@ -99,19 +99,18 @@ _STATS = ("COUNT(*) AS n, AVG(sqmeters) AS avg_sqmeters, STDDEV_POP(sqmeters) AS
           "TRUNC(AVG(year_built)) AS avg_year, STDDEV_POP(year_built) AS std_year")
 _AREA = ", AVG(gfa) AS avg_gfa, STDDEV_POP(gfa) AS std_gfa"
 _STAT_COLUMNS = "n:n avg_sqmeters:n std_sqmeters:n avg_height:n std_height:n avg_year:n std_year:n"
-add("m6_class_clusters", f"grp:t k:n cluster:n {_STAT_COLUMNS} avg_gfa:n std_gfa:n",
-    lambda c: clustering.cluster_stats(clustering.plain_clusters(c.staged).labels(), with_area=True),
-    f"SELECT grp, k, cluster, {_STATS}{_AREA} FROM plain_fit_labels GROUP BY grp, k, cluster")
+add("m6_class_clusters", f"grp:t k:n cluster:n {_STAT_COLUMNS} avg_gfa:n std_gfa:n wcss:n total_buildings:n",
+    lambda c: clustering.cluster_stats(clustering.plain_clusters(c.staged).labels(), with_area=True, with_model=True),
+    f"SELECT *, SUM(part) OVER (PARTITION BY grp, k) AS wcss, SUM(n) OVER (PARTITION BY grp, k) AS total_buildings FROM ("
+    f"SELECT grp, k, cluster, {_STATS}{_AREA}, SUM(d2) AS part FROM plain_fit_labels GROUP BY grp, k, cluster)")
 
 
 def _feature_report(c: Inputs):
-    labels = clustering.feature_clusters(c.staged).labels()
-    key = ["grp", "combo", "k", "cluster"]
-    stats = clustering.cluster_stats(labels).join(clustering.dominant_features(labels), key, "left")
-    return stats.join(clustering.wcss(labels).drop("n"), key[:3])
+    labels = clustering.feature_clusters(c.staged).staged_labels()
+    return clustering.cluster_stats(labels, with_model=True).join(clustering.dominant_features(labels), ["grp", "combo", "k", "cluster"], "left")
 
 
-add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominant_material:t dominant_foundation:t wcss:n", _feature_report)
+add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominant_material:t dominant_foundation:t wcss:n total_buildings:n", _feature_report)
 
 
 def _sample_labels(c: Inputs):
@@ -149,12 +148,12 @@ add("m10_batched_models", "grp:t k:n pid:n cluster:n d2:n", lambda c: clustering
 
 
 def _feature_sets(c: Inputs):
-    parts = []
-    for name in clustering.COMBINATIONS:
-        features = clustering.combination(name, c.prepared.columns)
-        rows = c.prepared.dropna("any", subset=[*clustering.NUMERIC, *features])
-        parts.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("combo"), F.lit(",".join(features)).alias("features"), "n"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    sets = {name: clustering.combination(name, c.prepared.columns) for name in clustering.COMBINATIONS}
+    known = lambda features: reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in (*clustering.NUMERIC, *features)])
+    counted = c.prepared.agg(*[F.count_if(known(features)).alias(name) for name, features in sets.items()])
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("combo"), F.lit(",".join(features)).alias("features"), F.col(name).alias("n")) for name, features in sets.items()
+    ])))
 
 
 _NUM = "sqmeters IS NOT NULL AND height_used IS NOT NULL AND year_built IS NOT NULL AND occ_cls IS NOT NULL"
@@ -171,7 +170,7 @@ def _aligned(c: Inputs):
 add("j2_align_labels", "build_id:n occ_cls:t cluster:n", _aligned,
     "SELECT p.build_id, p.occ_cls, CASE WHEN c.build_id IS NOT NULL THEN p.build_id%7 END AS cluster FROM prepared p LEFT JOIN cluster_rows c USING (build_id)")
 add("a30_cluster_analysis", "cluster:n n:n most_common_occ:t area_mean:n area_median:n area_std:n year_mean:n year_median:n year_std:n",
-    lambda c: clustering.cluster_analysis(clustering.main_clusters(cleaning.cluster_table(c.staged)).labels()),
+    lambda c: clustering.cluster_analysis(clustering.main_clusters(cleaning.cluster_table(c.staged)).staged_labels()),
     "SELECT l.cluster, COUNT(*) AS n, any_value(m.occ_cls) AS most_common_occ, AVG(gfa) AS area_mean, quantile_cont(gfa,0.5) AS area_median, COALESCE(STDDEV_SAMP(gfa),0) AS area_std, "
     "TRUNC(AVG(year_built)) AS year_mean, TRUNC(quantile_cont(year_built,0.5)) AS year_median, COALESCE(STDDEV_SAMP(year_built),0) AS year_std FROM main_fit_labels l JOIN ("
     "SELECT cluster, occ_cls FROM (SELECT cluster, occ_cls, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY COUNT(*) DESC, occ_cls) AS r FROM main_fit_labels GROUP BY 1,2) WHERE r=1) m ON l.cluster=m.cluster GROUP BY l.cluster")

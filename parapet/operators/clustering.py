@@ -14,13 +14,14 @@ probability proportional to ``d²``, where ``u`` is a hash of the point's id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +54,9 @@ SEED = 42
 
 UNITS = 1_000_000
 MAX_LABELS = 1_000
-MAX_GROUPS = 1_000
-# Upper bound of the centroids a pass sends to every task.
+# Group statistics are broadcast up to so many groups.
+BROADCAST_GROUPS = 10_000
+# Centroids that a pass sends to every task; models beyond that are fitted in further batches.
 CENTROID_BYTES = 64 * 1024 * 1024
 
 
@@ -105,17 +107,18 @@ def usable_combination(name: str, present: Sequence[str]) -> tuple[str, ...]:
     return tuple(f for f in COMBINATIONS[name] if f == "occ_cls" or f in present)
 
 
-def standardise(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
+def standardise(df: DataFrame, columns: Sequence[str], by: str | None = None, few: bool = False) -> DataFrame:
     """Add ``<column>_z``: centred and divided by the population deviation; a constant column is 0.
 
-    ``by`` must be a label column: its statistics are one row per label and are broadcast.
+    With ``by`` the statistics are those of the row's group: one row per group, broadcast if ``few``.
     """
     measures = [m for c in columns for m in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_dev"))]
     if by is None:
         row = df.agg(*measures).first()
         joined = df.withColumns({name: F.lit(row[name]).cast("double") for name in row.asDict()})
     else:
-        joined = df.join(F.broadcast(df.groupBy(by).agg(*measures)), by)
+        stats = df.groupBy(by).agg(*measures)
+        joined = df.join(F.broadcast(stats) if few else stats, by)
     scaled = {
         f"{c}_z": F.when(F.col(f"{c}_dev") > 0, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_dev")).otherwise(0.0)
         for c in columns
@@ -147,9 +150,9 @@ def by_class(df: DataFrame) -> DataFrame:
     return df.withColumn("grp", F.explode(F.array(F.lit("all"), F.col("occ_cls"))))
 
 
-def points(df: DataFrame, design: Design, name: str) -> DataFrame:
+def points(df: DataFrame, design: Design, name: str, sizes: dict[str, int]) -> DataFrame:
     """The staged table all passes read: grp, pid, fixed-point x0.., label slots s0.., and the raw columns."""
-    scaled = standardise(df, design.numeric, "grp")
+    scaled = standardise(df, design.numeric, "grp", few=len(sizes) <= BROADCAST_GROUPS)
     fixed = {f"x{i}": F.round(F.col(f"{c}_z") * UNITS).cast("bigint") for i, c in enumerate(design.numeric)}
     empty, at, slots = design.size - 1, len(design.numeric), {}
     for i, (feature, found) in enumerate(design.labels):
@@ -159,18 +162,15 @@ def points(df: DataFrame, design: Design, name: str) -> DataFrame:
         slots[f"s{i}"] = position
         at += len(found)
     made = scaled.withColumns({**fixed, **slots}).withColumnRenamed("build_id", "pid")
-    return stage(made.drop(*[f"{c}_z" for c in design.numeric]), name, spread_by="pid")
+    return stage(made.drop(*[f"{c}_z" for c in design.numeric]), name, spread_by="pid", rows=sum(sizes.values()))
 
 
 # --- one pass -----------------------------------------------------------------------------
 def _group_models(centroids: Centroids, index: dict[Model, int]) -> kernels.GroupModels:
     """The centroids as arrays per group, the only thing a pass sends to the tasks.
 
-    Their size depends on labels, models and k, never on the number of points; it is checked.
+    Their size depends on labels, models and k, never on the number of points; see :func:`_batches`.
     """
-    size = sum(8 * (len(c.vector) + 1) for found in centroids.values() for c in found)
-    if size > CENTROID_BYTES:
-        raise ValueError(f"{size} bytes of centroids; cluster fewer groups per call")
     out: kernels.GroupModels = {}
     for model, found in centroids.items():
         arrays = np.array([c.vector for c in found]), np.array([c.bias for c in found])
@@ -178,6 +178,19 @@ def _group_models(centroids: Centroids, index: dict[Model, int]) -> kernels.Grou
     return out
 
 
+def _batches(models: Iterable[Model], design: Design, most: int | None = None) -> list[list[Model]]:
+    """Models in order, cut where their centroids would exceed ``most`` bytes."""
+    room, out, used = most or CENTROID_BYTES, [], math.inf
+    for model in models:
+        size = 8 * model.k * (design.size + 1)
+        if used + size > room:
+            out.append([])
+            used = 0
+        out[-1].append(model)
+        used += size
+    return out
+
+
 def _centroid(model: Model, design: Design, n: int, values: Sequence[int]) -> Centroid:
     """From the sums of the numeric slots and the counts of the label slots."""
     n_num = len(design.numeric)
@@ -230,8 +243,16 @@ def fit(
     """Lloyd's iterations for all models until each has moved less than ``tolerance``.
 
     A model that has settled leaves the following passes. Clusters are numbered by their
-    centroid, so numbers do not depend on the order in which seeds were drawn.
+    centroid, so numbers do not depend on the order in which seeds were drawn. Models whose
+    centroids are too large for one pass are fitted batch by batch.
     """
+    out: Centroids = {}
+    for batch in _batches(models, design):
+        out |= _fit_batch(table, design, batch, seed, max_iterations, tolerance)
+    return out
+
+
+def _fit_batch(table: DataFrame, design: Design, models: Sequence[Model], seed: int, max_iterations: int, tolerance: float) -> Centroids:
     index = {m: i for i, m in enumerate(models)}
     current = _seeds(table, design, models, seed)
     active = dict(current)
@@ -265,6 +286,13 @@ def fit(
 
 def assign(table: DataFrame, design: Design, centroids: Centroids) -> DataFrame:
     """Label every point for every model: the point's columns, combo, k, cluster and d2."""
+    if not centroids:
+        return _assign_batch(table, design, centroids)
+    parts = [_assign_batch(table, design, {m: centroids[m] for m in batch}) for batch in _batches(centroids, design)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _assign_batch(table: DataFrame, design: Design, centroids: Centroids) -> DataFrame:
     groups: dict[str, list[Model]] = {}
     for model in centroids:
         groups.setdefault(model.group, []).append(model)
@@ -294,13 +322,14 @@ class Fitted:
     def labels(self) -> DataFrame:
         return assign(self.table, self.design, self.centroids)
 
+    def staged_labels(self) -> DataFrame:
+        """:meth:`labels` written once, for reports that aggregate them several times."""
+        return stage(self.labels(), "labels")
+
 
 def _sizes(df: DataFrame) -> dict[str, int]:
-    """Rows per group; also the check that groups are few, on which every broadcast here rests."""
-    rows = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to cluster")
-    return {r.grp: r.n for r in rows}
+    """Rows per group; the driver holds a model of each group anyway."""
+    return {r.grp: r.n for r in df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def fit_groups(
@@ -311,7 +340,7 @@ def fit_groups(
     sizes = _sizes(grouped)
     features = sorted({f for found in combos.values() for f in found})
     design = Design(tuple(numeric), fit_labels(grouped, features))
-    table = points(grouped, design, name)
+    table = points(grouped, design, name, sizes)
     models = [
         Model(group, combo, tuple(found), k)
         for group, n in sorted(sizes.items()) if n >= min_rows
@@ -363,8 +392,8 @@ def sample_clusters(sample: DataFrame, ks: Sequence[int] = SAMPLE_K, **options:
     rows = sample.select("build_id", *NUMERIC, "occ_cls", *optional).withColumn("grp", F.explode(complete))
     features = sorted({f for found in combos.values() for f in found})
     design = Design(NUMERIC, fit_labels(rows, features))
-    table = points(rows, design, "sample-clusters")
-    sizes = _sizes(table)
+    sizes = _sizes(rows)
+    table = points(rows, design, "sample-clusters", sizes)
     models = [Model(name, name, found, k) for name, found in combos.items() for k in ks if k <= sizes.get(name, 0)]
     return Fitted(table, design, fit(table, design, models, **options) if models else {})
 
@@ -374,25 +403,39 @@ def wcss(labels: DataFrame) -> DataFrame:
     return labels.groupBy("grp", "combo", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("wcss"))
 
 
-def cluster_stats(labels: DataFrame, with_area: bool = False) -> DataFrame:
-    """Size, mean and population deviation per cluster; clusters without rows do not appear."""
+def cluster_stats(labels: DataFrame, with_area: bool = False, with_model: bool = False) -> DataFrame:
+    """Size, mean and population deviation per cluster; clusters without rows do not appear.
+
+    ``with_model`` adds the ``wcss`` and ``total_buildings`` of the cluster's model, in the same pass.
+    """
     columns = (*NUMERIC, *(("gfa",) if with_area else ()))
     short = {"sqmeters": "sqmeters", "height_used": "height", "year_built": "year", "gfa": "gfa"}
     measures = [F.count(F.lit(1)).alias("n")]
     for c in columns:
         mean = truncate(F.avg(c)) if c == "year_built" else F.avg(c)
         measures += [mean.alias(f"avg_{short[c]}"), F.stddev_pop(c).alias(f"std_{short[c]}")]
-    return labels.groupBy("grp", "combo", "k", "cluster").agg(*measures)
+    if not with_model:
+        return labels.groupBy("grp", "combo", "k", "cluster").agg(*measures)
+    stats = labels.groupBy("grp", "combo", "k", "cluster").agg(*measures, F.sum("d2").alias("_d2"))
+    model = Window.partitionBy("grp", "combo", "k")
+    return stats.withColumns({"wcss": F.sum("_d2").over(model), "total_buildings": F.sum("n").over(model)}).drop("_d2")
 
 
 def dominant_features(labels: DataFrame) -> DataFrame:
-    """Clusters of models that use material or foundation, with the most frequent value of each."""
+    """Clusters of models that use material or foundation, with the most frequent value of each.
+
+    Both features are counted in one pass; ties go to the smaller label.
+    """
     key = ("grp", "combo", "k", "cluster")
-    parts = []
-    for feature, into in (("material_type", "dominant_material"), ("foundation_type", "dominant_foundation")):
-        using = [name for name, found in COMBINATIONS.items() if feature in found]
-        parts.append(most_frequent(labels.where(F.col("combo").isin(*using)), key, feature, into))
-    return parts[0].join(parts[1], list(key), "full")
+    features = {"material_type": "dominant_material", "foundation_type": "dominant_foundation"}
+    used = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.when(F.col("combo").isin(*[c for c, found in COMBINATIONS.items() if f in found]), F.col(f)).alias("value"))
+        for f in features
+    ])
+    counts = labels.select(*key, F.inline(used)).where("value IS NOT NULL").groupBy(*key, "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct((-F.col("_n")).alias("o"), F.col("value"))
+    best = [F.min_by(F.when(F.col("feature") == f, F.col("value")), F.when(F.col("feature") == f, order)).alias(into) for f, into in features.items()]
+    return counts.groupBy(*key).agg(*best)
 
 
 def cluster_analysis(labels: DataFrame) -> DataFrame:

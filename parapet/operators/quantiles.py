@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from parapet.functions.numbers import finite_or_null
 
 BUCKETS = 8192
-MAX_GROUPS = 1_000
+# Ranges that one pass splits; more of them take more passes.
+RANGES = 1_000
 
 
 @dataclass
@@ -57,9 +58,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str
     group = F.col(by) if by else F.lit("")
     values = df.select(group.alias("g"), finite_or_null(F.col(column).cast("double")).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
     bounds = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bounds = bounds.limit(MAX_GROUPS + 1).collect()
-    if len(bounds) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {by}: not a label column")
+    bounds = bounds.collect()
 
     sizes, known, pending = {}, defaultdict(dict), []
     for row in bounds:
@@ -76,7 +75,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str
                 unresolved.append((g, lo, hi, before, ranks))
         if not unresolved:
             break
-        pending = _split(values, unresolved)
+        pending = [p for at in range(0, len(unresolved), RANGES) for p in _split(values, unresolved[at : at + RANGES])]
         if [p[:3] for p in pending] == [u[:3] for u in unresolved]:
             raise RuntimeError(f"the ranges of {column} don't narrow")
 
@@ -87,24 +86,27 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str
 
 
 def _split(values: DataFrame, ranges: list[tuple]) -> list[tuple]:
-    """One pass: histogram every range and return the buckets that hold a wanted rank."""
+    """One pass: histogram every range and return the buckets that hold a wanted rank.
+
+    The ranges are at most ``RANGES`` rows and are broadcast; a value meets those of its group only.
+    """
     per_range = max(256, BUCKETS // len(ranges))
-    which, bucket = None, None
-    for i, (g, lo, hi, _, _) in enumerate(ranges):
-        width = (hi - lo) / per_range or (hi - lo)
-        inside = (F.col("g") == F.lit(g)) & F.col("v").between(lo, hi)
-        slot = F.least(F.floor((F.col("v") - lo) / width), F.lit(per_range - 1).cast("bigint"))
-        which = F.when(inside, i) if which is None else which.when(inside, i)
-        bucket = F.when(inside, slot) if bucket is None else bucket.when(inside, slot)
-    histogram = (
-        values.select(which.alias("r"), bucket.alias("b"), "v").where("r IS NOT NULL")
+    schema = T.StructType([T.StructField("rg", values.schema["g"].dataType), *[T.StructField(x, T.DoubleType()) for x in ("rlo", "rhi", "width")], T.StructField("r", T.IntegerType())])
+    table = values.sparkSession.createDataFrame([(g, lo, hi, (hi - lo) / per_range or (hi - lo), i) for i, (g, lo, hi, _, _) in enumerate(ranges)], schema)
+    hit = values.join(F.broadcast(table), (F.col("g") == F.col("rg")) & F.col("v").between(F.col("rlo"), F.col("rhi")))
+    bucket = F.least(F.floor((F.col("v") - F.col("rlo")) / F.col("width")), F.lit(per_range - 1).cast("bigint"))
+    rows = (
+        hit.select("r", bucket.alias("b"), "v")
         .groupBy("r", "b").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     )
+    histogram = defaultdict(list)
+    for row in rows:
+        histogram[row.r].append(row)
     found = []
     for i, (g, _, _, before, ranks) in enumerate(ranges):
         seen = before
-        for row in sorted((h for h in histogram if h.r == i), key=lambda h: h.b):
+        for row in sorted(histogram[i], key=lambda h: h.b):
             here = [r for r in ranks if seen <= r < seen + row.n]
             if here:
                 found.append((g, row.lo, row.hi, seen, here))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parapet.functions.keys import SAMPLE_SEED, sample_key
 from parapet.operators.cleaning import drop_outliers
@@ -28,45 +29,38 @@ SAMPLE_COLUMNS = (
 )
 # A cut is fine enough when at most this many rows share its last prefix.
 SLACK_ROWS = 50_000
-MAX_GROUPS = 1_000
+BROADCAST_ROWS = 100_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its ``rows`` are few; beyond that Spark chooses the join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def prefix_cuts(keys: DataFrame, rows: int, by: str | None = None, digits: int = 2) -> dict[Any, str]:
     """Per group the smallest prefix whose rows, with all smaller prefixes, reach ``rows``.
 
     ``keys`` has a column ``key``. Groups that do not reach ``rows`` are absent. A pass
-    returns at most 16**digits counts per group; a crowded prefix is refined by another
-    pass over the rows of that prefix alone.
+    counts at most 16**digits prefixes per group and returns one row per group; a crowded
+    prefix is refined by another pass over the rows of that prefix alone.
     """
     group = F.col(by) if by else F.lit("")
     source = keys.select(group.alias("g"), "key").where("g IS NOT NULL")
+    schema = T.StructType([T.StructField("g", source.schema["g"].dataType), T.StructField("prefix", T.StringType()), T.StructField("missing", T.LongType())])
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("p"))
+    scoped, depth = source.withColumn("missing", F.lit(rows).cast("bigint")), 0
     cuts: dict[Any, str] = {}
-    open_groups: dict[Any, tuple[str, int]] | None = None
-    depth = 0
-    while open_groups is None or open_groups:
-        scoped = source
-        if open_groups is not None:
-            hit = F.lit(False)
-            for g, (prefix, _) in open_groups.items():
-                hit = hit | ((F.col("g") == F.lit(g)) & F.col("key").startswith(prefix))
-            scoped = source.where(hit)
+    while True:
         depth += digits
-        most = MAX_GROUPS * 16**digits
-        counted = scoped.groupBy("g", F.substring("key", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-        if len(counted) > most:
-            raise ValueError(f"more than {MAX_GROUPS} groups in {by}: not a label column")
-        following: dict[Any, tuple[str, int]] = {}
-        for g in {row.g for row in counted}:
-            missing = rows if open_groups is None else open_groups[g][1]
-            for row in sorted((r for r in counted if r.g == g), key=lambda r: r.p):
-                if row.n >= missing:
-                    cuts[g if by else None] = row.p
-                    if row.n - missing > SLACK_ROWS and depth < 32:
-                        following[g] = (row.p, missing)
-                    break
-                missing -= row.n
-        open_groups = following
-    return cuts
+        counted = scoped.groupBy("g", "missing", F.substring("key", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        left = counted.withColumn("left", F.col("missing") - (upto - F.col("n")))
+        found = left.where(F.col("left").between(1, F.col("n"))).select("g", "p", "n", "left").collect()
+        cuts.update({r.g if by else None: r.p for r in found})
+        crowded = [(r.g, r.p, r.left) for r in found if r.n - r.left > SLACK_ROWS and depth < 32]
+        if not crowded:
+            return cuts
+        table = keys.sparkSession.createDataFrame(crowded, schema)
+        scoped = source.join(_small(table, len(crowded)), "g").where(F.col("key").startswith(F.col("prefix"))).drop("prefix")
 
 
 def _keyed(df: DataFrame, id_column: str, seed: int) -> DataFrame:
@@ -93,11 +87,11 @@ def stratified_sample(
     """
     keyed = _keyed(df.where(F.col(by).isNotNull()), id_column, seed)
     cuts = prefix_cuts(keyed.select(by, F.col("_key").alias("key")), rows, by=by)
-    keep: Column = F.lit(True)
-    for label, cut in cuts.items():
-        keep = keep & ((F.col(by) != F.lit(label)) | (F.substring("_key", 1, len(cut)) <= cut))
+    schema = T.StructType([T.StructField(by, df.schema[by].dataType), T.StructField("_cut", T.StringType())])
+    table = _small(df.sparkSession.createDataFrame(list(cuts.items()), schema), len(cuts))
+    near = keyed.join(table, by, "left").where("_cut IS NULL OR substring(_key, 1, length(_cut)) <= _cut").select(*keyed.columns)
     order = Window.partitionBy(by).orderBy("_key", id_column)
-    ranked = keyed.where(keep).withColumn("_rank", F.row_number().over(order))
+    ranked = near.withColumn("_rank", F.row_number().over(order))
     return ranked.where(F.col("_rank") <= rows).drop("_rank", "_key")
 
 
@@ -131,7 +125,7 @@ def numbered(df: DataFrame, id_column: str = "build_id", by: str | None = None,
 
     The number is the count of rows in smaller prefixes plus the rank inside the prefix, so
     the sort is spread over up to 16**digits groups and does not depend on partitioning.
-    The offsets are one row per prefix (4,096 at most per group), broadcast as such.
+    The offsets are one row per prefix; the ranking is already dealt by the keys they are joined on.
     """
     group = by or "_all"
     keyed = _keyed(df, id_column, seed).withColumn("_prefix", F.substring("_key", 1, digits))
@@ -141,7 +135,7 @@ def numbered(df: DataFrame, id_column: str = "build_id", by: str | None = None,
     before = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(group, "_prefix").orderBy("_key", id_column)
-    ranked = keyed.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(offsets), [group, "_prefix"])
+    ranked = keyed.withColumn("_rank", F.row_number().over(inside)).join(offsets, [group, "_prefix"])
     index = F.col("_offset") + F.col("_rank") - 1
     return ranked.withColumn("sample_index", index).drop("_key", "_prefix", "_rank", "_offset", "_all")
 

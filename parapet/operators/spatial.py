@@ -64,10 +64,14 @@ def contained(points: DataFrame, boxes: DataFrame, cell: float = 0.001) -> DataF
 
 
 def point_in_footprint(points: DataFrame, footprints: DataFrame) -> DataFrame:
-    """(point_id, build_id, type_no) of every point inside a footprint."""
-    return contained(points, footprints.select("build_id", "lon_min", "lon_max", "lat_min", "lat_max")).select(
-        "point_id", "build_id", "type_no"
-    )
+    """(point_id, build_id, type_no) of every point inside a footprint.
+
+    Repeated positions and boxes meet once; the joins back are equi-joins.
+    """
+    edges = ["lon_min", "lon_max", "lat_min", "lat_max"]
+    hits = contained(points.select("longitude", "latitude").distinct(), footprints.select(*edges).distinct())
+    located = hits.join(points.select("point_id", "type_no", "longitude", "latitude"), ["longitude", "latitude"])
+    return located.join(footprints.select("build_id", *edges), edges).select("point_id", "build_id", "type_no")
 
 
 def footprint_votes(points: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -201,10 +205,14 @@ def demolitions(buildings: DataFrame, permits: DataFrame, radius_m: float = PERM
     )
 
 
-def _in_polygon(lon: Column, lat: Column, corners: Column) -> Column:
-    """Ray casting: true when a ray to the east crosses an odd number of edges."""
+def _edges(corners: Column) -> Column:
+    """The edges of a closed ring as pairs of corners ``a`` and ``b``."""
     ends = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
-    edges = F.arrays_zip(corners.alias("a"), ends.alias("b"))
+    return F.arrays_zip(corners.alias("a"), ends.alias("b"))
+
+
+def _in_polygon(lon: Column, lat: Column, edges: Column) -> Column:
+    """Ray casting: true when a ray to the east crosses an odd number of edges."""
 
     def crosses(edge: Column) -> Column:
         a, b = edge["a"], edge["b"]
@@ -218,18 +226,18 @@ def _in_polygon(lon: Column, lat: Column, corners: Column) -> Column:
 def inside_polygons(buildings: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
     """Buildings that lie in at least one polygon, each once.
 
-    Polygons are copied to the cells of their bounding box, which makes the semi join an
-    equi-join; the ray casting runs as its extra condition.
+    Polygons are copied with their edges to the cells of their bounding box, which makes the
+    semi join an equi-join; the ray casting runs as its extra condition.
     """
     lons, lats = F.transform("corners", lambda p: p["lon"]), F.transform("corners", lambda p: p["lat"])
     tiled = (
         polygons.withColumn("cx", F.explode(F.sequence(_cell(F.array_min(lons), cell), _cell(F.array_max(lons), cell))))
         .withColumn("cy", F.explode(F.sequence(_cell(F.array_min(lats), cell), _cell(F.array_max(lats), cell))))
-        .select("cx", "cy", "corners")
+        .select("cx", "cy", _edges(F.col("corners")).alias("edges"))
     )
     located = buildings.where("longitude IS NOT NULL AND latitude IS NOT NULL").withColumns({
         "_cx": _cell(F.col("longitude"), cell), "_cy": _cell(F.col("latitude"), cell),
     })
     same = (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy"))
-    inside = _in_polygon(F.col("longitude"), F.col("latitude"), F.col("corners"))
+    inside = _in_polygon(F.col("longitude"), F.col("latitude"), F.col("edges"))
     return located.join(tiled, same & inside, "left_semi").drop("_cx", "_cy")

@@ -10,10 +10,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows of a file that many passes read.
+FILE_ROWS = 2_000_000
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 @cache
 def _local_folder() -> str:
@@ -31,16 +38,36 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def stage(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, every table that was staged inside it.
+
+    For work that ends with its results written, not for frames that are still to be read.
+    """
+    token = _STAGED.set([])
+    try:
+        yield
+    finally:
+        paths = _STAGED.get()
+        _STAGED.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(df: DataFrame, name: str, spread_by: str | None = None, rows: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the frame that reads it.
 
     ``spread_by`` names a unique column to spread the rows evenly by before writing: one
-    shuffle that pays when dozens of passes read the result.
+    shuffle that pays when dozens of passes read the result. ``rows``, if known, makes the
+    number of files grow with the table.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _STAGED.get() is not None:
+        _STAGED.get().append(path)
     if spread_by is not None:
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, rows // FILE_ROWS)
         df = df.repartition(files, spread_by)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -129,3 +129,21 @@ def test_one_hot_of_unknown_values(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), ("z",)], "c string")
     rows = K.one_hot(df, (("c", ("a", "b")),)).collect()
     assert [(r["c=a"], r["c=b"]) for r in rows] == [(1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_models_beyond_the_centroid_budget_are_fitted_in_batches(spark, rows, monkeypatch):
+    whole = K.plain_clusters(_frame(spark, rows), ks=(2, 3))
+    monkeypatch.setattr(K, "CENTROID_BYTES", 1)
+    split = K.plain_clusters(_frame(spark, rows), ks=(2, 3))
+    assert len(K._batches(split.centroids, split.design)) == len(split.centroids) > 2
+    assert split.centroids == whole.centroids
+    key = lambda fitted: sorted((r.grp, r.k, r.pid, r.cluster) for r in fitted.labels().select("grp", "k", "pid", "cluster").collect())
+    assert key(split) == key(whole)
+
+
+def test_stats_carry_the_totals_of_their_model(spark, rows):
+    labels = K.plain_clusters(_frame(spark, rows), ks=(2,)).staged_labels()
+    stats = K.cluster_stats(labels, with_model=True).where("grp = 'all'").collect()
+    model = K.wcss(labels).where("grp = 'all'").first()
+    assert {r.total_buildings for r in stats} == {sum(r.n for r in stats)} == {model.n}
+    assert stats[0].wcss == pytest.approx(model.wcss)

@@ -25,3 +25,12 @@ def test_groups_nulls_and_single_rows(spark):
 
 def test_no_rows(spark):
     assert quantiles.exact_quantiles(spark.createDataFrame([], "v double"), "v", (0.5,)).value(0.5) is None
+
+
+def test_more_groups_than_one_pass_splits(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "RANGES", 3)
+    rows = [(f"g{i % 10}", float((i * 37) % 101) + i % 10) for i in range(400)]
+    found = quantiles.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", (0.5, 0.9), by="g")
+    for g in {g for g, _ in rows}:
+        values = [v for x, v in rows if x == g]
+        assert found.table[g] == pytest.approx({p: np.quantile(values, p) for p in (0.5, 0.9)})

@@ -1,8 +1,9 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
-from parapet.staging import shared_folder, stage
+from parapet.staging import cleared, shared_folder, stage
 
 
 def _session(master, configured):
@@ -24,3 +25,18 @@ def test_staged_table_is_the_same_table(spark):
     written = stage(df, "numbers", spread_by="build_id")
     assert written.schema.names == df.schema.names and written.count() == 1000
     assert written.exceptAll(df).count() == 0
+
+
+def test_tables_of_a_block_are_deleted_with_it(spark):
+    kept = stage(spark.range(5), "kept")
+    with cleared(spark):
+        inside = stage(spark.range(7), "inside")
+        folder = Path(inside.inputFiles()[0].removeprefix("file://")).parent
+        assert inside.count() == 7 and folder.exists()
+    assert not folder.exists() and kept.count() == 5
+
+
+def test_files_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr("parapet.staging.FILE_ROWS", 10)
+    df = spark.range(200).selectExpr("id AS build_id")
+    assert len(stage(df, "grown", spread_by="build_id", rows=200).inputFiles()) > 10
