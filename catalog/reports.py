@@ -69,17 +69,6 @@ add("a17_soil_components", "value:t n:n pct:n total_unique:n top_coverage:n", la
     f"FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY value='NaN (Missing)' ORDER BY n DESC, value) AS r FROM ({_SOILS})) WHERE r<=20")
 
 
-def _soil_by_class(c: Inputs):
-    parts = [
-        distribution.group_value_counts(c.staged, "occ_cls", column, **options).withColumn("what", F.lit(what))
-        for what, column, options in (
-            ("drainage", "drainagecl", {}), ("flooding", "flodfreqcl", {}),
-            ("engineering", "eng_class", {"labels": ENG_LABELS}), ("components", "compname", {"top_k": soil.TOP_COMPONENTS_PER_CLASS}),
-        )
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def _by_class(what: str, column: str) -> str:
     return f"SELECT '{what}' AS what, occ_cls, COALESCE({column},'NaN (Missing)') AS value, COUNT(*) AS n {_KNOWN} GROUP BY ALL"
 
@@ -88,7 +77,7 @@ _TOP10 = (f"SELECT what, occ_cls, value, n FROM (SELECT *, ROW_NUMBER() OVER (PA
 _ENG = ("SELECT 'engineering' AS what, k.occ_cls, l.value, COUNT(p.build_id) AS n FROM (SELECT DISTINCT occ_cls FROM prepared WHERE occ_cls IS NOT NULL) k, "
         "(VALUES ('Favorable'),('Fair'),('Poor'),('Very poor')) AS l(value) LEFT JOIN prepared p ON p.occ_cls=k.occ_cls AND p.eng_class=l.value GROUP BY ALL UNION ALL "
         f"SELECT 'engineering', occ_cls, 'NaN (Missing)', COUNT(*) {_KNOWN} AND eng_class IS NULL GROUP BY occ_cls")
-add("a18_soil_by_class", "what:t occ_cls:t value:t n:n", _soil_by_class,
+add("a18_soil_by_class", "what:t occ_cls:t value:t n:n", lambda c: soil.soil_by_class(c.prepared),
     f"{_by_class('drainage', 'drainagecl')} UNION ALL {_by_class('flooding', 'flodfreqcl')} UNION ALL {_ENG} UNION ALL {_TOP10}")
 add("a18_water_by_class", "occ_cls:t mean:n median:n std:n", lambda c: soil.water_table_by_class(c.staged),
     f"SELECT occ_cls, AVG(wtdepannmin) AS mean, quantile_cont(wtdepannmin,0.5) AS median, STDDEV_SAMP(wtdepannmin) AS std {_KNOWN} AND wtdepannmin IS NOT NULL GROUP BY occ_cls")

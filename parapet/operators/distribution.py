@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +95,17 @@ def group_value_counts(
     return ranked.drop("_rank").unionByName(counts.where(missing))
 
 
+def many_group_counts(df: DataFrame, by: str, columns: Mapping[str, str]) -> DataFrame:
+    """(what, by, value, n): counts of several columns per group, missing label included, in one pass.
+
+    ``columns`` maps the name in ``what`` to the column; rows without a group are left out.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(what).alias("what"), F.coalesce(F.col(c), F.lit(MISSING)).alias("value")) for what, c in columns.items()
+    ])
+    return df.select(by, F.inline(pairs)).groupBy("what", by, "value").agg(F.count(by).alias("n")).where(F.col("n") > 0)
+
+
 def most_frequent(df: DataFrame, by: Sequence[str], column: str, into: str) -> DataFrame:
     """The most frequent non-null value of each group, ties to the smaller label.
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parapet.functions.bands import ENG_LABELS
 from parapet.functions.numbers import percent, truncate
 from parapet.functions.text import MISSING
-from parapet.operators.distribution import by_frequency, value_counts
+from parapet.operators.distribution import by_frequency, many_group_counts, value_counts
 from parapet.operators.quantiles import exact_quantiles
+from parapet.staging import stage
 
 # What counts as high risk, and the length of the component list.
 RISK_DRAINAGE = ("Poorly drained", "Very poorly drained")
 RISK_FLOODING = ("High",)
 TOP_COMPONENTS = 20
 TOP_COMPONENTS_PER_CLASS = 10
+SOIL_COLUMNS = {"drainage": "drainagecl", "flooding": "flodfreqcl", "engineering": "eng_class", "components": "compname"}
 
 
 def is_high_risk() -> Column:
@@ -73,3 +76,19 @@ def risk_summary(df: DataFrame) -> DataFrame:
 def risk_by_class(df: DataFrame) -> DataFrame:
     """High-risk buildings per class."""
     return value_counts(df.where(is_high_risk()), "occ_cls", "occ_cls")
+
+
+def soil_by_class(df: DataFrame) -> DataFrame:
+    """(what, occ_cls, value, n): drainage, flooding, engineering class and the top components per class.
+
+    All four come from one pass; the counts, a row per label, are staged because zero rows
+    of the engineering labels are added to them.
+    """
+    counts = stage(many_group_counts(df, "occ_cls", SOIL_COLUMNS), "soil-counts")
+    labels = F.explode(F.array(*[F.lit(x) for x in ENG_LABELS]))
+    zeros = counts.select("occ_cls").distinct().select(F.lit("engineering").alias("what"), "occ_cls", labels.alias("value"), F.lit(0).cast("bigint").alias("n"))
+    full = counts.unionByName(zeros).groupBy("what", "occ_cls", "value").agg(F.sum("n").alias("n"))
+    missing = F.col("value") == MISSING
+    order = Window.partitionBy("what", "occ_cls", missing).orderBy(F.desc("n"), "value")
+    ranked = full.withColumn("_rank", F.row_number().over(order))
+    return ranked.where((F.col("what") != "components") | missing | (F.col("_rank") <= TOP_COMPONENTS_PER_CLASS)).drop("_rank")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from parapet.operators import crosstab
 from parapet.sources import readers, writers
@@ -12,9 +11,9 @@ from parapet.sources import readers, writers
 SCATTER_ROWS = 100_000
 
 
-def heatmap(cells: DataFrame, table: str, measure: str) -> dict:
+def heatmap(cells: list[Row], table: str, measure: str) -> dict:
     """One matrix as ``z`` (rows of values), ``x`` (column labels) and ``y`` (row labels), axes sorted."""
-    rows = cells.where(F.col("heatmap") == table).select("row", "foundation", measure).orderBy("row", "foundation").collect()
+    rows = [r for r in cells if r["heatmap"] == table]
     y = sorted({r["row"] for r in rows})
     x = sorted({r["foundation"] for r in rows})
     values = {(r["row"], r["foundation"]): r[measure] for r in rows}
@@ -24,7 +23,7 @@ def heatmap(cells: DataFrame, table: str, measure: str) -> dict:
 def document(clf: DataFrame) -> dict:
     """The whole document; the matrices have one value per pair of labels."""
     scatter = crosstab.clf_scatter(clf).select(*crosstab.SCATTER_COLUMNS).limit(SCATTER_ROWS + 1).collect()
-    cells = clf.sparkSession.createDataFrame(crosstab.clf_heatmaps(clf).collect(), crosstab.clf_heatmaps(clf).schema)
+    cells = crosstab.clf_heatmaps(clf).collect()
     small = len(scatter) <= SCATTER_ROWS
     out = {"scatter_data": {c: [r[c] for r in scatter] for c in crosstab.SCATTER_COLUMNS} if small else {"path": "scatter"}}
     for table in ("material", "struct"):

@@ -14,12 +14,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parapet.functions import votes
 from parapet.functions.bands import ENG_LABELS
 from parapet.functions.numbers import null_non_finite
 from parapet.operators import classes, cleaning, clustering, crosstab, distribution, flows, sampling, soil, temporal
 from parapet.plans import buildings as plan
 from parapet.sources import writers
-from parapet.staging import stage
+from parapet.staging import cleared, stage
 
 VERSION = "3.2"
 # A larger section stays a data set, and the summary names its place.
@@ -44,21 +45,9 @@ def _hierarchy(t: Tables) -> DataFrame:
     return flows.hierarchy_links(flows.hierarchy_cube(t.prepared, flows.terciles(t.prepared)))
 
 
-def _drainage_by_class(t: Tables) -> DataFrame:
-    parts = [
-        distribution.group_value_counts(t.prepared, "occ_cls", column, **options).withColumn("what", F.lit(what))
-        for what, column, options in (
-            ("drainage", "drainagecl", {}), ("flooding", "flodfreqcl", {}),
-            ("engineering", "eng_class", {"labels": ENG_LABELS}), ("components", "compname", {"top_k": soil.TOP_COMPONENTS_PER_CLASS}),
-        )
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def _indexed(links: DataFrame, diagram: str, first: str, second: str) -> DataFrame:
+    # Links are one row per pair of labels and are read three times.
+    links = stage(links, "links")
     return flows.indexed_links(links, flows.node_index(links, diagram, first, second), diagram)
 
 
@@ -94,7 +83,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "soil_water_table": lambda t: soil.water_table_stats(t.prepared),
     "soil_engineering": lambda t: distribution.value_shares(t.prepared, "eng_class", ENG_LABELS),
     "soil_components": lambda t: soil.component_ranking(t.prepared),
-    "soil_by_occupancy": _drainage_by_class,
+    "soil_by_occupancy": lambda t: soil.soil_by_class(t.prepared),
     "soil_water_by_occupancy": lambda t: soil.water_table_by_class(t.prepared),
     "soil_risk": lambda t: soil.risk_summary(t.prepared),
     "soil_risk_by_occupancy": lambda t: soil.risk_by_class(t.prepared),
@@ -107,7 +96,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 
 
 def _main_analysis(t: Tables) -> DataFrame:
-    return clustering.cluster_analysis(clustering.main_clusters(t.cluster).labels())
+    return clustering.cluster_analysis(clustering.main_clusters(t.cluster).staged_labels())
 
 
 def _elbow(t: Tables) -> DataFrame:
@@ -116,14 +105,14 @@ def _elbow(t: Tables) -> DataFrame:
 
 
 def _feature_clusters(t: Tables) -> DataFrame:
-    labels = clustering.feature_clusters(t.prepared).labels()
-    return clustering.cluster_stats(labels).join(clustering.dominant_features(labels), ["grp", "combo", "k", "cluster"], "left")
+    labels = clustering.feature_clusters(t.prepared).staged_labels()
+    return clustering.cluster_stats(labels, with_model=True).join(clustering.dominant_features(labels), ["grp", "combo", "k", "cluster"], "left")
 
 
 CLUSTER_REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "clustering": _main_analysis,
     "clustering_elbow": _elbow,
-    "occupancy_clusters": lambda t: clustering.cluster_stats(clustering.plain_clusters(t.prepared).labels(), with_area=True),
+    "occupancy_clusters": lambda t: clustering.cluster_stats(clustering.plain_clusters(t.prepared).labels(), with_area=True, with_model=True),
     "occupancy_clusters_enhanced": _feature_clusters,
 }
 
@@ -161,8 +150,13 @@ def write_report(raw: DataFrame, folder: str, source: str = "", clusters: bool =
     """Write all sections below ``folder`` and return the summary document.
 
     ``sections/<name>`` holds every report as JSON Lines, ``samples`` the chunks,
-    ``map_points`` and ``reclass_map`` the two large data sets.
+    ``map_points`` and ``reclass_map`` the two large data sets. Intermediate tables are deleted at the end.
     """
+    with cleared(raw.sparkSession):
+        return _write_report(raw, folder, source, clusters)
+
+
+def _write_report(raw: DataFrame, folder: str, source: str, clusters: bool) -> dict:
     t = Tables.of(raw)
     document: dict = {}
     for name, build in {**REPORTS, **(CLUSTER_REPORTS if clusters else {})}.items():
@@ -182,11 +176,21 @@ def write_report(raw: DataFrame, folder: str, source: str = "", clusters: bool =
 
 
 def metadata(total: int, files: list[dict], source: str) -> dict:
-    """Totals of the run and of the sample files."""
+    """Totals of the run and of the sample files, each with its place below the report's folder."""
     per_type = {kind: [f for f in files if f["type"] == kind] for kind in ("random", "balanced")}
+    now = datetime.now(timezone.utc).isoformat()
+    files = [
+        f | {
+            "path": f"samples/type={f['type']}/chunk_index={f['chunk_index']}", "total_chunks": len(per_type[f["type"]]),
+            "chunk_size": sampling.CHUNK_ROWS, "date_processed": now,
+        }
+        for f in files
+    ]
     return {
         "total_buildings": total,
-        "date_processed": datetime.now(timezone.utc).isoformat(),
+        "id_field": "build_id",
+        "class_codes": {code: name for name, code, _ in votes.CANDIDATES},
+        "date_processed": now,
         "source_file": source,
         "version": VERSION,
         "samples_split": True,

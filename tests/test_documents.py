@@ -97,3 +97,10 @@ def test_links_resolve_to_names(document):
         for link in doc[section]:
             assert names[link[diagram], link["source_idx"]] != names[link[diagram], link["target_idx"]]
     assert [c["stage"] for c in doc["quality_checks"]] == ["raw", "cleaned"] and "gfa" in doc["metadata"]["initial_columns"]
+
+
+def test_sample_files_lie_where_the_document_says(document):
+    folder, doc = document
+    for f in doc["metadata"]["samples_files"]:
+        assert list((Path(folder) / f["path"]).glob("part-*")) and f["total_chunks"] >= f["chunk_index"]
+    assert doc["metadata"]["class_codes"]["R"] == "Residential"
