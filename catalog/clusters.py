@@ -7,59 +7,106 @@ from pyspark.sql import functions as F
 from catalog.registry import Inputs, add, define
 from parapet.operators import cleaning, clustering, sampling
 
-# The class labels of the stand-in data, in order.
+# The labels of the stand-in data, in order.
 _CLASSES = ["Agriculture", "Assembly", "Commercial", "Education", "Government", "Industrial", "Residential", "Unclassified", "Utility"]
-_LIST = "[" + ", ".join(f"'{c}'" for c in _CLASSES) + "]"
+_LABELS = {"foundation_type": ["Basement", "Crawl", "Slab"], "material_type": ["M", "S", "W"], "occ_cls": _CLASSES}
 _HOLES = ("sqmeters", "height_used", "year_built", "occ_cls", "material_type", "foundation_type", "gfa")
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in _HOLES)
 
 
-def _define_fit(name: str, rows: str, numeric: tuple[str, ...], with_class: bool, ks: tuple[int, ...], least: int) -> None:
-    """Subqueries <name>_points, _seeds, _steps, _final and _labels for k-means over ``rows`` (with a column grp)."""
-    n, size = len(numeric), len(_CLASSES)
-    dims = range(n)
-    z = [f"CASE WHEN STDDEV_POP({c}) OVER w > 0 THEN CAST(ROUND(({c}-AVG({c}) OVER w)/STDDEV_POP({c}) OVER w*1000000) AS BIGINT) ELSE 0 END AS x{i}" for i, c in enumerate(numeric)]
-    slot = f"list_position({_LIST}, occ_cls)" if with_class else "0"
-    define(f"{name}_points", f"SELECT grp, build_id AS pid, occ_cls, gfa, sqmeters, height_used, year_built, {', '.join(z)}, {slot} AS s0 FROM ({rows}) WINDOW w AS (PARTITION BY grp)")
-    hash_of = lambda step: f"((CAST('0x' || substr(md5(pid || '#42#' || ({step})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
-    point = "{" + ", ".join([f"'x{i}': x{i}" for i in dims] + ["'s0': s0"]) + "}"
-    gap = " + ".join(f"(x{i}/1000000.0-c.x{i}/1000000.0)*(x{i}/1000000.0-c.x{i}/1000000.0)" for i in dims)
-    gap += " + (CASE WHEN s0=c.s0 THEN 0.0E0 ELSE 2.0E0 END)" if with_class else ""
-    define(f"{name}_seeds", f"SELECT 0 AS step, grp, [arg_min({point}, {{'u': u, 'p': pid}})] AS cs FROM (SELECT *, {hash_of('0')} AS u FROM {name}_points) GROUP BY grp UNION ALL "
-           f"SELECT step+1, grp, list_append(any_value(cs), arg_min({point}, {{'u': score, 'p': pid}})) FROM (SELECT *, -ln({hash_of('step+1')})/d AS score FROM ("
-           f"SELECT s.step, s.cs, p.*, list_min(list_transform(s.cs, lambda c: {gap})) AS d FROM {name}_seeds s JOIN {name}_points p ON s.grp=p.grp WHERE s.step < {max(ks) - 1}) WHERE d>0) GROUP BY step, grp")
-    share = "[" + ", ".join(f"CASE WHEN c.s0={j} THEN 1.0E0 ELSE 0.0E0 END" for j in range(1, size + 1)) + "]"
-    bias = "2.0E0" if with_class else "0.0E0"
-    start = (f"SELECT 0 AS it, grp, k, j, " + ", ".join(f"c.x{i}/1000000.0 AS c{i}" for i in dims) + f", {bias} AS bias, {share} AS p, FALSE AS done FROM ("
-             f"SELECT f.grp, k, UNNEST(range(least(k, len(cs)))) AS j, UNNEST(cs[1:k]) AS c FROM (SELECT * FROM {name}_seeds WHERE step={max(ks) - 1}) f, "
-             f"(SELECT UNNEST([{', '.join(map(str, ks))}]) AS k) WHERE (SELECT MAX(n) FROM {name}_sizes z WHERE z.grp=f.grp) >= greatest(k, {least}))")
+def _define_fit(name: str, rows: str, numeric: tuple[str, ...], features: tuple[str, ...], ks: tuple[int, ...], least: int, without: dict[str, str] | None = None) -> None:
+    """Subqueries <name>_points, _seeds, _steps, _final and _labels for k-means over ``rows`` (with a column grp).
+
+    A label is a slot of the list p, feature by feature in the order given; the last slot is 0
+    and serves rows that do not use a feature. ``without`` has the condition of those rows.
+    """
+    dims, cats = range(len(numeric)), range(len(features))
+    starts = [sum(len(_LABELS[f]) for f in features[:i]) for i in range(len(features) + 1)]
+    size = starts[-1]
+    z = [
+        f"CASE WHEN STDDEV_POP({c}) OVER w > 0 THEN CAST(ROUND(({c}-AVG({c}) OVER w)/STDDEV_POP({c}) OVER w*1000000) AS BIGINT) ELSE 0 END AS x{i}"
+        for i, c in enumerate(numeric)
+    ]
+    slots = [
+        f"CASE WHEN {(without or {}).get(f, 'FALSE')} THEN {size + 1} ELSE COALESCE(list_position([{', '.join(repr(v) for v in _LABELS[f])}], {f}) + {starts[i]}, {size + 1}) END AS s{i}"
+        for i, f in enumerate(features)
+    ]
+    raw = "occ_cls, material_type, foundation_type, gfa, sqmeters, height_used, year_built"
+    define(f"{name}_points", f"SELECT grp, build_id AS pid, {raw}, {', '.join(z + slots)} FROM ({rows}) WINDOW w AS (PARTITION BY grp)")
     define(f"{name}_sizes", f"SELECT grp, COUNT(*) AS n FROM {name}_points GROUP BY grp")
+
+    hash_of = lambda step: f"((CAST('0x' || substr(md5(pid || '#42#' || ({step})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+    point = "{" + ", ".join([f"'x{i}': x{i}" for i in dims] + [f"'s{i}': s{i}" for i in cats] + ["'z': 0"]) + "}"
+    gap = " + ".join(f"(x{i}/1000000.0-c.x{i}/1000000.0)*(x{i}/1000000.0-c.x{i}/1000000.0)" for i in dims)
+    if features:
+        gap += " + (" + " + ".join(f"CASE WHEN s{i}=c.s{i} THEN 0.0E0 ELSE 2.0E0 END" for i in cats) + ")"
+    define(
+        f"{name}_seeds",
+        f"SELECT 0 AS step, grp, [arg_min({point}, {{'u': u, 'p': pid}})] AS cs FROM (SELECT *, {hash_of('0')} AS u FROM {name}_points) GROUP BY grp UNION ALL "
+        f"SELECT step+1, grp, list_append(any_value(cs), arg_min({point}, {{'u': score, 'p': pid}})) FROM (SELECT *, -ln({hash_of('step+1')})/d AS score FROM ("
+        f"SELECT s.step, s.cs, p.*, list_min(list_transform(s.cs, lambda c: {gap})) AS d FROM {name}_seeds s JOIN {name}_points p ON s.grp=p.grp "
+        f"WHERE s.step < {max(ks) - 1}) WHERE d>0) GROUP BY step, grp",
+    )
+
+    slot_of = [i for i in cats for _ in _LABELS[features[i]]]
+    share = "[" + ", ".join([f"CASE WHEN c.s{i}={j} THEN 1.0E0 ELSE 0.0E0 END" for j, i in enumerate(slot_of, 1)] + ["0.0E0"]) + "]"
+    used = " + ".join(f"CASE WHEN c.s{i}<={size} THEN 1 ELSE 0 END" for i in cats) or "0"
+    start = (
+        "SELECT 0 AS it, grp, k, j, " + ", ".join(f"c.x{i}/1000000.0 AS c{i}" for i in dims)
+        + f", CAST({used} AS DOUBLE) AS nf, 2.0E0*({used}) AS bias, {share} AS p, FALSE AS done FROM ("
+        f"SELECT f.grp, k, UNNEST(range(least(k, len(cs)))) AS j, UNNEST(cs[1:k]) AS c FROM (SELECT * FROM {name}_seeds WHERE step={max(ks) - 1}) f, "
+        f"(SELECT UNNEST([{', '.join(map(str, ks))}]) AS k) WHERE (SELECT MAX(n) FROM {name}_sizes z WHERE z.grp=f.grp) >= greatest(k, {least}))"
+    )
     far = " + ".join(f"(x{i}/1000000.0-c{i})*(x{i}/1000000.0-c{i})" for i in dims)
-    far += " + (bias - 2.0*l.p[s0])" if with_class else ""
-    kept = ", ".join([f"'c{i}': c{i}" for i in dims] + ["'j': j", "'p': l.p"])
-    near = (f"SELECT l.it, l.grp, l.k, q.pid, any_value(q.s0) AS s0, " + ", ".join(f"any_value(x{i}) AS x{i}" for i in dims)
-            + f", arg_min({{{kept}}}, {{'d': {far}, 'j': j}}) AS b FROM {name}_steps l JOIN {name}_points q ON l.grp=q.grp WHERE NOT l.done GROUP BY l.it, l.grp, l.k, q.pid")
-    fresh = "[" + ", ".join(f"SUM(CASE WHEN s0={j} THEN 1 ELSE 0 END)/COUNT(*)" for j in range(1, size + 1)) + "]" if with_class else "any_value(b.p)"
-    sums = (f"SELECT it, grp, k, b.j AS j, " + ", ".join(f"CAST(SUM(x{i}) AS DOUBLE)/COUNT(*)/1000000 AS c{i}, any_value(b.c{i}) AS o{i}" for i in dims)
-            + f", {fresh} AS p, any_value(b.p) AS op FROM ({near}) GROUP BY it, grp, k, b.j")
+    if features:
+        far += " + (bias - 2.0*(" + " + ".join(f"l.p[s{i}]" for i in cats) + "))"
+    kept = ", ".join([f"'c{i}': c{i}" for i in dims] + ["'j': j", "'p': l.p", "'nf': nf"])
+    near = (
+        "SELECT l.it, l.grp, l.k, q.pid, " + "".join(f"any_value(q.s{i}) AS s{i}, " for i in cats) + ", ".join(f"any_value(x{i}) AS x{i}" for i in dims)
+        + f", arg_min({{{kept}}}, {{'d': {far}, 'j': j}}) AS b FROM {name}_steps l JOIN {name}_points q ON l.grp=q.grp WHERE NOT l.done GROUP BY l.it, l.grp, l.k, q.pid"
+    )
+    fresh = "[" + ", ".join([f"SUM(CASE WHEN s{i}={j} THEN 1 ELSE 0 END)/COUNT(*)" for j, i in enumerate(slot_of, 1)] + ["0.0E0"]) + "]"
+    sums = (
+        "SELECT it, grp, k, b.j AS j, " + ", ".join(f"CAST(SUM(x{i}) AS DOUBLE)/COUNT(*)/1000000 AS c{i}, any_value(b.c{i}) AS o{i}" for i in dims)
+        + f", any_value(b.nf) AS nf, {fresh} AS p, any_value(b.p) AS op FROM ({near}) GROUP BY it, grp, k, b.j"
+    )
     shift = " + ".join(f"(c{i}-o{i})*(c{i}-o{i})" for i in dims) + " + list_sum(list_transform(list_zip(p, op), lambda e: (e[1]-e[2])*(e[1]-e[2])))"
-    square = "1.0E0 + list_sum(list_transform(p, lambda e: e*e))" if with_class else "0.0E0"
-    define(f"{name}_steps", f"{start} UNION ALL SELECT it+1, grp, k, j, " + ", ".join(f"c{i}" for i in dims)
-           + f", {square}, p, SUM({shift}) OVER (PARTITION BY grp, k) <= 0.0001 FROM ({sums}) WHERE it<300")
+    define(
+        f"{name}_steps",
+        f"{start} UNION ALL SELECT it+1, grp, k, j, " + ", ".join(f"c{i}" for i in dims)
+        + f", nf, nf + list_sum(list_transform(p, lambda e: e*e)), p, SUM({shift}) OVER (PARTITION BY grp, k) <= 0.0001 FROM ({sums}) WHERE it<300",
+    )
     order = ", ".join(f"c{i}" for i in dims) + ", p"
-    define(f"{name}_final", f"SELECT *, ROW_NUMBER() OVER (PARTITION BY grp, k ORDER BY {order})-1 AS cluster FROM {name}_steps s "
-           f"WHERE it=(SELECT MAX(it) FROM {name}_steps m WHERE m.grp=s.grp AND m.k=s.k)")
-    define(f"{name}_labels", f"SELECT q.grp, l.k, q.pid, any_value(q.occ_cls) AS occ_cls, any_value(gfa) AS gfa, any_value(sqmeters) AS sqmeters, any_value(height_used) AS height_used, "
-           f"any_value(year_built) AS year_built, arg_min(cluster, {{'d': {far}, 'j': cluster}}) AS cluster, MIN({far}) AS d2 FROM {name}_final l JOIN {name}_points q ON l.grp=q.grp GROUP BY q.grp, l.k, q.pid")
+    define(
+        f"{name}_final",
+        f"SELECT *, ROW_NUMBER() OVER (PARTITION BY grp, k ORDER BY {order})-1 AS cluster FROM {name}_steps s "
+        f"WHERE it=(SELECT MAX(it) FROM {name}_steps m WHERE m.grp=s.grp AND m.k=s.k)",
+    )
+    carried = ", ".join(f"any_value(q.{c}) AS {c}" for c in raw.split(", "))
+    define(
+        f"{name}_labels",
+        f"SELECT q.grp, l.k, q.pid, {carried}, arg_min(cluster, {{'d': {far}, 'j': cluster}}) AS cluster, MIN({far}) AS d2 "
+        f"FROM {name}_final l JOIN {name}_points q ON l.grp=q.grp GROUP BY q.grp, l.k, q.pid",
+    )
 
 
 _ALL_AND_CLASS = f"SELECT *, UNNEST(['all', occ_cls]) AS grp FROM prepared WHERE {_COMPLETE}"
-_define_fit("main_fit", "SELECT *, 'all' AS grp FROM cluster_rows", clustering.NUMERIC, True, (clustering.MAIN_K,), 1)
+_define_fit("main_fit", "SELECT *, 'all' AS grp FROM cluster_rows", clustering.NUMERIC, ("occ_cls",), (clustering.MAIN_K,), 1)
 _define_fit("elbow_fit", "SELECT *, 'all' AS grp FROM prepared WHERE occ_cls IS NOT NULL AND gfa IS NOT NULL AND year_built IS NOT NULL AND gfa < "
             "(SELECT quantile_cont(gfa, 0.99999) FROM prepared WHERE occ_cls IS NOT NULL AND year_built IS NOT NULL)",
-            clustering.ELBOW_NUMERIC, True, tuple(clustering.ELBOW_K), 1)
-_define_fit("few_fit", _ALL_AND_CLASS, clustering.NUMERIC, False, (2, 3, 4), clustering.PLAIN_MIN_ROWS)
-_define_fit("plain_fit", _ALL_AND_CLASS, clustering.NUMERIC, False, tuple(clustering.PLAIN_K), clustering.PLAIN_MIN_ROWS)
+            clustering.ELBOW_NUMERIC, ("occ_cls",), tuple(clustering.ELBOW_K), 1)
+_define_fit("few_fit", _ALL_AND_CLASS, clustering.NUMERIC, (), (2, 3, 4), clustering.PLAIN_MIN_ROWS)
+_define_fit("plain_fit", _ALL_AND_CLASS, clustering.NUMERIC, (), tuple(clustering.PLAIN_K), clustering.PLAIN_MIN_ROWS)
+
+# Every combination of features is a group of its own; rows of the sample miss optional features and drop out of theirs.
+_ALL_FEATURES = ("foundation_type", "material_type", "occ_cls")
+_COMBOS = "SELECT UNNEST(['base', 'material', 'foundation', 'both']) AS combo"
+_WITHOUT = {"foundation_type": "combo IN ('base', 'material')", "material_type": "combo IN ('base', 'foundation')"}
+_define_fit("feature_fit", f"SELECT *, combo || '|' || part AS grp FROM (SELECT *, UNNEST(['all', occ_cls]) AS part FROM prepared WHERE {_COMPLETE}), ({_COMBOS})",
+            clustering.NUMERIC, _ALL_FEATURES, tuple(clustering.FEATURE_K), clustering.FEATURE_MIN_ROWS, _WITHOUT)
+for _name, _rows in (("balanced_fit", "balanced_rows"), ("random_fit", "random_rows")):
+    _define_fit(_name, f"SELECT *, combo AS grp FROM {_rows}, ({_COMBOS}) WHERE (material_type IS NOT NULL OR {_WITHOUT['material_type']}) "
+                f"AND (foundation_type IS NOT NULL OR {_WITHOUT['foundation_type']})", clustering.NUMERIC, _ALL_FEATURES, tuple(clustering.SAMPLE_K), 1, _WITHOUT)
 
 add("m1_standardise", "build_id:n sqmeters_z:n height_used_z:n year_built_z:n", lambda c: clustering.standardise(cleaning.cluster_table(c.staged), clustering.NUMERIC),
     "SELECT build_id, " + ", ".join(f"({x}-AVG({x}) OVER ())/STDDEV_POP({x}) OVER () AS {x}_z" for x in clustering.NUMERIC) + " FROM cluster_rows")
@@ -84,6 +131,10 @@ def _library(c: Inputs):
 
 
 add("m3_library_kmeans", "cluster:n n:n avg_sqmeters:n", _library)
+# The estimator's own seeds have no twin; its clusters must still be all there and add up to the table.
+add("m3_library_totals", "clusters:n n:n sqmeters:n",
+    lambda c: _library(c).agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_sqmeters")).alias("sqmeters")),
+    f"SELECT {clustering.MAIN_K} AS clusters, COUNT(*) AS n, SUM(sqmeters) AS sqmeters FROM cluster_rows")
 add("m4_main_clusters", "pid:n cluster:n d2:n", lambda c: clustering.main_clusters(cleaning.cluster_table(c.staged)).labels(), "SELECT pid, cluster, d2 FROM main_fit_labels")
 
 
@@ -110,7 +161,21 @@ def _feature_report(c: Inputs):
     return clustering.cluster_stats(labels, with_model=True).join(clustering.dominant_features(labels), ["grp", "combo", "k", "cluster"], "left")
 
 
-add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominant_material:t dominant_foundation:t wcss:n total_buildings:n", _feature_report)
+def _common(column: str, kind: str) -> str:
+    """The most frequent label of each cluster of the combinations that use the feature."""
+    return (
+        f"SELECT grp, k, cluster, {column} AS dominant_{kind} FROM (SELECT grp, k, cluster, {column}, "
+        f"ROW_NUMBER() OVER (PARTITION BY grp, k, cluster ORDER BY COUNT(*) DESC, {column}) AS r "
+        f"FROM feature_fit_labels WHERE split_part(grp, '|', 1) IN ('both', '{kind}') GROUP BY grp, k, cluster, {column}) WHERE r=1"
+    )
+
+
+add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominant_material:t dominant_foundation:t wcss:n total_buildings:n", _feature_report,
+    f"SELECT split_part(s.grp, '|', 2) AS grp, split_part(s.grp, '|', 1) AS combo, s.* EXCLUDE (grp), dominant_material, dominant_foundation, "
+    f"SUM(part) OVER (PARTITION BY s.grp, s.k) AS wcss, SUM(n) OVER (PARTITION BY s.grp, s.k) AS total_buildings FROM ("
+    f"SELECT grp, k, cluster, {_STATS}, SUM(d2) AS part FROM feature_fit_labels GROUP BY grp, k, cluster) s "
+    f"LEFT JOIN ({_common('material_type', 'material')}) m ON m.grp=s.grp AND m.k=s.k AND m.cluster=s.cluster "
+    f"LEFT JOIN ({_common('foundation_type', 'foundation')}) f ON f.grp=s.grp AND f.k=s.k AND f.cluster=s.cluster")
 
 
 def _sample_labels(c: Inputs):
@@ -118,7 +183,7 @@ def _sample_labels(c: Inputs):
     return clustering.sample_clusters(sample).labels()
 
 
-add("m8_sample_labels", "pid:n combo:t k:n cluster:n", _sample_labels)
+add("m8_sample_labels", "pid:n combo:t k:n cluster:n", _sample_labels, "SELECT pid, grp AS combo, k, cluster FROM balanced_fit_labels")
 
 
 def _fixed_labels(c: Inputs):
@@ -184,4 +249,9 @@ def _enhanced_sample(c: Inputs):
 
 
 _LABEL_COLUMNS = [f"cluster_{combo}_k{k}" for combo in clustering.COMBINATIONS for k in clustering.SAMPLE_K] + [f"cluster_k{k}" for k in clustering.SAMPLE_K]
-add("p3_enhanced_sample", "build_id:n occ_cls:t gfa:n cluster:n " + " ".join(f"{x}:n" for x in _LABEL_COLUMNS), _enhanced_sample)
+_AT = lambda combo, k: f"MAX(cluster) FILTER (WHERE grp='{combo}' AND k={k})"
+_WIDE = ", ".join(
+    [f"{_AT(combo, k)} AS cluster_{combo}_k{k}" for combo in clustering.COMBINATIONS for k in clustering.SAMPLE_K]
+    + [f"{_AT('base', k)} AS cluster_k{k}" for k in clustering.SAMPLE_K] + [f"{_AT('base', clustering.MAIN_K)} AS cluster"])
+add("p3_enhanced_sample", "build_id:n occ_cls:t gfa:n cluster:n " + " ".join(f"{x}:n" for x in _LABEL_COLUMNS), _enhanced_sample,
+    f"SELECT s.build_id, s.occ_cls, s.gfa, w.* EXCLUDE (pid) FROM random_rows s LEFT JOIN (SELECT pid, {_WIDE} FROM random_fit_labels GROUP BY pid) w ON w.pid=s.build_id")
