@@ -19,6 +19,7 @@ HEADLINES = (
     "a9_cell_breakdown", "a15_water_table", "a17_soil_components", "a18_soil_by_class", "a19_risk_summary",
     "a20_resolution_stats", "a25_hierarchy_views", "a26_flow_table", "a28_vote_links", "c9_vote_list",
     "s7_sample_chunks", "p2_stratified_sample", "d5_match_rate", "d7_demolitions", "d8_filled_land", "m10_batched_models",
+    "a30_cluster_analysis", "m6_class_clusters",
 )
 
 

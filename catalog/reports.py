@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import Inputs, add
 from parapet.functions.bands import ENG_LABELS
 from parapet.operators import classes, cleaning, crosstab, distribution, flows, sampling, soil, temporal
+from parapet.staging import stage
 
 _KNOWN = "FROM prepared WHERE occ_cls IS NOT NULL"
 
@@ -38,8 +39,14 @@ add("a7_crosstab_counts", "material_type:t foundation_type:t n:n",
     lambda c: crosstab.era_matrix(c.prepared).where("era='all'"),
     f"SELECT material_type, foundation_type, n FROM ({_GRID}) WHERE era='all'")
 add("a8_crosstab_area", "material_type:t foundation_type:t area:n",
-    lambda c: crosstab.cells(c.prepared, ("material_type", "foundation_type")),
-    "SELECT material_type, foundation_type, SUM(gfa) AS area FROM prepared WHERE material_type IS NOT NULL AND foundation_type IS NOT NULL GROUP BY 1,2")
+    lambda c: crosstab.matrix(c.prepared, "material_type", "foundation_type"),
+    f"SELECT material_type, foundation_type, area FROM ({_GRID}) WHERE era='all'")
+# Years by soil component: a matrix of which many cells are empty.
+_YEARS = "SELECT CAST(year_built AS BIGINT) AS year, compname, build_id, gfa FROM prepared WHERE compname IS NOT NULL"
+add("a8_sparse_area", "year:n compname:t n:n area:n",
+    lambda c: crosstab.matrix(c.prepared.withColumn("year", F.col("year_built").cast("bigint")), "year", "compname"),
+    f"SELECT r.year, f.compname, COUNT(x.build_id) AS n, COALESCE(SUM(x.gfa),0) AS area FROM (SELECT DISTINCT year FROM ({_YEARS})) r, (SELECT DISTINCT compname FROM ({_YEARS})) f "
+    f"LEFT JOIN ({_YEARS}) x ON x.year=r.year AND x.compname=f.compname GROUP BY 1,2")
 add("a9_cell_breakdown", "era:t material_type:t foundation_type:t level:t occ_cls:t n:n area:n cell:t", lambda c: crosstab.cell_breakdown(c.prepared),
     "SELECT era, material_type, foundation_type, 'total' AS level, NULL AS occ_cls, COUNT(*) AS n, SUM(gfa) AS area, material_type || '_' || foundation_type AS cell FROM era_cells GROUP BY ALL UNION ALL "
     "SELECT era, material_type, foundation_type, 'class', occ_cls, COUNT(*), SUM(gfa), material_type || '_' || foundation_type FROM era_cells WHERE occ_cls IS NOT NULL GROUP BY ALL")
@@ -138,7 +145,8 @@ add("a29_node_index", "name:t idx:n", lambda c: flows.node_index(_use_links(c),
 
 
 def _indexed(c: Inputs):
-    links = _use_links(c)
+    # One row per pair of labels, read three times.
+    links = stage(_use_links(c), "links")
     return flows.indexed_links(links, flows.node_index(links, "diagram", "occ_cls", "prim_occ"), "diagram")
 
 
@@ -204,13 +212,7 @@ add("d11_stacked_series", "year:n occ_cls:t n:n total_area:n", lambda c: tempora
     "SELECT TRUNC(year_built) AS year, occ_cls, COUNT(*) AS n, SUM(gfa) AS total_area FROM cluster_rows WHERE year_built>=1940 GROUP BY 1,2")
 
 
-def _kinds(c: Inputs):
-    parts = [cleaning.building_type(c.prepared, kind).agg(F.count(F.lit(1)).alias("n"), F.sum("gfa").alias("area")).withColumn("kind", F.lit(kind))
-             for kind in ("All", "Residential", "Non-Residential")]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-add("d12_building_type", "kind:t n:n area:n", _kinds,
+add("d12_building_type", "kind:t n:n area:n", lambda c: cleaning.building_type_totals(c.prepared),
     "SELECT 'All' AS kind, COUNT(*) AS n, SUM(gfa) AS area FROM prepared UNION ALL SELECT 'Residential', COUNT(*), SUM(gfa) FROM prepared WHERE occ_cls='Residential' UNION ALL "
     "SELECT 'Non-Residential', COUNT(*), SUM(gfa) FROM prepared WHERE occ_cls<>'Residential'")
 add("d13_floor_area_trend", "year:n total_area:n", lambda c: temporal.floor_area_trend(c.prepared), "SELECT TRUNC(year_built) AS year, SUM(gfa) AS total_area FROM prepared GROUP BY 1")

@@ -75,6 +75,18 @@ add("c13_class_codes", "build_id:n occ_cls:t code:t back:t",
     lambda c: c.raw_plain.select("build_id", "occ_cls", V.class_to_code(F.col("occ_cls")).alias("code")).withColumn("back", V.code_to_class(F.col("code"))),
     f"SELECT build_id, occ_cls, code, name AS back FROM buildings LEFT JOIN {_LEGEND} AS l(name, code, vote) ON occ_cls=name")
 add("c14_mix_rule", "build_id:n occ_cls:t mix_sc:t", lambda c: c.prepared, "SELECT build_id, occ_cls, mix_sc FROM prepared")
+# Votes for homes and up to two other types, by the id, judged for a home: every rule occurs.
+_FEW_VOTES = "CASE build_id%5 WHEN 0 THEN 'RES: 3' WHEN 1 THEN 'RES: 3, COM: 1, XYZ: 0' WHEN 2 THEN 'COM: 2, RES: 0' WHEN 3 THEN 'COM: 2; ABC: 1' ELSE 'RES: 0, COM: -1' END"
+
+
+def _mix_cases(c):
+    judged = c.raw_plain.selectExpr("build_id", "mix_sc AS before", f"{_FEW_VOTES} AS t").withColumn("found", V.tokens("t"))
+    return judged.withColumn("rule", V.mix_rule("found", "'RES'")).withColumn("mix_sc", V.apply_mix(F.col("rule"), F.col("before")))
+
+
+add("c14_mix_cases", "build_id:n rule:t mix_sc:t", _mix_cases,
+    "SELECT build_id, CASE build_id%5 WHEN 0 THEN 'same' WHEN 1 THEN 'MIX_SC2' WHEN 2 THEN 'MIX_SC1' WHEN 3 THEN 'MIX_SC3' ELSE 'keep' END AS rule, "
+    "CASE build_id%5 WHEN 0 THEN NULL WHEN 1 THEN 'MIX_SC2' WHEN 2 THEN 'MIX_SC1' WHEN 3 THEN 'MIX_SC3' ELSE mix_sc END AS mix_sc FROM buildings")
 add("c15_band_texts", "band:t description:t", lambda c: flows.band_descriptions(c.cleaned_plain, flows.terciles(c.cleaned_plain)),
     "SELECT UNNEST(['Area','Height','Year','Drainage']) AS band, UNNEST([printf('Small (<%.0f sqm), Medium (%.0f-%.0f sqm), Large (>%.0f sqm)', a, a, b, b), "
     "printf('Short (<%.1fm), Mid (%.1f-%.1fm), High (>%.1fm)', h, h, i, i), 'Historic (<1940), Mid-Century (1940-1980), Modern (>1980)', "

@@ -113,6 +113,13 @@ def mix_rule(found: str, own: str) -> Column:
     return F.expr(_mix_rule(found, own))
 
 
+def implied_mix_rule(column: str, name: str) -> Column:
+    """The mix rule of a vote text for the class in the column ``name``; null for a class without a vote type."""
+    own = "CASE " + " ".join(f"WHEN {name} = '{label}' THEN '{vote}'" for label, _, vote in CANDIDATES) + " END"
+    rule = _bind("own", own, f"IF(own IS NULL, NULL, {_mix_rule('found', 'own')})")
+    return F.expr(_bind("found", _tokens(column), rule))
+
+
 def decide(column: str) -> Column:
     """struct<outcome,name,tie,rule> for one vote text, parsed once.
 

@@ -12,15 +12,20 @@ from parapet.functions.text import UNCLASSIFIED, has_text, is_unclassified
 def vote_outcome(df: DataFrame) -> DataFrame:
     """Add ``outcome`` (changed, tie, none), ``vote_class``, ``tie`` and ``mix_rule`` for unclassified rows.
 
-    All are null on rows that already have a class; their vote text is never parsed.
+    All are null on rows that already have a class; their vote text is not parsed. Only where an
+    earlier run left ``occ_cls_orig``, ``mix_rule`` is also told for the rows that were repaired then.
     """
     is_open = is_unclassified(F.col("occ_cls"))
     judged = df.withColumn("_vote", F.when(is_open & has_text(F.col("occ_dict")), V.decide("occ_dict")))
+    rule = F.col("_vote.rule")
+    if "occ_cls_orig" in df.columns:
+        earlier = (F.col("occ_cls_orig") == UNCLASSIFIED) & ~is_open & has_text(F.col("occ_dict"))
+        rule = F.coalesce(rule, F.when(earlier, V.implied_mix_rule("occ_dict", "occ_cls")))
     return judged.withColumns({
         "outcome": F.when(is_open, F.coalesce(F.col("_vote.outcome"), F.lit("none"))),
         "vote_class": F.col("_vote.name"),
         "tie": F.col("_vote.tie"),
-        "mix_rule": F.col("_vote.rule"),
+        "mix_rule": rule,
     }).drop("_vote")
 
 
@@ -40,8 +45,8 @@ def needs_mix(df: DataFrame) -> DataFrame:
 def recalculate_mix(resolved: DataFrame) -> DataFrame:
     """Renew ``mix_sc`` of the rows that :func:`needs_mix` selects, from the rule found with the votes.
 
-    Those are exactly the rows with that original label and a vote winner, so the vote text
-    need not be read again.
+    Those are the rows with that original label and a vote winner, now or in an earlier run, so
+    the vote text need not be read again.
     """
     renewed = (F.col("occ_cls_orig") == UNCLASSIFIED) & F.col("mix_rule").isNotNull()
     return resolved.withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parapet.functions.numbers import as_number, null_non_finite, percent
 from parapet.operators.quantiles import exact_quantiles
 from parapet.sources.schema import BUILDING_TYPES, ensure_columns
+from parapet.staging import stage
 
 # The outlier quantile and the complete-case columns of the clustering table.
 OUTLIER_QUANTILE = 0.99999
@@ -68,8 +69,13 @@ def drop_outliers(df: DataFrame, column: str = "gfa") -> DataFrame:
 
 
 def cleaning_funnel(df: DataFrame) -> DataFrame:
-    """One row with every counter of the funnel, counted in one pass over the raw table."""
-    prepared = with_heights(null_non_finite(ensure_columns(df, BUILDING_TYPES)))
+    """One row with every counter of the funnel.
+
+    The few columns it needs are written once, since the quantile passes read them again; the
+    raw table is read and parsed a single time.
+    """
+    full = with_heights(null_non_finite(ensure_columns(df, BUILDING_TYPES)))
+    prepared = stage(full.select("year_built", "gfa", "height_num", "height_used"), "funnel")
     year, area = F.coalesce(valid_year(), F.lit(False)), F.coalesce(valid_area(), F.lit(False))
     raw_height, height = valid_raw_height(), F.coalesce(valid_height(), F.lit(False))
     threshold = outlier_threshold(prepared.where(year & area))
@@ -135,11 +141,21 @@ def large_groups(df: DataFrame, by: str, more_than: int) -> DataFrame:
     return df.join(keep.select(by), by, "left_semi")
 
 
+def _building_types() -> dict[str, Column]:
+    is_home = F.col("occ_cls") == "Residential"
+    return {"All": F.lit(True), "Residential": is_home, "Non-Residential": ~is_home}
+
+
 def building_type(df: DataFrame, kind: str) -> DataFrame:
     """``All``, ``Residential`` or ``Non-Residential`` buildings."""
-    if kind == "All":
-        return df
-    if kind not in ("Residential", "Non-Residential"):
+    if kind not in _building_types():
         raise ValueError(f"unknown building type {kind!r}")
-    is_home = F.col("occ_cls") == "Residential"
-    return df.where(is_home if kind == "Residential" else ~is_home)
+    return df if kind == "All" else df.where(_building_types()[kind])
+
+
+def building_type_totals(df: DataFrame) -> DataFrame:
+    """Buildings and area of each type (kind, n, area), in one aggregate."""
+    kinds = _building_types()
+    sums = df.agg(*[m for i, c in enumerate(kinds.values()) for m in (F.count_if(c).alias(f"n{i}"), F.sum(F.when(c, F.col("gfa"))).alias(f"a{i}"))])
+    rows = [F.struct(F.lit(kind).alias("kind"), F.col(f"n{i}").alias("n"), F.col(f"a{i}").alias("area")) for i, kind in enumerate(kinds)]
+    return sums.select(F.inline(F.array(*rows)))

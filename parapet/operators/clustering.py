@@ -6,8 +6,10 @@ tasks, labels each Arrow batch for all models of its group, and sums per model a
 inside the task, so only centroid sums are shuffled and nothing but centroids reaches the
 driver.
 
-Coordinates are fixed-point integers. Their sums are exact in any order, so a fit does not
-depend on the partitioning, on retries or on lost executors. Starting centroids follow the
+Coordinates are fixed-point integers. Their sums are exact in any order, so a fit of a staged
+point table does not depend on the partitioning, on retries or on lost executors. (The means and
+deviations behind the coordinates are floating-point sums: staged anew, a coordinate on the edge
+between two units of 1e-6 may fall to the other.) Starting centroids follow the
 k-means++ rule over all points: the point with the smallest ``-ln(u) / d²`` is a draw with
 probability proportional to ``d²``, where ``u`` is a hash of the point's id.
 """
@@ -15,6 +17,7 @@ probability proportional to ``d²``, where ``u`` is a hash of the point's id.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -242,7 +245,9 @@ def fit(
 ) -> Centroids:
     """Lloyd's iterations for all models until each has moved less than ``tolerance``.
 
-    A model that has settled leaves the following passes. Clusters are numbered by their
+    A model that has settled leaves the following passes; one that has not after
+    ``max_iterations`` is returned with a warning. A cluster that loses all its points is
+    dropped, so a model may end with fewer than k. Clusters are numbered by their
     centroid, so numbers do not depend on the order in which seeds were drawn. Models whose
     centroids are too large for one pass are fitted batch by batch.
     """
@@ -281,6 +286,8 @@ def _fit_batch(table: DataFrame, design: Design, models: Sequence[Model], seed:
                 del active[model]
             else:
                 active[model] = fresh
+    if active:
+        warnings.warn(f"{len(active)} of {len(models)} models did not settle in {max_iterations} iterations", stacklevel=3)
     return {m: sorted(found, key=lambda c: c.vector) for m, found in current.items()}
 
 

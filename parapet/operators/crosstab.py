@@ -39,6 +39,12 @@ def dense(sparse: DataFrame, table: str, row: str, col: str, measures: Sequence[
     return grid.select(table, row, col, *[F.coalesce(found[m], F.lit(0)).alias(m) for m in measures])
 
 
+def matrix(df: DataFrame, row: str, col: str, value: str = "gfa") -> DataFrame:
+    """Count ``n`` and value sum ``area`` of every row and column label, also of pairs that never occur."""
+    sparse = cells(df, (row, col), value).withColumn("_table", F.lit(0))
+    return dense(sparse, "_table", row, col, ("n", "area")).drop("_table")
+
+
 def axes(sparse: DataFrame, table: str, row: str, col: str) -> DataFrame:
     """The sorted axis labels of each table: (table, axis, label, position)."""
     sides = F.array(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parapet.functions.keys import SAMPLE_SEED, sample_key
+from parapet.functions.numbers import null_non_finite
 from parapet.operators.cleaning import drop_outliers
 from parapet.operators.soil import is_high_risk
 
@@ -146,18 +147,21 @@ def chunked(df: DataFrame, size: int = CHUNK_ROWS, **kwargs: Any) -> DataFrame:
 
 
 def chunk_manifest(chunks: DataFrame, prefix: str = "building_data", limit_mb: float = 25.0, size: int = CHUNK_ROWS) -> DataFrame:
-    """One row per chunk: file name, rows, size of its records as JSON, and a warning.
+    """One row per chunk: file name, rows, size of its file, and a warning.
 
-    A chunk above ``limit_mb`` gets the chunk size that would bring it to 20 MB.
+    The size is that of the records as :func:`parapet.sources.writers.write_chunks` writes
+    them, line ends included. A chunk above ``limit_mb`` gets the chunk size that would bring
+    it to 20 MB.
     """
-    record = F.to_json(F.struct(*[c for c in chunks.columns if c not in ("type", "sample_index", "chunk_index")]), {"ignoreNullFields": "false"})
-    summed = chunks.select("type", "chunk_index", F.octet_length(record).alias("_b")).groupBy("type", "chunk_index").agg(
+    finite = null_non_finite(chunks)
+    record = F.to_json(F.struct(*[c for c in chunks.columns if c not in ("type", "chunk_index")]), {"ignoreNullFields": "false"})
+    summed = finite.select("type", "chunk_index", F.octet_length(record).alias("_b")).groupBy("type", "chunk_index").agg(
         F.count(F.lit(1)).alias("sample_count"), F.sum(F.col("_b") + 1).alias("_bytes")
     )
     mb = F.col("_bytes") / (1024 * 1024)
     return summed.select(
         F.format_string(f"{prefix}_samples_%s_%d.json", "type", "chunk_index").alias("filename"),
-        "type", "chunk_index", "sample_count", F.round(mb, 2).alias("size_mb"),
+        "type", "chunk_index", "sample_count", F.col("_bytes").alias("size_bytes"), F.round(mb, 2).alias("size_mb"),
         (mb > limit_mb).alias("too_large"),
         F.when(mb > limit_mb, F.floor(F.lit(size * 20) / mb)).alias("suggested_chunk_rows"),
     )

@@ -226,14 +226,18 @@ def _in_polygon(lon: Column, lat: Column, edges: Column) -> Column:
 def inside_polygons(buildings: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
     """Buildings that lie in at least one polygon, each once.
 
-    Polygons are copied with their edges to the cells of their bounding box, which makes the
-    semi join an equi-join; the ray casting runs as its extra condition.
+    A polygon has one ring of ``corners``, or several ``rings``: parts and their holes, told
+    apart by the even-odd rule. Polygons are copied with their edges to the cells of their
+    bounding box, which makes the semi join an equi-join; the ray casting runs as its extra
+    condition.
     """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("corners")
+    polygons = polygons.select(F.flatten(rings).alias("corners"), F.flatten(F.transform(rings, _edges)).alias("edges"))
     lons, lats = F.transform("corners", lambda p: p["lon"]), F.transform("corners", lambda p: p["lat"])
     tiled = (
         polygons.withColumn("cx", F.explode(F.sequence(_cell(F.array_min(lons), cell), _cell(F.array_max(lons), cell))))
         .withColumn("cy", F.explode(F.sequence(_cell(F.array_min(lats), cell), _cell(F.array_max(lats), cell))))
-        .select("cx", "cy", _edges(F.col("corners")).alias("edges"))
+        .select("cx", "cy", "edges")
     )
     located = buildings.where("longitude IS NOT NULL AND latitude IS NOT NULL").withColumns({
         "_cx": _cell(F.col("longitude"), cell), "_cy": _cell(F.col("latitude"), cell),

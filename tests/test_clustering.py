@@ -147,3 +147,8 @@ def test_stats_carry_the_totals_of_their_model(spark, rows):
     model = K.wcss(labels).where("grp = 'all'").first()
     assert {r.total_buildings for r in stats} == {sum(r.n for r in stats)} == {model.n}
     assert stats[0].wcss == pytest.approx(model.wcss)
+
+
+def test_a_fit_that_does_not_settle_says_so(spark, rows):
+    with pytest.warns(UserWarning, match="did not settle"):
+        K.main_clusters(_frame(spark, rows), k=4, max_iterations=1)

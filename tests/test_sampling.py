@@ -1,9 +1,11 @@
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from parapet.operators import sampling
+from parapet.sources.writers import write_chunks
 
 
 def _key(i):
@@ -50,3 +52,16 @@ def test_manifest_warns_about_large_chunks(spark):
     got = {r.chunk_index: r for r in sampling.chunk_manifest(chunks, limit_mb=0.05, size=100).collect()}
     assert got[1].too_large and got[1].sample_count == 100 and got[1].suggested_chunk_rows > 0
     assert not got[2].too_large and got[2].filename == "building_data_samples_random_2.json"
+
+
+def test_manifest_sizes_are_those_of_the_files(spark, tmp_path):
+    rows = [("random", i // 5000 + 1, i, float("nan") if i % 7 == 0 else i / 3, None if i % 2 else "ä") for i in range(6000)]
+    chunks = spark.createDataFrame(rows, "type string, chunk_index bigint, sample_index int, area double, label string")
+    write_chunks(chunks, str(tmp_path / "samples"))
+    for row in sampling.chunk_manifest(chunks, limit_mb=0.1, size=5000).collect():
+        files = list((tmp_path / "samples" / "type=random" / f"chunk_index={row.chunk_index}").glob("part-*"))
+        assert len(files) == 1 and files[0].stat().st_size == row.size_bytes
+        assert row.size_mb == round(row.size_bytes / 1024 / 1024, 2)
+        assert (row.suggested_chunk_rows is not None) == row.too_large == (row.chunk_index == 1)
+        if row.too_large:
+            assert row.suggested_chunk_rows == math.floor(5000 * 20 / (row.size_bytes / 1024 / 1024))

@@ -78,3 +78,18 @@ def test_nearest_across_the_date_line(spark):
         spark.createDataFrame(targets, "permit_id int, longitude double, latitude double"), 30.0, "permit_id",
     ).collect()
     assert {(r.build_id, r.permit_id, round(r.distance_m, 1)) for r in got} == {(1, 7, 2.2), (2, 7, 0.0), (3, 9, 11.1)}
+
+
+def test_polygons_with_holes_and_parts(spark):
+    box = lambda x, y, half: [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half)]
+    rings = [box(0.0, 0.0, 0.2), box(0.0, 0.0, 0.1), box(0.0, 0.0, 0.03), box(0.5, 0.0, 0.1)]
+    shapes = spark.createDataFrame([(1, rings)], "polygon_id int, rings array<array<struct<lon:double,lat:double>>>")
+    rng = np.random.default_rng(3)
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.3, 0.7, (400, 2)))]
+    inside = lambda x, y, cx, half: abs(x - cx) < half and abs(y) < half
+    expected = sorted(
+        i for i, x, y in places
+        if (inside(x, y, 0.0, 0.2) and not inside(x, y, 0.0, 0.1)) or inside(x, y, 0.0, 0.03) or inside(x, y, 0.5, 0.1)
+    )
+    found = S.inside_polygons(spark.createDataFrame(places, "build_id int, longitude double, latitude double"), shapes).collect()
+    assert sorted(r.build_id for r in found) == expected and 30 < len(expected) < 200

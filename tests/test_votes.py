@@ -70,3 +70,17 @@ def test_text_predicates(spark):
     rows = df.select(has_text(F.col("t")), is_unclassified(F.col("t"))).collect()
     assert [r[0] for r in rows] == [False, False, False, False, True, True, True]
     assert [r[1] for r in rows] == [True, False, False, False, False, True, True]
+
+
+def test_mix_of_rows_that_an_earlier_run_repaired(spark):
+    rows = [
+        (1, "Residential", "Unclassified", "RES: 2, COM: 1", "MIX_SC3"), (2, "Residential", "Unclassified", "RES: 2", "MIX_SC3"),
+        (3, "Residential", "Residential", "RES: 2, COM: 1", "MIX_SC3"), (4, "Residential", "Unclassified", None, "MIX_SC3"),
+        (5, "Unclassified", "Unclassified", "COM: 1", "MIX_SC3"), (6, "Utility", "Unclassified", "COM: 1", "MIX_SC3"),
+    ]
+    df = spark.createDataFrame(rows, "build_id int, occ_cls string, occ_cls_orig string, occ_dict string, mix_sc string")
+    done = {r.build_id: (r.occ_cls, r.mix_sc) for r in classes.recalculate_mix(classes.resolve_classes(df)).collect()}
+    assert done == {
+        1: ("Residential", "MIX_SC2"), 2: ("Residential", None), 3: ("Residential", "MIX_SC3"), 4: ("Residential", "MIX_SC3"),
+        5: ("Commercial", None), 6: ("Utility", "MIX_SC3"),
+    }
