@@ -20,6 +20,8 @@ from parapet.staging import stage
 
 #: All rows count once here: a second epoch would bring back copies that were just removed.
 MIX_TOTAL, MIX_EPOCHS = 0.9, 1
+#: Words of a shingle in the near-copy stage.
+COPY_WORDS = 5
 ORACLE_SQL = None
 
 
@@ -34,7 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_dup.near_duplicates(docs, words=COPY_WORDS).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 

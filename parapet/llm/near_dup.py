@@ -1,7 +1,7 @@
 """MinHash near-dedup: bottom-k sketches of one hash function, verified on full sets.
 
-A document's set has the 64-bit hashes of its distinct two-word shingles; the SKETCH smallest are
-its sketch. Documents with the same set form a class and are represented by their smallest id.
+A document's set has the 64-bit hashes of its distinct shingles of ``words`` words (a shorter text
+is one shingle as a whole); the SKETCH smallest are its sketch. Documents with the same set form a class and are represented by their smallest id.
 
 Inverted lists are kept for runs of RUN values that follow each other in a sketch. Frequent
 shingles make long lists, runs of them hardly ever. Two sets with a Jaccard similarity of 0.8
@@ -25,7 +25,7 @@ an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ from parapet.llm.graph import components
 from parapet.staging import stage
 
 SKETCH, RUN, BLOCK = 64, 3, 500
+#: Words of a shingle.
+WORDS = 2
 #: Linked if SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (80, 100)
 ESTIMATE = 0.5
@@ -59,15 +61,18 @@ def run_keys(values: np.ndarray) -> np.ndarray:
     return runs(RUN) if len(values) > 5 else np.concatenate((runs(RUN), runs(2)))
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-        sets = [s for part in shingles.sliced(texts) for s in shingles.shingle_sets(part)]
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
-            "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            "keys": [run_keys(s).view(np.int64) for s in sets],
-        })
+def _sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+            sets = [s for part in shingles.sliced(texts) for s in shingles.shingle_sets(part, words)]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
+                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                "keys": [run_keys(s).view(np.int64) for s in sets],
+            })
+
+    return run
 
 
 def _incidence(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -128,20 +133,17 @@ def stars(nodes: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
         label = least
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Links of groups that come one after another, told apart by ``pivot``, ``i`` and ``j``.
 
     Where ``component`` is given, documents of one component count as linked already.
     """
-    held: list[pd.DataFrame] = []
-    last = None
-
-    def work() -> pd.DataFrame:
+    def work(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held).drop_duplicates(["node", "digest"])
         texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
         nodes, found = rows["node"].to_numpy(np.int64), []
         if len(nodes) > 1:
-            sets = [s for part in shingles.sliced(texts) for s in shingles.shingle_sets(part)]
+            sets = [s for part in shingles.sliced(texts) for s in shingles.shingle_sets(part, words)]
             near = linked(sets)
             if "component" in rows:
                 component = rows["component"].to_numpy(np.int64)
@@ -149,24 +151,29 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = stars(nodes, near)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    for batch in batches:
-        for key, part in batch.groupby(["pivot", "i", "j"], sort=False):
-            if key != last and held:
-                yield work()
-                held = []
-            held.append(part)
-            last = key
-    if held:
-        yield work()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            for key, part in batch.groupby(["pivot", "i", "j"], sort=False):
+                if key != last and held:
+                    yield work(held)
+                    held = []
+                held.append(part)
+                last = key
+        if held:
+            yield work(held)
+
+    return run
 
 
-def _compared(rows: DataFrame) -> DataFrame:
+def _compared(rows: DataFrame, words: int) -> DataFrame:
     """Links inside each group (pivot, i, j) of ``rows``."""
     dealt = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return dealt.mapInPandas(_compare, "a long, b long")
+    return dealt.mapInPandas(_compare(words), "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """Links (a, b) between classes, enough to connect all that are similar.
 
     ``docs`` has doc_id and text; ``classes`` has digest, low and keys.
@@ -183,7 +190,7 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     # The pivot goes to every block; it links most groups there and then.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = rows.withColumn("i", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own)))).withColumn("j", F.col("i"))
-    found = stage(_compared(placed), "near-links")
+    found = stage(_compared(placed, words), "near-links")
     wide = rows.where(F.col("blocks") > 1)
     if wide.isEmpty():
         return found
@@ -194,17 +201,17 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     others = F.filter(every, lambda b: b != F.col("own"))
     tiles = wide.withColumn("other", F.explode(others))
     tiles = tiles.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
-    return found.union(stage(_compared(tiles), "near-links"))
+    return found.union(stage(_compared(tiles, words), "near-links"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per row doc_id, n_shingles, component_id and kept (whether it is its component's smallest id)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, words: int = WORDS) -> DataFrame:
+    """Per row doc_id, n_shingles (of ``words`` words), component_id and kept (whether it is its component's smallest id)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = stage(rows.mapInPandas(_sets, "doc_id long, n long, digest binary, keys array<long>"), "near-sets")
+    sets = stage(rows.mapInPandas(_sets(words), "doc_id long, n long, digest binary, keys array<long>"), "near-sets")
     known = sets.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("low"), F.any_value("keys").alias("keys"))
     classes = stage(classes, "near-classes")
-    connected = components(links(rows, classes, block))
+    connected = components(links(rows, classes, block, words))
     found = known.select("doc_id", "n", "digest").join(classes.select("digest", "low"), "digest")
     found = found.join(connected, found["low"] == connected["node"], "left").select("doc_id", "n", F.coalesce("component", "low").alias("component_id"))
     alone = sets.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -73,7 +73,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, folder, "documents"))
+    return near_dup.near_duplicates(table(spark, folder, "documents"), words=2)
 
 
 @query("op5_substrings")

@@ -1,4 +1,4 @@
-"""Words and two-word shingles of many texts at once, as 64-bit hashes computed by numpy.
+"""Words and shingles (some words that follow each other) of many texts at once, as 64-bit hashes computed by numpy.
 
 A text is lower-cased in A-Z and its words are runs of other bytes than space and tab to
 carriage return, in UTF-8. A word's hash is a polynomial over random values of its bytes; the
@@ -54,18 +54,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; one word alone is one shingle, no word is none."""
+def shingle_sets(texts: list[bytes], words: int = 2) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of ``words`` words; a shorter text is one shingle, no word is none."""
     hashes, upto = word_hashes(texts)
-    pairs = mixed(hashes[:-1] * _ODD + hashes[1:]) if len(hashes) > 1 else hashes[:0]
-    out, start = [], 0
-    for end in upto.tolist():
-        if end - start >= 2:
-            found = np.sort(pairs[start:end - 1])
+    begins = np.concatenate(([0], upto[:-1])).astype(np.int64)
+    chain, whole = hashes, np.zeros(len(texts), np.uint64)
+    for n in range(1, words):
+        short = upto - begins == n
+        whole[short] = chain[begins[short]]
+        chain = mixed(chain[:-1] * _ODD + hashes[n:])
+    out = []
+    for i, (start, end) in enumerate(zip(begins.tolist(), upto.tolist())):
+        if end - start >= words:
+            found = np.sort(chain[start:end - words + 1])
             out.append(found[np.concatenate(([True], found[1:] != found[:-1]))])
         else:
-            out.append(hashes[start:end])
-        start = end
+            out.append(whole[i:i + 1] if end > start else hashes[:0])
     return out
 
 
