@@ -1,7 +1,8 @@
 """MinHash near-dedup: bottom-k sketches of one hash function, verified on full sets.
 
 A document's set has the 64-bit hashes of its distinct shingles of ``words`` words (a shorter text
-is one shingle as a whole); the SKETCH smallest are its sketch. Documents with the same set form a class and are represented by their smallest id.
+is one shingle as a whole); the SKETCH smallest are its sketch. Documents with the same set form a class and are represented by a text of their smallest id. That
+id is the class's node; of several classes of one smallest id, all but one take a 64-bit hash instead.
 
 Inverted lists are kept for runs of RUN values that follow each other in a sketch. Frequent
 shingles make long lists, runs of them hardly ever. Two sets with a Jaccard similarity of 0.8
@@ -67,7 +68,7 @@ def _sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch["text"]]
             sets = [s for part in shingles.sliced(texts) for s in shingles.shingle_sets(part, words)]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
+                "doc_id": batch["doc_id"], "mark": batch["mark"], "n": [len(s) for s in sets],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "keys": [run_keys(s).view(np.int64) for s in sets],
             })
@@ -139,7 +140,7 @@ def _compare(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     Where ``component`` is given, documents of one component count as linked already.
     """
     def work(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(held).drop_duplicates(["node", "digest"])
+        rows = pd.concat(held).drop_duplicates("node")
         texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
         nodes, found = rows["node"].to_numpy(np.int64), []
         if len(nodes) > 1:
@@ -176,16 +177,17 @@ def _compared(rows: DataFrame, words: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """Links (a, b) between classes, enough to connect all that are similar.
 
-    ``docs`` has doc_id and text; ``classes`` has digest, low and keys.
+    ``docs`` has doc_id, text and the text's mark; ``classes`` has node, low, the mark of low's text
+    in the class, and keys. The mark keeps apart the texts of one id.
     """
-    listed = classes.select(F.col("low").alias("node"), "digest", F.explode("keys").alias("key"))
+    listed = classes.select("node", "low", "mark", F.explode("keys").alias("key"))
     lists = listed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = listed.join(lists, "key").select("pivot", "node", "digest").distinct()
+    members = listed.join(lists, "key").select("pivot", "node", "low", "mark").distinct()
     members = stage(members, "near-members")
     blocks = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     blocks = blocks.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").distinct()
-    rows = stage(members.join(blocks, "pivot").join(texts, "node"), "near-texts")
+    texts = docs.select(F.col("doc_id").alias("low"), "mark", "text").distinct()
+    rows = stage(members.join(blocks, "pivot").join(texts, ["low", "mark"]).drop("low", "mark"), "near-texts")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # The pivot goes to every block; it links most groups there and then.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -206,14 +208,25 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK, words: int =
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """Per row doc_id, n_shingles (of ``words`` words), component_id and kept (whether it is its component's smallest id)."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = stage(rows.mapInPandas(_sets(words), "doc_id long, n long, digest binary, keys array<long>"), "near-sets")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    sets = stage(rows.mapInPandas(_sets(words), "doc_id long, mark long, n long, digest binary, keys array<long>"), "near-sets")
     known = sets.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("low"), F.any_value("keys").alias("keys"))
-    classes = stage(classes, "near-classes")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.any_value("keys").alias("keys"))
+    classes = classes.select("digest", F.col("least.doc_id").alias("low"), "least.mark", "keys")
+    classes = stage(classes, "near-classes").withColumn("node", F.col("low"))
+    several = classes.groupBy("low").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    repeated = not several.isEmpty()
+    if repeated:
+        other = F.col("digest") > F.col("first")
+        classes = classes.join(several.select("low", "first"), "low", "left")
+        classes = stage(classes.withColumn("node", F.when(other, F.xxhash64("low", "digest")).otherwise(F.col("low"))).drop("first"), "near-classes")
     connected = components(links(rows, classes, block, words))
-    found = known.select("doc_id", "n", "digest").join(classes.select("digest", "low"), "digest")
-    found = found.join(connected, found["low"] == connected["node"], "left").select("doc_id", "n", F.coalesce("component", "low").alias("component_id"))
+    if repeated:
+        # A component's smallest node may be a hash; its name is its smallest id.
+        least = connected.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
+        connected = connected.join(least, "component").select("node", F.col("least").alias("component"))
+    found = known.select("doc_id", "n", "digest").join(classes.select("digest", "low", "node"), "digest")
+    found = found.join(connected, "node", "left").select("doc_id", "n", F.coalesce("component", "low").alias("component_id"))
     alone = sets.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.union(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
