@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm import html_text, language, line_dedup, mixing, near_dup, nearest, packing, quality, substrings, url_filters
+from parapet.llm import html_text, language, line_dedup, manifest, mixing, near_dup, nearest, packing, quality, substrings, url_filters
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     text = html_text.extract(pages, html_text.learn(pages))
     return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op13_manifest", manifest.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify(table(spark, folder, "documents"))
