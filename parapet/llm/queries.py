@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm import html_text, language, line_dedup, manifest, mixing, near_dup, nearest, packing, quality, substrings, url_filters
+from parapet.llm import html_text, language, line_dedup, manifest, mixing, near_dup, nearest, negatives, packing, quality, substrings, token_cache, url_filters
 from parapet.llm.common import table
+from parapet.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,11 +25,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def vocabulary() -> str:
-    """The word vocabulary of the public tokenizers; a parameter of the packing operator."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """A file of the public tokenizers; the path is a parameter of the operators."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 @query("op1_packing")
@@ -91,3 +93,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_manifest", manifest.SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.verify(table(spark, folder, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    # A cache of its own for every call, so that what a call does never depends on earlier ones.
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_cache.count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), cache)
+
+
+@query("op12_hard_negatives", negatives.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=negatives.moved_label())

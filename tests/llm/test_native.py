@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def twin(folder, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     cursor = db.execute(SQL[name])
     return [d[0] for d in cursor.description], cursor.fetchall()
