@@ -143,7 +143,7 @@ def _below_outliers(c: Inputs):
     return cleaning.drop_outliers(rows)
 
 
-add("m5_elbow", "k:n wcss:n n:n", lambda c: clustering.wcss(clustering.elbow_clusters(_below_outliers(c)).labels()),
+add("m5_elbow", "k:n wcss:n n:n", lambda c: clustering.elbow_clusters(_below_outliers(c)).wcss(),
     "SELECT k, SUM(d2) AS wcss, COUNT(*) AS n FROM elbow_fit_labels GROUP BY k")
 
 _STATS = ("COUNT(*) AS n, AVG(sqmeters) AS avg_sqmeters, STDDEV_POP(sqmeters) AS std_sqmeters, AVG(height_used) AS avg_height, STDDEV_POP(height_used) AS std_height, "
@@ -151,16 +151,11 @@ _STATS = ("COUNT(*) AS n, AVG(sqmeters) AS avg_sqmeters, STDDEV_POP(sqmeters) AS
 _AREA = ", AVG(gfa) AS avg_gfa, STDDEV_POP(gfa) AS std_gfa"
 _STAT_COLUMNS = "n:n avg_sqmeters:n std_sqmeters:n avg_height:n std_height:n avg_year:n std_year:n"
 add("m6_class_clusters", f"grp:t k:n cluster:n {_STAT_COLUMNS} avg_gfa:n std_gfa:n wcss:n total_buildings:n",
-    lambda c: clustering.cluster_stats(clustering.plain_clusters(c.staged).labels(), with_area=True, with_model=True),
+    lambda c: clustering.plain_clusters(c.staged).statistics(with_area=True),
     f"SELECT *, SUM(part) OVER (PARTITION BY grp, k) AS wcss, SUM(n) OVER (PARTITION BY grp, k) AS total_buildings FROM ("
     f"SELECT grp, k, cluster, {_STATS}{_AREA}, SUM(d2) AS part FROM plain_fit_labels GROUP BY grp, k, cluster)")
 
 
-def _feature_report(c: Inputs):
-    labels = clustering.feature_clusters(c.staged).staged_labels()
-    return clustering.cluster_stats(labels, with_model=True).join(clustering.dominant_features(labels), ["grp", "combo", "k", "cluster"], "left")
-
-
 def _common(column: str, kind: str) -> str:
     """The most frequent label of each cluster of the combinations that use the feature."""
     return (
@@ -170,7 +165,8 @@ def _common(column: str, kind: str) -> str:
     )
 
 
-add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominant_material:t dominant_foundation:t wcss:n total_buildings:n", _feature_report,
+add("m7_feature_clusters", f"grp:t combo:t k:n cluster:n {_STAT_COLUMNS} dominant_material:t dominant_foundation:t wcss:n total_buildings:n",
+    lambda c: clustering.feature_clusters(c.staged).statistics(dominant=True),
     f"SELECT split_part(s.grp, '|', 2) AS grp, split_part(s.grp, '|', 1) AS combo, s.* EXCLUDE (grp), dominant_material, dominant_foundation, "
     f"SUM(part) OVER (PARTITION BY s.grp, s.k) AS wcss, SUM(n) OVER (PARTITION BY s.grp, s.k) AS total_buildings FROM ("
     f"SELECT grp, k, cluster, {_STATS}, SUM(d2) AS part FROM feature_fit_labels GROUP BY grp, k, cluster) s "
@@ -239,7 +235,7 @@ add("a30_cluster_analysis", "cluster:n n:n most_common_occ:t area_mean:n area_me
     "SELECT l.cluster, COUNT(*) AS n, any_value(m.occ_cls) AS most_common_occ, AVG(gfa) AS area_mean, quantile_cont(gfa,0.5) AS area_median, COALESCE(STDDEV_SAMP(gfa),0) AS area_std, "
     "TRUNC(AVG(year_built)) AS year_mean, TRUNC(quantile_cont(year_built,0.5)) AS year_median, COALESCE(STDDEV_SAMP(year_built),0) AS year_std FROM main_fit_labels l JOIN ("
     "SELECT cluster, occ_cls FROM (SELECT cluster, occ_cls, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY COUNT(*) DESC, occ_cls) AS r FROM main_fit_labels GROUP BY 1,2) WHERE r=1) m ON l.cluster=m.cluster GROUP BY l.cluster")
-add("d17_cluster_shares", "cluster:n n:n share:n", lambda c: clustering.cluster_shares(clustering.main_clusters(cleaning.cluster_table(c.staged)).labels()),
+add("d17_cluster_shares", "cluster:n n:n share:n", lambda c: clustering.main_clusters(cleaning.cluster_table(c.staged)).shares(),
     "SELECT cluster, COUNT(*) AS n, COUNT(*)/SUM(COUNT(*)) OVER () AS share FROM main_fit_labels GROUP BY cluster")
 
 

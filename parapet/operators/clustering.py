@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,9 @@ COMBINATIONS = {
     "foundation": ("occ_cls", "foundation_type"),
     "both": ("occ_cls", "material_type", "foundation_type"),
 }
+# Names of the statistics.
+SHORT = {"sqmeters": "sqmeters", "height_used": "height", "year_built": "year", "gfa": "gfa"}
+DOMINANT = {"material_type": "dominant_material", "foundation_type": "dominant_foundation"}
 MAIN_K = 7
 ELBOW_K = range(2, 16)
 PLAIN_K = range(2, 10)
@@ -98,6 +101,15 @@ class Centroid:
 Centroids = dict[Model, list[Centroid]]
 
 
+@dataclass(frozen=True)
+class Group:
+    """Rows of a group, and the mean and population deviation of each numeric feature."""
+
+    n: int
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
+
+
 # --- features -----------------------------------------------------------------------------
 def combination(name: str, columns: Sequence[str] | None = None) -> tuple[str, ...] | None:
     """The categorical features of a combination; None when ``columns`` lacks one of them."""
@@ -110,10 +122,18 @@ def usable_combination(name: str, present: Sequence[str]) -> tuple[str, ...]:
     return tuple(f for f in COMBINATIONS[name] if f == "occ_cls" or f in present)
 
 
-def standardise(df: DataFrame, columns: Sequence[str], by: str | None = None, few: bool = False) -> DataFrame:
+def _scaled(value: Column, mean: Column, deviation: Column) -> Column:
+    return F.when(deviation > 0, (value - mean) / deviation).otherwise(0.0)
+
+
+def _fixed(scaled: Column) -> Column:
+    return F.round(scaled * UNITS).cast("bigint")
+
+
+def standardise(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """Add ``<column>_z``: centred and divided by the population deviation; a constant column is 0.
 
-    With ``by`` the statistics are those of the row's group: one row per group, broadcast if ``few``.
+    With ``by`` the statistics are those of the row's group.
     """
     measures = [m for c in columns for m in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_dev"))]
     if by is None:
@@ -121,11 +141,8 @@ def standardise(df: DataFrame, columns: Sequence[str], by: str | None = None, fe
         joined = df.withColumns({name: F.lit(row[name]).cast("double") for name in row.asDict()})
     else:
         stats = df.groupBy(by).agg(*measures)
-        joined = df.join(F.broadcast(stats) if few else stats, by)
-    scaled = {
-        f"{c}_z": F.when(F.col(f"{c}_dev") > 0, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_dev")).otherwise(0.0)
-        for c in columns
-    }
+        joined = df.join(stats, by)
+    scaled = {f"{c}_z": _scaled(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_dev")) for c in columns}
     return joined.withColumns(scaled).drop(*[f"{c}_{m}" for c in columns for m in ("mean", "dev")])
 
 
@@ -153,10 +170,8 @@ def by_class(df: DataFrame) -> DataFrame:
     return df.withColumn("grp", F.explode(F.array(F.lit("all"), F.col("occ_cls"))))
 
 
-def points(df: DataFrame, design: Design, name: str, sizes: dict[str, int]) -> DataFrame:
-    """The staged table all passes read: grp, pid, fixed-point x0.., label slots s0.., and the raw columns."""
-    scaled = standardise(df, design.numeric, "grp", few=len(sizes) <= BROADCAST_GROUPS)
-    fixed = {f"x{i}": F.round(F.col(f"{c}_z") * UNITS).cast("bigint") for i, c in enumerate(design.numeric)}
+def label_slots(design: Design) -> dict[str, Column]:
+    """The slot of each categorical feature's label; the last slot for an unknown or null one."""
     empty, at, slots = design.size - 1, len(design.numeric), {}
     for i, (feature, found) in enumerate(design.labels):
         position = F.lit(empty)
@@ -164,8 +179,21 @@ def points(df: DataFrame, design: Design, name: str, sizes: dict[str, int]) -> D
             position = F.when(F.col(feature) == label, at + j).otherwise(position)
         slots[f"s{i}"] = position
         at += len(found)
-    made = scaled.withColumns({**fixed, **slots}).withColumnRenamed("build_id", "pid")
-    return stage(made.drop(*[f"{c}_z" for c in design.numeric]), name, spread_by="pid", rows=sum(sizes.values()))
+    return slots
+
+
+def points(df: DataFrame, design: Design, name: str, groups: dict[str, Group]) -> DataFrame:
+    """The staged table all passes read: grp, pid, fixed-point x0.., label slots s0.., and the raw columns.
+
+    The statistics are one row per group, which the driver holds, and are broadcast if they are few.
+    """
+    stats = [f"_{kind}{i}" for kind in ("mean", "deviation") for i in range(len(design.numeric))]
+    schema = T.StructType([T.StructField("grp", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in stats]])
+    table = df.sparkSession.createDataFrame([(g, *found.means, *found.deviations) for g, found in groups.items()], schema)
+    joined = df.join(F.broadcast(table) if len(groups) <= BROADCAST_GROUPS else table, "grp")
+    fixed = {f"x{i}": _fixed(_scaled(F.col(c), F.col(f"_mean{i}"), F.col(f"_deviation{i}"))) for i, c in enumerate(design.numeric)}
+    made = joined.withColumns({**fixed, **label_slots(design)}).withColumnRenamed("build_id", "pid").drop(*stats)
+    return stage(made, name, spread_by="pid", rows=sum(g.n for g in groups.values()))
 
 
 # --- one pass -----------------------------------------------------------------------------
@@ -320,10 +348,11 @@ def _assign_batch(table: DataFrame, design: Design, centroids: Centroids) -> Dat
 # --- reports ------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Fitted:
-    """A staged point table, its layout and the fitted centroids."""
+    """A staged point table, its layout, the statistics of its groups and the fitted centroids."""
 
     table: DataFrame
     design: Design
+    groups: dict[str, Group]
     centroids: Centroids
 
     def labels(self) -> DataFrame:
@@ -333,10 +362,79 @@ class Fitted:
         """:meth:`labels` written once, for reports that aggregate them several times."""
         return stage(self.labels(), "labels")
 
-
-def _sizes(df: DataFrame) -> dict[str, int]:
-    """Rows per group; the driver holds a model of each group anyway."""
-    return {r.grp: r.n for r in df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    def sums(self, measures: Sequence[str] = ()) -> DataFrame:
+        """Per cluster of every model: grp, combo, k, cluster, n, d2, slot counts v0.., and of each measure the sums a, b about the shift c.
+
+        Points are labelled and summed in the same pass; labels are not returned anywhere. One row
+        per cluster leaves a task, so the result has at most as many rows as there are centroids.
+        """
+        out = None
+        for batch in _batches(self.centroids, self.design):
+            part = self._batch_sums({m: self.centroids[m] for m in batch}, list(measures))
+            out = part if out is None else out.unionByName(part)
+        return self._batch_sums({}, list(measures)) if out is None else out
+
+    def _batch_sums(self, centroids: Centroids, measures: list[str]) -> DataFrame:
+        design, index = self.design, {m: i for i, m in enumerate(centroids)}
+        n_num, n_cat = len(design.numeric), len(design.labels)
+        means = self._means([m for m in measures if m not in design.numeric])
+        shifts = {}
+        for model, found in centroids.items():
+            group = self.groups[model.group]
+            of = lambda c, i: group.means[i] + c.vector[i] * group.deviations[i]  # noqa: B023, E731
+            at = {name: i for i, name in enumerate(design.numeric)}
+            shifts[index[model]] = np.array([[of(c, at[m]) if m in at else means[model.group][m] for m in measures] for c in found], float).reshape(len(found), len(measures))
+        kernel = kernels.cluster_sums(n_num, n_cat, design.size, float(UNITS), _group_models(centroids, index), measures, shifts)
+        whole, parts = ["n", *[f"v{i}" for i in range(design.size)]], ["d2", *[f"{c}{i}" for i in range(len(measures)) for c in "ab"]]
+        constants = [f"c{i}" for i in range(len(measures))]
+        schema = ", ".join(["model bigint", "cluster bigint", *[f"{c} bigint" for c in whole], *[f"{c} double" for c in (*parts, *constants)]])
+        read = [f"x{i}" for i in range(n_num)] + [f"s{i}" for i in range(n_cat)] + [m for m in measures]
+        summed = self.table.select("grp", *read).mapInArrow(kernel, schema).groupBy("model", "cluster").agg(
+            *[F.sum(c).alias(c) for c in (*whole, *parts)], *[F.first(c).alias(c) for c in constants]
+        )
+        names = self.table.sparkSession.createDataFrame([(i, m.group, m.combo, m.k) for m, i in index.items()], "model bigint, grp string, combo string, k int")
+        # One row per model; the driver holds their centroids.
+        return summed.join(F.broadcast(names), "model").select("grp", "combo", "k", F.col("cluster").cast("int").alias("cluster"), *whole, *parts, *constants)
+
+    def _means(self, measures: list[str]) -> dict[str, dict[str, float]]:
+        """Means per group of measures that are no features."""
+        if not measures:
+            return {}
+        rows = self.table.groupBy("grp").agg(*[F.avg(m).alias(m) for m in measures]).collect()
+        return {r.grp: {m: r[m] for m in measures} for r in rows}
+
+    def statistics(self, with_area: bool = False, dominant: bool = False) -> DataFrame:
+        """:func:`cluster_stats` with the totals of each model, from one pass; ``dominant`` adds what :func:`dominant_features` tells."""
+        measures = (*NUMERIC, *(("gfa",) if with_area else ()))
+        out = [F.col(c) for c in ("grp", "combo", "k", "cluster", "n")]
+        for i, c in enumerate(measures):
+            off = F.col(f"a{i}") / F.col("n")
+            mean = F.col(f"c{i}") + off
+            spread = F.sqrt(F.greatest(F.col(f"b{i}") / F.col("n") - off * off, F.lit(0.0)))
+            out += [(truncate(mean) if c == "year_built" else mean).alias(f"avg_{SHORT[c]}"), spread.alias(f"std_{SHORT[c]}")]
+        slots = [(feature, label, f"v{len(self.design.numeric) + i}") for i, (feature, label) in enumerate(self.design.slots())]
+        for feature, into in DOMINANT.items() if dominant else ():
+            counts = F.array(*[F.struct((-F.col(v)).alias("o"), F.lit(label).alias("label")) for f, label, v in slots if f == feature])
+            users = [name for name, found in COMBINATIONS.items() if feature in found]
+            out.append(F.when(F.col("combo").isin(*users), F.array_min(counts)["label"]).alias(into))
+        model = Window.partitionBy("grp", "combo", "k")
+        out += [F.sum("d2").over(model).alias("wcss"), F.sum("n").over(model).alias("total_buildings")]
+        return self.sums(measures).select(*out)
+
+    def wcss(self) -> DataFrame:
+        """Rows and sum of squared distances per model, from one pass."""
+        return self.sums().groupBy("grp", "combo", "k").agg(F.sum("n").alias("n"), F.sum("d2").alias("wcss"))
+
+    def shares(self) -> DataFrame:
+        """Size and share of each cluster of each model, for a treemap, from one pass."""
+        total = F.sum("n").over(Window.partitionBy("grp", "combo", "k"))
+        return self.sums().select("grp", "combo", "k", "cluster", "n", (F.col("n") / total).alias("share"))
+
+
+def _groups(df: DataFrame, numeric: Sequence[str]) -> dict[str, Group]:
+    """Statistics per group; the driver holds a model of each group anyway."""
+    rows = df.groupBy("grp").agg(F.count(F.lit(1)), *[F.avg(c) for c in numeric], *[F.stddev_pop(c) for c in numeric]).collect()
+    return {r[0]: Group(r[1], tuple(r)[2:2 + len(numeric)], tuple(r)[2 + len(numeric):]) for r in rows}
 
 
 def fit_groups(
@@ -344,18 +442,16 @@ def fit_groups(
     min_rows: int, name: str, **options: float,
 ) -> Fitted:
     """One model per group with at least ``min_rows`` rows, combination and k (k at most the rows)."""
-    sizes = _sizes(grouped)
+    groups = _groups(grouped, numeric)
     features = sorted({f for found in combos.values() for f in found})
     design = Design(tuple(numeric), fit_labels(grouped, features))
-    table = points(grouped, design, name, sizes)
+    table = points(grouped, design, name, groups)
     models = [
         Model(group, combo, tuple(found), k)
-        for group, n in sorted(sizes.items()) if n >= min_rows
-        for combo, found in combos.items() for k in ks if k <= n
+        for group, stats in sorted(groups.items()) if stats.n >= min_rows
+        for combo, found in combos.items() for k in ks if k <= stats.n
     ]
-    if not models:
-        return Fitted(table, design, {})
-    return Fitted(table, design, fit(table, design, models, **options))
+    return Fitted(table, design, groups, fit(table, design, models, **options) if models else {})
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -386,23 +482,24 @@ def elbow_clusters(below_outliers: DataFrame, ks: Sequence[int] = ELBOW_K, **opt
     return fit_groups(rows, ELBOW_NUMERIC, {"base": COMBINATIONS["base"]}, ks, 1, "elbow-clusters", **options)
 
 
+def _known(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
 def sample_clusters(sample: DataFrame, ks: Sequence[int] = SAMPLE_K, **options: float) -> Fitted:
     """Every combination on a sample; each combination uses the rows complete in its own features."""
     optional = ("material_type", "foundation_type")
     known = sample.agg(*[F.count(c).alias(c) for c in optional]).first()
     present = [c for c in optional if known[c]]
     combos = {name: usable_combination(name, present) for name in COMBINATIONS}
-    complete = F.array_compact(F.array(*[
-        F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*NUMERIC, *found)]), F.lit(name))
-        for name, found in combos.items()
-    ]))
+    complete = F.array_compact(F.array(*[F.when(_known((*NUMERIC, *found)), F.lit(name)) for name, found in combos.items()]))
     rows = sample.select("build_id", *NUMERIC, "occ_cls", *optional).withColumn("grp", F.explode(complete))
     features = sorted({f for found in combos.values() for f in found})
     design = Design(NUMERIC, fit_labels(rows, features))
-    sizes = _sizes(rows)
-    table = points(rows, design, "sample-clusters", sizes)
-    models = [Model(name, name, found, k) for name, found in combos.items() for k in ks if k <= sizes.get(name, 0)]
-    return Fitted(table, design, fit(table, design, models, **options) if models else {})
+    groups = _groups(rows, NUMERIC)
+    table = points(rows, design, "sample-clusters", groups)
+    models = [Model(name, name, found, k) for name, found in combos.items() for k in ks if name in groups and k <= groups[name].n]
+    return Fitted(table, design, groups, fit(table, design, models, **options) if models else {})
 
 
 def wcss(labels: DataFrame) -> DataFrame:
@@ -416,11 +513,10 @@ def cluster_stats(labels: DataFrame, with_area: bool = False, with_model: bool =
     ``with_model`` adds the ``wcss`` and ``total_buildings`` of the cluster's model, in the same pass.
     """
     columns = (*NUMERIC, *(("gfa",) if with_area else ()))
-    short = {"sqmeters": "sqmeters", "height_used": "height", "year_built": "year", "gfa": "gfa"}
     measures = [F.count(F.lit(1)).alias("n")]
     for c in columns:
         mean = truncate(F.avg(c)) if c == "year_built" else F.avg(c)
-        measures += [mean.alias(f"avg_{short[c]}"), F.stddev_pop(c).alias(f"std_{short[c]}")]
+        measures += [mean.alias(f"avg_{SHORT[c]}"), F.stddev_pop(c).alias(f"std_{SHORT[c]}")]
     if not with_model:
         return labels.groupBy("grp", "combo", "k", "cluster").agg(*measures)
     stats = labels.groupBy("grp", "combo", "k", "cluster").agg(*measures, F.sum("d2").alias("_d2"))
@@ -434,14 +530,13 @@ def dominant_features(labels: DataFrame) -> DataFrame:
     Both features are counted in one pass; ties go to the smaller label.
     """
     key = ("grp", "combo", "k", "cluster")
-    features = {"material_type": "dominant_material", "foundation_type": "dominant_foundation"}
     used = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.when(F.col("combo").isin(*[c for c, found in COMBINATIONS.items() if f in found]), F.col(f)).alias("value"))
-        for f in features
+        for f in DOMINANT
     ])
     counts = labels.select(*key, F.inline(used)).where("value IS NOT NULL").groupBy(*key, "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     order = F.struct((-F.col("_n")).alias("o"), F.col("value"))
-    best = [F.min_by(F.when(F.col("feature") == f, F.col("value")), F.when(F.col("feature") == f, order)).alias(into) for f, into in features.items()]
+    best = [F.min_by(F.when(F.col("feature") == f, F.col("value")), F.when(F.col("feature") == f, order)).alias(into) for f, into in DOMINANT.items()]
     return counts.groupBy(*key).agg(*best)
 
 
@@ -474,16 +569,30 @@ def align_labels(df: DataFrame, labels: DataFrame, id_column: str = "build_id")
 def sample_label_columns(fitted: Fitted, sample: DataFrame) -> DataFrame:
     """The sample with ``cluster_<combo>_k<k>`` per model, ``cluster_k<k>`` for base, and ``cluster`` for base k 7.
 
-    The pivot has its values listed, so it is a single aggregate.
+    Each row is labelled for all models where it stands: the coordinates of every combination are columns of the
+    row, null where it lacks a feature, and a task adds the label columns. Nothing is shuffled or joined.
     """
-    wanted = [(m.combo, m.k) for m in fitted.centroids]
-    labels = fitted.labels().withColumn("name", F.format_string("cluster_%s_k%d", "combo", "k"))
-    names = [f"cluster_{combo}_k{k}" for combo, k in wanted]
-    wide = labels.groupBy(F.col("pid").alias("build_id")).pivot("name", names).agg(F.first("cluster"))
-    joined = align_labels(sample, wide)
-    base = {f"cluster_k{k}": F.col(f"cluster_base_k{k}") for combo, k in wanted if combo == "base"}
+    design = fitted.design
+    features = {m.group: m.features for m in fitted.centroids}
+    columns, labelled = sample.columns, sample
+    for batch in _batches(fitted.centroids, design):
+        names = {i: f"cluster_{m.combo}_k{m.k}" for i, m in enumerate(batch)}
+        place = {}
+        for group in dict.fromkeys(m.group for m in batch):
+            stats, known = fitted.groups[group], _known((*design.numeric, *features[group]))
+            for i, c in enumerate(design.numeric):
+                scaled = _scaled(F.col(c), F.lit(stats.means[i]).cast("double"), F.lit(stats.deviations[i]).cast("double"))
+                place[f"{group}_x{i}"] = F.when(known, _fixed(scaled))
+        ready = labelled.withColumns({**place, **label_slots(design)})
+        models = _group_models({m: fitted.centroids[m] for m in batch}, {m: i for i, m in enumerate(batch)})
+        kernel = kernels.wide_labels(len(design.numeric), len(design.labels), float(UNITS), models, names, columns)
+        # Columns leave a task group by group.
+        added = [names[number] for found in models.values() for number, _, _ in found]
+        schema = T.StructType([*labelled.schema.fields, *[T.StructField(name, T.IntegerType()) for name in added]])
+        labelled, columns = ready.mapInArrow(kernel, schema), [*columns, *added]
+    base = {f"cluster_k{m.k}": F.col(f"cluster_base_k{m.k}") for m in fitted.centroids if m.combo == "base"}
     main = f"cluster_base_k{MAIN_K}"
-    return joined.withColumns({**base, "cluster": F.col(main) if main in names else F.lit(None).cast("int")})
+    return labelled.withColumns({**base, "cluster": F.col(main) if main in columns else F.lit(None).cast("int")})
 
 
 # --- a single model with the library estimator -----------------------------------------------

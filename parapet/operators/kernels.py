@@ -134,3 +134,67 @@ def all_labels(n_num: int, n_cat: int, units: float, models: GroupModels) -> Cal
                 yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "clusters", "distances"])
 
     return run
+
+
+def cluster_sums(n_num: int, n_cat: int, size: int, units: float, models: GroupModels, measures: list[str], shifts: dict[int, np.ndarray]) -> Callable:
+    """One row per model and cluster of a partition, for final models: n, the sum of squared distances,
+    the counts of each slot, and for each measure the shift and the sums of differences from it and of their squares.
+
+    ``shifts`` has a value near the cluster's mean per cluster and measure, so that the squares don't cancel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fixed, slots = _columns(batch, "x", n_num), _columns(batch, "s", n_cat)
+            values = [batch.column(m).to_numpy(zero_copy_only=False) for m in measures]
+            for group, rows in _group_rows(batch):
+                x, mine_slots, mine = [c[rows] / units for c in fixed], [c[rows] for c in slots], [c[rows] for c in values]
+                for number, vectors, bias in models.get(group, ()):
+                    k = len(vectors)
+                    label, d2 = nearest(x, mine_slots, vectors, bias)
+                    count = counts.setdefault(number, np.zeros((k, 1 + size), np.int64))
+                    total = sums.setdefault(number, np.zeros((k, 1 + 2 * len(measures))))
+                    count[:, 0] += np.bincount(label, minlength=k)
+                    for c in mine_slots:
+                        count[:, 1:] += np.bincount(label * size + c, minlength=k * size).reshape(k, size)
+                    total[:, 0] += np.bincount(label, weights=d2, minlength=k)
+                    for i, c in enumerate(mine):
+                        off = c - shifts[number][label, i]
+                        total[:, 1 + 2 * i] += np.bincount(label, weights=off, minlength=k)
+                        total[:, 2 + 2 * i] += np.bincount(label, weights=off * off, minlength=k)
+        at = [(m, j) for m, t in counts.items() for j in range(len(t)) if t[j, 0] > 0]
+        if at:
+            whole = np.array([counts[m][j] for m, j in at])
+            parts = np.hstack([np.array([sums[m][j] for m, j in at]), np.array([shifts[m][j] for m, j in at]).reshape(len(at), -1)])
+            numbers = np.array(at)
+            names = ["model", "cluster", "n", *[f"v{i}" for i in range(size)], "d2"]
+            names += [f"{c}{i}" for i in range(len(measures)) for c in "ab"] + [f"c{i}" for i in range(len(measures))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*numbers.T, *whole.T, *parts.T)], names)
+
+    return run
+
+
+def wide_labels(n_num: int, n_cat: int, units: float, models: GroupModels, names: dict[int, str], kept: list[str]) -> Callable:
+    """Every row once, its columns ``kept``, with a column of labels per model.
+
+    A group's coordinates are the columns ``<group>_x0``..; rows without them get null labels.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = _columns(batch, "s", n_cat)
+            columns = {c: batch.column(c) for c in kept}
+            for group, mine in models.items():
+                raw = [batch.column(f"{group}_x{i}") for i in range(n_num)]
+                rows = np.flatnonzero(raw[0].is_valid().to_numpy(zero_copy_only=False))
+                x = [c.take(pa.array(rows)).to_numpy(zero_copy_only=False) / units for c in raw]
+                mine_slots = [c[rows] for c in slots]
+                for number, vectors, bias in mine:
+                    label, missing = np.zeros(batch.num_rows, np.int32), np.ones(batch.num_rows, bool)
+                    label[rows], missing[rows] = nearest(x, mine_slots, vectors, bias)[0], False
+                    columns[names[number]] = pa.array(label, mask=missing)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run

@@ -101,19 +101,14 @@ def _main_analysis(t: Tables) -> DataFrame:
 
 def _elbow(t: Tables) -> DataFrame:
     rows = cleaning.complete_cases(t.prepared.select("build_id", "occ_cls", "gfa", "year_built"))
-    return clustering.wcss(clustering.elbow_clusters(cleaning.drop_outliers(rows)).labels())
-
-
-def _feature_clusters(t: Tables) -> DataFrame:
-    labels = clustering.feature_clusters(t.prepared).staged_labels()
-    return clustering.cluster_stats(labels, with_model=True).join(clustering.dominant_features(labels), ["grp", "combo", "k", "cluster"], "left")
+    return clustering.elbow_clusters(cleaning.drop_outliers(rows)).wcss()
 
 
 CLUSTER_REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "clustering": _main_analysis,
     "clustering_elbow": _elbow,
-    "occupancy_clusters": lambda t: clustering.cluster_stats(clustering.plain_clusters(t.prepared).labels(), with_area=True, with_model=True),
-    "occupancy_clusters_enhanced": _feature_clusters,
+    "occupancy_clusters": lambda t: clustering.plain_clusters(t.prepared).statistics(with_area=True),
+    "occupancy_clusters_enhanced": lambda t: clustering.feature_clusters(t.prepared).statistics(dominant=True),
 }
 
 

@@ -152,3 +152,67 @@ def test_stats_carry_the_totals_of_their_model(spark, rows):
 def test_a_fit_that_does_not_settle_says_so(spark, rows):
     with pytest.warns(UserWarning, match="did not settle"):
         K.main_clusters(_frame(spark, rows), k=4, max_iterations=1)
+
+
+def test_statistics_of_one_pass_equal_those_of_labels(spark, rows):
+    """The fused pass against labels written row by row, dominant labels and totals of the model included."""
+    fitted = K.feature_clusters(_frame(spark, rows), ks=(2, 4))
+    labels = fitted.staged_labels()
+    key = ("grp", "combo", "k", "cluster")
+    want = K.cluster_stats(labels, with_model=True).join(K.dominant_features(labels), list(key), "left")
+    got = {tuple(r[c] for c in key): r for r in fitted.statistics(dominant=True).collect()}
+    assert sorted(want.columns) == sorted(fitted.statistics(dominant=True).columns)
+    found = want.collect()
+    assert len(found) == len(got) > 30
+    for r in found:
+        mine = got[tuple(r[c] for c in key)]
+        assert all(mine[c] == (pytest.approx(r[c], rel=1e-9, abs=1e-7) if isinstance(r[c], float) else r[c]) for c in want.columns)
+    sizes = {(r.grp, r.combo, r.k): (r.n, r.wcss) for r in K.wcss(labels).collect()}
+    assert {(r.grp, r.combo, r.k): (r.n, pytest.approx(r.wcss, abs=1e-7)) for r in fitted.wcss().collect()} == sizes
+    shares = {tuple(r[c] for c in key): (r.n, r.share) for r in K.cluster_shares(labels).collect()}
+    assert {tuple(r[c] for c in key): (r.n, r.share) for r in fitted.shares().collect()} == shares
+
+
+def test_spread_far_from_the_mean_keeps_its_digits(spark, rows):
+    """A tight cluster far from the others: the sums are taken about its own centre."""
+    far = [(1000 + i, 1e9 + i / 64, 10.0, 1950.0, "Commercial", "W", "Slab", 500.0) for i in range(64)]
+    near = [(*r[:2], 10.0, 1950.0, *r[4:]) for r in rows]
+    fitted = K.plain_clusters(_frame(spark, [*near, *far]), ks=(2,))
+    got = fitted.statistics(with_area=True).where("grp = 'all' AND n = 64").first()
+    assert got.std_sqmeters == pytest.approx(np.std([r[1] for r in far]), rel=1e-6) and got.avg_sqmeters == pytest.approx(1e9 + 63 / 128, rel=1e-15)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_write_no_labelled_rows(spark, rows, monkeypatch):
+    fitted = K.feature_clusters(_frame(spark, rows), ks=(2,))
+    monkeypatch.setattr(K, "stage", None)
+    for df in (fitted.statistics(dominant=True), fitted.wcss()):
+        assert "Generate" not in _plan(df) and df.count() > 0
+
+
+def test_wide_labels_equal_long_ones(spark, rows):
+    """Labels side by side, from rows with nulls in optional features, without a shuffle."""
+    cut = [(*r[:5], r[5] if r[0] % 3 else None, r[6] if r[0] % 2 else None, r[7]) for r in rows]
+    sample = _frame(spark, cut)
+    fitted = K.sample_clusters(sample, ks=(2, 3))
+    wide = K.sample_label_columns(fitted, sample)
+    added = _plan(wide).count("Exchange") - _plan(sample).count("Exchange")
+    assert added == 0 and "Generate" not in _plan(wide) and "Pivot" not in _plan(wide)
+    got = {r.build_id: r for r in wide.collect()}
+    long = fitted.labels().collect()
+    assert all(got[r.pid][f"cluster_{r.combo}_k{r.k}"] == r.cluster for r in long)
+    labelled = sum(got[r[0]][f"cluster_{c}_k{k}"] is not None for r in cut for c in K.COMBINATIONS for k in (2, 3))
+    assert labelled == len(long) and len(got) == len(cut)
+    assert wide.columns[: len(sample.columns)] == sample.columns and {"cluster", "cluster_k2", "cluster_k3"} <= set(wide.columns)
+
+
+def test_wide_labels_in_batches(spark, rows, monkeypatch):
+    sample = _frame(spark, rows)
+    fitted = K.sample_clusters(sample, ks=(2,))
+    key = lambda df: sorted((r.build_id, r.cluster_base_k2, r.cluster_both_k2) for r in df.collect())
+    whole = key(K.sample_label_columns(fitted, sample))
+    monkeypatch.setattr(K, "CENTROID_BYTES", 1)
+    assert key(K.sample_label_columns(fitted, sample)) == whole
