@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,37 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Infinity
 _WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 
 
+def _files_with_breaks(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files of ``path`` in which no quoted field spans lines, and the others.
+
+    A field that spans lines leaves an odd number of quotes on the line it starts in, since quotes
+    inside a field are doubled. One pass over the lines, itself split into many tasks, finds the
+    files with such a line. What reaches the driver are file names, which it lists anyway.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    broken = {unquote(r.file) for r in lines.where(quotes % 2 == 1).select("file").distinct().collect()}
+    files = [unquote(f) for f in lines.inputFiles()]
+    return [f for f in files if f not in broken], sorted(broken)
+
+
 def _text_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text: only the header line is read to learn their names.
 
-    Quoted fields may hold line breaks, and the usual words for a missing value become null.
+    Quoted fields may hold line breaks, and the usual words for a missing value become null. A file
+    without such breaks is split into many tasks; one with them can only be read by one task.
     """
-    text = (
-        spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
+    reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+    plain, broken = _files_with_breaks(spark, path)
+    if not broken:
+        text = reader.csv(path)
+    elif not plain or any(c in f for f in (*plain, *broken) for c in "*?[]{}\\"):
+        # Names with the signs of a pattern can't be listed one by one.
+        text = reader.option("multiLine", True).csv(path)
+    else:
+        # The columns are those of the first file's header, as for any folder.
+        schema = reader.option("multiLine", True).csv(path).schema
+        text = reader.schema(schema).option("multiLine", False).csv(plain).unionAll(reader.schema(schema).option("multiLine", True).csv(broken))
     return text.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns])
 
 
