@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.numbers import percent
@@ -22,6 +22,8 @@ POINT_TYPES = ("AGR", "COM", "EDU", "GOV", "IND", "REL", "RES")
 RESIDENTIAL = POINT_TYPES.index("RES")
 NEAREST_POINT_M = 5.0
 PERMIT_RADIUS_M = 30.0
+# Side of a cell of the polygon index in degrees (a power of two), and what its edges are widened by.
+LAND_CELL, HAIR = 0.0625, 1e-9
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -206,42 +208,92 @@ def demolitions(buildings: DataFrame, permits: DataFrame, radius_m: float = PERM
 
 
 def _edges(corners: Column) -> Column:
-    """The edges of a closed ring as pairs of corners ``a`` and ``b``."""
+    """The edges of a closed ring as structs of two corners."""
     ends = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
-    return F.arrays_zip(corners.alias("a"), ends.alias("b"))
+    return F.transform(F.arrays_zip(corners.alias("a"), ends.alias("b")), lambda e: F.struct(
+        e["a"]["lon"].alias("ax"), e["a"]["lat"].alias("ay"), e["b"]["lon"].alias("bx"), e["b"]["lat"].alias("by")))
 
 
-def _in_polygon(lon: Column, lat: Column, edges: Column) -> Column:
-    """Ray casting: true when a ray to the east crosses an odd number of edges."""
+def _spans(edge: Column, lat: Column) -> Column:
+    """Whether an edge passes a latitude; its lower end counts, its upper end doesn't."""
+    return (edge["ay"] > lat) != (edge["by"] > lat)
+
+
+def _passes_at(edge: Column, lat: Column) -> Column:
+    """The longitude at which an edge passes a latitude, never beyond its ends."""
+    at = edge["ax"] + (edge["bx"] - edge["ax"]) * F.try_divide(lat - edge["ay"], edge["by"] - edge["ay"])
+    return F.greatest(F.least(at, F.greatest(edge["ax"], edge["bx"])), F.least(edge["ax"], edge["bx"]))
+
+
+def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
+    """(polygon, cx, cy, odd, edges): the cells that a polygon's edges touch, each with those edges, and the cells inside.
+
+    ``odd`` tells whether the south-east corner of the cell lies inside. For that, edges are cut at the grid's
+    latitudes; between each second and third of the sorted cuts of a line, corners are outside. An edge is dealt only to
+    the cells it touches, so an index row holds the edges of its cell and none for a cell that needs no ray.
+    """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("corners")
+    # Equal polygons count once; the key only holds a polygon's rows together.
+    shapes = polygons.select(rings.alias("rings")).distinct().select(
+        F.md5(F.to_json("rings")).alias("polygon"), F.flatten(F.transform("rings", _edges)).alias("edges"))
+    # A step of its own, so that the key is made once per polygon and not once per edge.
+    edges = shapes.select("polygon", F.explode("edges").alias("edge"))
+    edge = F.col("edge")
+    low, high = F.least(edge["ay"], edge["by"]), F.greatest(edge["ay"], edge["by"])
+    left, right = F.least(edge["ax"], edge["bx"]), F.greatest(edge["ax"], edge["bx"])
+
+    rows = edges.withColumn("cy", F.explode(F.sequence(_cell(low, cell), _cell(high, cell))))
+    # A hair more than the stretch inside the row, so that rounding never leaves out a cell.
+    ends = [_passes_at(edge, F.greatest(low, F.col("cy") * cell)), _passes_at(edge, F.least(high, (F.col("cy") + 1) * cell))]
+    flat = edge["ay"] == edge["by"]
+    first, last = F.when(flat, left).otherwise(F.least(*ends)) - HAIR, F.when(flat, right).otherwise(F.greatest(*ends)) + HAIR
+    touched = rows.withColumn("cx", F.explode(F.sequence(_cell(first, cell), _cell(last, cell))))
+
+    # Lines y = cy * cell that an edge passes.
+    line, end = F.ceil(low / cell), F.ceil(high / cell) - 1
+    cuts = edges.where(line <= end).withColumn("cy", F.explode(F.sequence(line, end))).withColumn("at", _passes_at(edge, F.col("cy") * cell))
+    order = Window.partitionBy("polygon", "cy").orderBy("at")
+    pairs = cuts.select("polygon", "cy", "at", F.lead("at").over(order).alias("upto"), F.row_number().over(order).alias("i")).where("i % 2 = 1")
+    # Corners x = (cx + 1) * cell with at <= x < upto.
+    corner, end = F.ceil(F.col("at") / cell) - 1, F.ceil(F.col("upto") / cell) - 2
+    inner = pairs.where(corner <= end).withColumn("cx", F.explode(F.sequence(corner, end)))
+    both = touched.select("polygon", "cx", "cy", F.lit(False).alias("odd"), "edge").unionByName(
+        inner.select("polygon", "cx", "cy", F.lit(True).alias("odd"), F.lit(None).cast(edges.schema["edge"].dataType).alias("edge"))
+    )
+    return both.groupBy("polygon", "cx", "cy").agg(F.max("odd").alias("odd"), F.collect_list("edge").alias("edges"))
+
+
+def _in_cell(lon: Column, lat: Column, cx: Column, cy: Column, odd: Column, edges: Column, cell: float) -> Column:
+    """Ray casting inside a cell: east to its border, then south along the border to the corner whose side is known.
+
+    Every test of an edge against the path uses the same longitude of the same edge, so the
+    result is that of a ray that passes all edges, also for points on corners or borders.
+    """
+    border, floor = (cx + 1) * cell, cy * cell
 
     def crosses(edge: Column) -> Column:
-        a, b = edge["a"], edge["b"]
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = a["lon"] + (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"])
-        return F.coalesce(spans & (lon < at), F.lit(False))
+        here, there = _passes_at(edge, lat), _passes_at(edge, floor)
+        east = _spans(edge, lat) & (lon < here) & (here <= border)
+        rising = (edge["bx"] > edge["ax"]) == (edge["by"] > edge["ay"])
+        # Whether the edge meets the border at a latitude or below it.
+        under = lambda at, y: F.when(_spans(edge, y), F.when(rising, at > border).otherwise(at <= border)).otherwise(edge["ay"] <= y)
+        south = ((edge["ax"] > border) != (edge["bx"] > border)) & under(here, lat) & ~under(there, floor)
+        return east != south
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) != odd
 
 
-def inside_polygons(buildings: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
+def inside_polygons(buildings: DataFrame, polygons: DataFrame, cell: float = LAND_CELL) -> DataFrame:
     """Buildings that lie in at least one polygon, each once.
 
     A polygon has one ring of ``corners``, or several ``rings``: parts and their holes, told
-    apart by the even-odd rule. Polygons are copied with their edges to the cells of their
-    bounding box, which makes the semi join an equi-join; the ray casting runs as its extra
-    condition.
+    apart by the even-odd rule. Polygons are cut into the cells of :func:`polygon_cells`, which makes the
+    semi join an equi-join; a building only meets the edges of its own cell. ``cell`` is a
+    power of two, so that cell borders are exact.
     """
-    rings = F.col("rings") if "rings" in polygons.columns else F.array("corners")
-    polygons = polygons.select(F.flatten(rings).alias("corners"), F.flatten(F.transform(rings, _edges)).alias("edges"))
-    lons, lats = F.transform("corners", lambda p: p["lon"]), F.transform("corners", lambda p: p["lat"])
-    tiled = (
-        polygons.withColumn("cx", F.explode(F.sequence(_cell(F.array_min(lons), cell), _cell(F.array_max(lons), cell))))
-        .withColumn("cy", F.explode(F.sequence(_cell(F.array_min(lats), cell), _cell(F.array_max(lats), cell))))
-        .select("cx", "cy", "edges")
-    )
     located = buildings.where("longitude IS NOT NULL AND latitude IS NOT NULL").withColumns({
         "_cx": _cell(F.col("longitude"), cell), "_cy": _cell(F.col("latitude"), cell),
     })
     same = (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy"))
-    inside = _in_polygon(F.col("longitude"), F.col("latitude"), F.col("edges"))
-    return located.join(tiled, same & inside, "left_semi").drop("_cx", "_cy")
+    inside = _in_cell(F.col("longitude"), F.col("latitude"), F.col("cx"), F.col("cy"), F.col("odd"), F.col("edges"), cell)
+    return located.join(polygon_cells(polygons, cell), same & inside, "left_semi").drop("_cx", "_cy")

@@ -93,3 +93,69 @@ def test_polygons_with_holes_and_parts(spark):
     )
     found = S.inside_polygons(spark.createDataFrame(places, "build_id int, longitude double, latitude double"), shapes).collect()
     assert sorted(r.build_id for r in found) == expected and 30 < len(expected) < 200
+
+
+def _even_odd(px, py, rings):
+    """Even-odd rule by a ray to the east over all edges, in numpy."""
+    inside = np.zeros(len(px), bool)
+    for ring in rings:
+        a = np.asarray(ring, float)
+        for (ax, ay), (bx, by) in zip(a, np.roll(a, -1, axis=0)):
+            if ay != by:
+                spans = (ay > py) != (by > py)
+                inside ^= spans & (px < ax + (bx - ax) * ((py - ay) / (by - ay)))
+    return inside
+
+
+def _found(spark, places, rings, **more):
+    shapes = spark.createDataFrame([(1, [[(float(x), float(y)) for x, y in r] for r in rings])], "polygon_id int, rings array<array<struct<lon:double,lat:double>>>")
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "build_id int, longitude double, latitude double")
+    return sorted(r.build_id for r in S.inside_polygons(df, shapes, **more).collect())
+
+
+def test_polygon_of_a_hundred_thousand_corners(spark):
+    rng = np.random.default_rng(8)
+    n = 100_000
+    angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+    reach = 1.2 + 0.3 * np.sin(9 * angle) + rng.normal(0, 0.004, n)
+    ring = np.column_stack((reach * np.cos(angle) - 70, reach * np.sin(angle) + 42))
+    places = rng.uniform(-1.7, 1.7, (3000, 2)) + (-70, 42)
+    px, py = places.T
+    inside = np.zeros(len(px), bool)
+    for start in range(0, n, 4000):
+        a, b = ring[start:start + 4000], np.roll(ring, -1, axis=0)[start:start + 4000]
+        spans = (a[:, 1] > py[:, None]) != (b[:, 1] > py[:, None])
+        at = a[:, 0] + (b[:, 0] - a[:, 0]) * ((py[:, None] - a[:, 1]) / (b[:, 1] - a[:, 1]))
+        inside ^= (spans & (px[:, None] < at)).sum(1) % 2 == 1
+    assert _found(spark, places, [ring]) == np.flatnonzero(inside).tolist() and 1000 < inside.sum() < 2000
+    # Edges are dealt to the cells they touch, and cells inside have none.
+    shapes = spark.createDataFrame([([[(float(x), float(y)) for x, y in ring]],)], "rings array<array<struct<lon:double,lat:double>>>")
+    cells = S.polygon_cells(shapes, S.LAND_CELL).selectExpr("size(edges) AS n", "odd").collect()
+    assert sum(c.n for c in cells) < 1.1 * n and sum(c.n == 0 for c in cells) > 300 and all(c.odd for c in cells if c.n == 0)
+
+
+def test_points_on_corners_and_borders(spark):
+    """Corners, edges and points on multiples of a cell's side, so that every test meets its equal case."""
+    side = S.LAND_CELL
+    rng = np.random.default_rng(2)
+    for _ in range(6):
+        ring = rng.integers(-6, 7, (rng.integers(3, 9), 2)) * side / rng.choice([1, 2])
+        grid = np.array([(x, y) for x in range(-14, 15) for y in range(-14, 15)]) * side / 2
+        assert _found(spark, grid, [ring]) == np.flatnonzero(_even_odd(*grid.T, [ring])).tolist(), ring.tolist()
+
+
+def test_rings_that_touch_and_cross(spark):
+    rng = np.random.default_rng(4)
+    rings = [rng.uniform(-0.5, 0.5, (12, 2)), rng.integers(-8, 9, (30, 2)) * 0.05, [(0.0, 0.0), (0.3, 0.0), (0.3, 0.0), (0.3, 0.3), (0.0, 0.3)]]
+    places = np.vstack([rng.uniform(-0.6, 0.6, (1500, 2)), rng.integers(-12, 13, (500, 2)) * 0.05])
+    want = np.flatnonzero(_even_odd(*places.T, rings)).tolist()
+    assert _found(spark, places, rings) == want == _found(spark, places, rings, cell=0.5) and len(want) > 300
+
+
+def test_equal_polygons_and_no_polygon(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    kind = "polygon_id int, corners array<struct<lon:double,lat:double>>"
+    places = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5)], "build_id int, longitude double, latitude double")
+    twice = spark.createDataFrame([(1, square), (1, square), (2, square), (3, None), (4, [])], kind)
+    assert [r.build_id for r in S.inside_polygons(places, twice).collect()] == [1]
+    assert S.inside_polygons(places, spark.createDataFrame([], kind)).count() == 0
