@@ -16,7 +16,7 @@ def test_stages(spark, data):
             want = {r.doc_id: r.text for r in line_dedup.dedup_lines(before).collect() if r.text or not r.n_dropped}
             assert {r.doc_id: r.text for r in docs.collect()} == want and all(r.n_chars == len(r.text) for r in docs.collect())
         if name == "near_copies":
-            kept = {r.doc_id for r in near_dup.near_duplicates(before).where("kept").collect()}
+            kept = {r.doc_id for r in near_dup.near_duplicates(before, words=corpus_pipeline.COPY_WORDS).where("kept").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         if name != "packing":
             assert docs.columns == columns
