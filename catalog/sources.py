@@ -1,5 +1,7 @@
 """Entries for reading, schema repair and JSON output."""
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,6 +10,7 @@ from parapet.functions.numbers import null_non_finite
 from parapet.operators import crosstab, sampling
 from parapet.sources import readers, standin, writers
 from parapet.sources.schema import ensure_columns
+from parapet.staging import shared_folder
 
 _NAMES = [*standin.BUILDING_EXPRESSIONS, "occ_dict"]
 add("s1_scan_buildings", "position:n column_name:t n_rows:n", lambda c: readers.table_profile(c.raw),
@@ -52,10 +55,29 @@ def sample_chunks(c: Inputs):
 add("s7_sample_chunks", "type:t build_id:n sample_index:n chunk_index:n", sample_chunks,
     "SELECT type, build_id, sample_index, chunk_index FROM sample_chunks")
 
-add("s8_chunk_manifest", "filename:t type:t chunk_index:n sample_count:n too_large:b",
-    lambda c: sampling.chunk_manifest(sample_chunks(c)),
-    "SELECT 'building_data_samples_' || type || '_' || CAST(CAST(chunk_index AS INT) AS VARCHAR) || '.json' AS filename, "
-    "type, chunk_index, COUNT(*) AS sample_count, FALSE AS too_large FROM sample_chunks GROUP BY type, chunk_index")
+#: So low that full chunks are above it and the last ones are not.
+_LIMIT_MB = 1.5
+
+
+def _written(c: Inputs):
+    """The manifest of the chunks after they are written, from the files."""
+    chunks = sample_chunks(c).select("type", "chunk_index", *_RECORD)
+    path = f"{shared_folder(c.spark)}/chunks-{uuid.uuid4().hex}"
+    writers.write_chunks(chunks, path)
+    return sampling.written_manifest(c.spark, path, limit_mb=_LIMIT_MB)
+
+
+_RECORD = ("build_id", "gfa", "sqmeters", "height_used", "year_built", "occ_cls", "material_type", "foundation_type", "drainagecl", "flodfreqcl", "eng_class", "wtdepannmin", "compname", "sample_index")
+_TWIN = (
+    "SELECT 'building_data_samples_' || type || '_' || CAST(CAST(chunk_index AS INT) AS VARCHAR) || '.json' AS filename, type, chunk_index, sample_count, size_bytes, "
+    f"ROUND(size_bytes/1048576.0, 2) AS size_mb, size_bytes/1048576.0 > {_LIMIT_MB} AS too_large, "
+    f"CASE WHEN size_bytes/1048576.0 > {_LIMIT_MB} THEN FLOOR({20 * sampling.CHUNK_ROWS}/(size_bytes/1048576.0)) END AS suggested_chunk_rows FROM ("
+    "SELECT type, chunk_index, COUNT(*) AS sample_count, SUM(strlen(to_json({" + ", ".join(f"'{c}': {c}" for c in _RECORD) + "})) + 1) AS size_bytes "
+    "FROM (SELECT r.*, c.type, c.chunk_index, c.sample_index FROM sample_chunks c JOIN sample_rows r USING (build_id)) GROUP BY type, chunk_index)"
+)
+_MANIFEST = "filename:t type:t chunk_index:n sample_count:n size_bytes:n size_mb:n too_large:b suggested_chunk_rows:n"
+add("s8_chunk_manifest", _MANIFEST, lambda c: sampling.chunk_manifest(sample_chunks(c).select("type", "chunk_index", *_RECORD), limit_mb=_LIMIT_MB), _TWIN)
+add("s8_written_manifest", _MANIFEST, _written, _TWIN)
 
 _ODD = "CASE k%5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE p END"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ from parapet.operators.soil import is_high_risk
 RANDOM_ROWS = 75_000
 ROWS_PER_CLASS = 2_500
 CHUNK_ROWS = 5_000
+LIMIT_MB = 25.0
 SAMPLE_REQUIRED = ("sqmeters", "height_used", "year_built", "occ_cls")
 SAMPLE_COLUMNS = (
     "build_id", "gfa", "sqmeters", "height_used", "pred_height", "year_built", "occ_cls", "material_type",
@@ -146,8 +147,19 @@ def chunked(df: DataFrame, size: int = CHUNK_ROWS, **kwargs: Any) -> DataFrame:
     return numbered(df, **kwargs).withColumn("chunk_index", F.floor(F.col("sample_index") / size) + 1)
 
 
-def chunk_manifest(chunks: DataFrame, prefix: str = "building_data", limit_mb: float = 25.0, size: int = CHUNK_ROWS) -> DataFrame:
-    """One row per chunk: file name, rows, size of its file, and a warning.
+def _manifest(sized: DataFrame, prefix: str, limit_mb: float, size: int) -> DataFrame:
+    """The manifest of (type, chunk_index, sample_count, size_bytes) rows."""
+    mb = F.col("size_bytes") / (1024 * 1024)
+    return sized.select(
+        F.format_string(f"{prefix}_samples_%s_%d.json", "type", "chunk_index").alias("filename"),
+        "type", "chunk_index", "sample_count", "size_bytes", F.round(mb, 2).alias("size_mb"),
+        (mb > limit_mb).alias("too_large"),
+        F.when(mb > limit_mb, F.floor(F.lit(size * 20) / mb)).alias("suggested_chunk_rows"),
+    )
+
+
+def chunk_manifest(chunks: DataFrame, prefix: str = "building_data", limit_mb: float = LIMIT_MB, size: int = CHUNK_ROWS) -> DataFrame:
+    """One row per chunk before it is written: file name, rows, size its file will have, and a warning.
 
     The size is that of the records as :func:`parapet.sources.writers.write_chunks` writes
     them, line ends included. A chunk above ``limit_mb`` gets the chunk size that would bring
@@ -156,12 +168,22 @@ def chunk_manifest(chunks: DataFrame, prefix: str = "building_data", limit_mb: f
     finite = null_non_finite(chunks)
     record = F.to_json(F.struct(*[c for c in chunks.columns if c not in ("type", "chunk_index")]), {"ignoreNullFields": "false"})
     summed = finite.select("type", "chunk_index", F.octet_length(record).alias("_b")).groupBy("type", "chunk_index").agg(
-        F.count(F.lit(1)).alias("sample_count"), F.sum(F.col("_b") + 1).alias("_bytes")
-    )
-    mb = F.col("_bytes") / (1024 * 1024)
-    return summed.select(
-        F.format_string(f"{prefix}_samples_%s_%d.json", "type", "chunk_index").alias("filename"),
-        "type", "chunk_index", "sample_count", F.col("_bytes").alias("size_bytes"), F.round(mb, 2).alias("size_mb"),
-        (mb > limit_mb).alias("too_large"),
-        F.when(mb > limit_mb, F.floor(F.lit(size * 20) / mb)).alias("suggested_chunk_rows"),
+        F.count(F.lit(1)).alias("sample_count"), F.sum(F.col("_b") + 1).alias("size_bytes")
     )
+    return _manifest(summed, prefix, limit_mb, size)
+
+
+def written_manifest(spark: SparkSession, path: str, prefix: str = "building_data", limit_mb: float = LIMIT_MB, size: int = CHUNK_ROWS) -> DataFrame:
+    """:func:`chunk_manifest` of the chunks that lie below ``path``: sizes from the file system, rows from the files' lines.
+
+    Read after the write is committed, so it tells what is there. Only the listing is needed for sizes; the
+    records are counted by line and not parsed.
+    """
+    place = "type string, chunk_index bigint"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/type=*")
+    if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
+        return _manifest(spark.createDataFrame([], f"{place}, sample_count bigint, size_bytes bigint"), prefix, limit_mb, size)
+    sizes = spark.read.format("binaryFile").load(path).groupBy("type", F.col("chunk_index").cast("bigint").alias("chunk_index")).agg(F.sum("length").alias("size_bytes"))
+    lines = spark.read.schema(f"value string, {place}").text(path)
+    counts = lines.groupBy("type", "chunk_index").agg(F.count(F.lit(1)).alias("sample_count"))
+    return _manifest(sizes.join(counts, ["type", "chunk_index"]), prefix, limit_mb, size)

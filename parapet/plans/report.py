@@ -162,10 +162,9 @@ def _write_report(raw: DataFrame, folder: str, source: str, clusters: bool) -> d
         document[name] = _rows(raw.sparkSession.read.schema(report.schema).json(path), path)
     writers.write_records(sampling.map_points(t.prepared), f"{folder}/map_points")
     writers.write_records(classes.reclass_map(t.prepared), f"{folder}/reclass_map")
-    chunks = stage(samples(t.prepared, with_labels=clusters), "sample-chunks")
-    writers.write_chunks(chunks, f"{folder}/samples")
+    writers.write_chunks(samples(t.prepared, with_labels=clusters), f"{folder}/samples")
     # A manifest has a row for every 5,000 sample rows, and samples have a fixed size.
-    files = [row.asDict() for row in sampling.chunk_manifest(chunks).collect()]
+    files = [row.asDict() for row in sampling.written_manifest(raw.sparkSession, f"{folder}/samples").collect()]
     document["metadata"] = metadata(t.prepared.count(), files, source) | {"initial_columns": raw.columns}
     return document
 

@@ -65,3 +65,22 @@ def test_manifest_sizes_are_those_of_the_files(spark, tmp_path):
         assert (row.suggested_chunk_rows is not None) == row.too_large == (row.chunk_index == 1)
         if row.too_large:
             assert row.suggested_chunk_rows == math.floor(5000 * 20 / (row.size_bytes / 1024 / 1024))
+    told = sorted(map(tuple, sampling.chunk_manifest(chunks, limit_mb=0.1, size=5000).collect()))
+    assert sorted(map(tuple, sampling.written_manifest(spark, str(tmp_path / "samples"), limit_mb=0.1, size=5000).collect())) == told
+
+
+def test_manifest_of_no_chunks(spark, tmp_path):
+    chunks = spark.createDataFrame([], "type string, chunk_index bigint, sample_index int")
+    write_chunks(chunks, str(tmp_path / "samples"))
+    found = sampling.written_manifest(spark, str(tmp_path / "samples"))
+    assert found.collect() == [] and found.columns == sampling.chunk_manifest(chunks).columns
+
+
+def test_manifest_tells_what_is_there(spark, tmp_path):
+    """A chunk of two files, as after a write by several tasks, and a row with a line break in its text."""
+    rows = [("random", 1, i, "a\nb" if i else "x") for i in range(4)]
+    chunks = spark.createDataFrame(rows, "type string, chunk_index bigint, sample_index int, label string")
+    chunks.repartition(2, "sample_index").write.partitionBy("type", "chunk_index").json(str(tmp_path / "samples"))
+    row = sampling.written_manifest(spark, str(tmp_path / "samples")).first()
+    files = list((tmp_path / "samples" / "type=random" / "chunk_index=1").glob("part-*"))
+    assert row.sample_count == 4 and row.size_bytes == sum(f.stat().st_size for f in files)
