@@ -57,14 +57,17 @@ def clean(df: DataFrame) -> DataFrame:
     return with_heights(full.where(valid_year() & valid_area() & (first_known > 0)))
 
 
-def outlier_threshold(df: DataFrame, column: str = "gfa") -> float | None:
-    """The 99.999th percentile, interpolated; None for an empty frame."""
-    return exact_quantiles(df, column, [OUTLIER_QUANTILE]).value(OUTLIER_QUANTILE)
+def outlier_threshold(df: DataFrame, column: str = "gfa", accuracy: int | None = None) -> float | None:
+    """The 99.999th percentile, interpolated; None for an empty frame.
+
+    ``accuracy`` asks for a sketch; to tell this percentile from the largest value it must be well above 100,000.
+    """
+    return exact_quantiles(df, column, [OUTLIER_QUANTILE], accuracy=accuracy).value(OUTLIER_QUANTILE)
 
 
-def drop_outliers(df: DataFrame, column: str = "gfa") -> DataFrame:
+def drop_outliers(df: DataFrame, column: str = "gfa", accuracy: int | None = None) -> DataFrame:
     """Keep rows strictly below the threshold of this very frame."""
-    threshold = outlier_threshold(df, column)
+    threshold = outlier_threshold(df, column, accuracy)
     return df.where(F.lit(False) if threshold is None else F.col(column) < threshold)
 
 

@@ -31,8 +31,7 @@ from pyspark.sql import types as T
 from parapet.functions.keys import uniform
 from parapet.functions.numbers import truncate
 from parapet.operators import kernels
-from parapet.operators.distribution import most_frequent
-from parapet.operators.quantiles import exact_quantiles
+from parapet.operators.quantiles import Quantiles, stacked_quantiles
 from parapet.staging import stage
 
 # Features, feature sets and cluster counts of the reports.
@@ -541,17 +540,28 @@ def dominant_features(labels: DataFrame) -> DataFrame:
 
 
 def cluster_analysis(labels: DataFrame) -> DataFrame:
-    """Per cluster of the main model: size, most common class, and mean, median and spread of area and year."""
-    area = exact_quantiles(labels, "gfa", (0.5,), by="cluster").frame(labels, "cluster", {0.5: "area_median"})
-    year = exact_quantiles(labels, "year_built", (0.5,), by="cluster").frame(labels, "cluster", {0.5: "year_median"})
-    common = most_frequent(labels, ("cluster",), "occ_cls", "most_common_occ")
-    stats = labels.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("gfa").alias("area_mean"), F.coalesce(F.stddev_samp("gfa"), F.lit(0.0)).alias("area_std"),
-        truncate(F.avg("year_built")).alias("year_mean"), F.coalesce(F.stddev_samp("year_built"), F.lit(0.0)).alias("year_std"),
-    )
-    joined = stats.join(common, "cluster").join(F.broadcast(area), "cluster").join(F.broadcast(year), "cluster")
-    return joined.withColumn("year_median", truncate(F.col("year_median")))
+    """Per cluster of the main model: size, most common class, and mean, median and spread of area and year.
+
+    Medians, means and spreads of both columns come from the same passes; sizes and classes from one count.
+    """
+    found = stacked_quantiles(labels, ("gfa", "year_built"), (0.5,), by="cluster")
+    clusters = sorted({c for q in found.values() for c in q.table})
+    rows = [(c, *[x for q in found.values() for x in _middle(q, c)]) for c in clusters]
+    measures = [f"{name}_{x}" for name in ("area", "year") for x in ("mean", "median", "std")]
+    table = labels.sparkSession.createDataFrame(rows, T.StructType([labels.schema["cluster"], *[T.StructField(m, T.DoubleType()) for m in measures]]))
+    counts = labels.where("cluster IS NOT NULL").groupBy("cluster", "occ_cls").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct((-F.col("_n")).alias("o"), F.col("occ_cls"))
+    sizes = counts.groupBy("cluster").agg(
+        F.sum("_n").alias("n"), F.min_by(F.col("occ_cls"), F.when(F.col("occ_cls").isNotNull(), order)).alias("most_common_occ"))
+    # One row per cluster of one model.
+    joined = sizes.join(F.broadcast(table), "cluster", "left")
+    return joined.withColumns({"year_mean": truncate(F.col("year_mean")), "year_median": truncate(F.col("year_median"))})
+
+
+def _middle(found: Quantiles, group: int) -> tuple[float | None, float | None, float]:
+    """Mean, median and sample deviation (0 for a single value) of a group."""
+    m = found.moments.get(group)
+    return (m.mean, found.value(0.5, group), m.deviation or 0.0) if m else (None, None, 0.0)
 
 
 def cluster_shares(labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from parapet.functions import bands as B
 from parapet.functions import votes as V
 from parapet.functions.text import UNCLASSIFIED, UNKNOWN
 from parapet.operators.distribution import recode_rare
-from parapet.operators.quantiles import exact_quantiles
+from parapet.operators.quantiles import stacked_quantiles
 from parapet.staging import stage
 
 # Names and limits of the hierarchy and flow reports.
@@ -33,16 +33,12 @@ class Terciles:
     height: tuple[float, float]
 
 
-def terciles(df: DataFrame) -> Terciles | None:
-    """Quantiles .33 and .67 of area and height, both found in the same passes."""
-    stacked = df.select(F.inline(F.array(
-        F.struct(F.lit("area").alias("what"), F.col("gfa").alias("v")),
-        F.struct(F.lit("height").alias("what"), F.col("height_used").alias("v")),
-    )))
-    found = exact_quantiles(stacked, "v", (0.33, 0.67), by="what")
-    if len(found.table) < 2:
+def terciles(df: DataFrame, accuracy: int | None = None) -> Terciles | None:
+    """Quantiles .33 and .67 of area and height, both found in the same passes; ``accuracy`` asks for a sketch."""
+    found = stacked_quantiles(df, ("gfa", "height_used"), (0.33, 0.67), accuracy=accuracy)
+    if any(not q.table for q in found.values()):
         return None
-    return Terciles(*[(found.value(0.33, what), found.value(0.67, what)) for what in ("area", "height")])
+    return Terciles(*[(q.value(0.33), q.value(0.67)) for q in found.values()])
 
 
 def with_bands(df: DataFrame, edges: Terciles) -> DataFrame:

@@ -4,7 +4,10 @@ The built-in ``percentile`` keeps a map of all distinct values in one task per g
 Here each pass counts values in a fixed number of buckets and keeps only the buckets
 that hold a wanted rank; the next pass splits those buckets again, until a bucket holds
 a single value. A pass is one map-side aggregate, and what reaches the driver is at most
-``buckets`` rows of counts, whatever the size of the table.
+``buckets`` rows of counts, whatever the size of the table. Several columns share their passes.
+
+With ``accuracy`` a mergeable sketch answers in a single pass instead: the value returned is one of the
+column's, and its rank is off by at most rows / ``accuracy``. Off by default.
 """
 
 from __future__ import annotations
@@ -26,11 +29,23 @@ BUCKETS = 8192
 RANGES = 1_000
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Number, range, mean and sample deviation of a group's values, found in the first pass."""
+
+    n: int
+    low: float
+    high: float
+    mean: float
+    deviation: float | None
+
+
 @dataclass
 class Quantiles:
-    """Quantile values per group; the group of an ungrouped call is None."""
+    """Quantile values and moments per group; the group of an ungrouped call is None."""
 
     table: dict[Any, dict[float, float]] = field(default_factory=dict)
+    moments: dict[Any, Moments] = field(default_factory=dict)
 
     def value(self, prob: float, group: Any = None) -> float | None:
         return self.table.get(group, {}).get(prob)
@@ -50,19 +65,43 @@ def _interpolate(stats: dict[int, float], n: int, prob: float) -> float:
     return below + (above - below) * (position - low)
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str | None = None) -> Quantiles:
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str | None = None, accuracy: int | None = None) -> Quantiles:
     """Linear-interpolation quantiles of ``column``, per value of ``by`` when given.
 
     ``by`` must be a label column (few groups); nulls in either column and non-finite values are left out.
+    ``accuracy`` asks for the sketch instead.
     """
+    return stacked_quantiles(df, (column,), probs, by, accuracy)[column]
+
+
+def stacked_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: str | None = None, accuracy: int | None = None) -> dict[str, Quantiles]:
+    """:func:`exact_quantiles` of several columns, all found in the same passes."""
     group = F.col(by) if by else F.lit("")
-    values = df.select(group.alias("g"), finite_or_null(F.col(column).cast("double")).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
-    bounds = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bounds = bounds.collect()
+    if len(columns) == 1:
+        values = df.select(F.struct(F.lit(0).alias("i"), group.alias("by")).alias("g"), finite_or_null(F.col(columns[0]).cast("double")).alias("v"))
+    else:
+        values = df.select(F.inline(F.array(*[
+            F.struct(F.struct(F.lit(i).alias("i"), group.alias("by")).alias("g"), finite_or_null(F.col(c).cast("double")).alias("v")) for i, c in enumerate(columns)
+        ])))
+    found = {c: Quantiles() for c in columns}
+    for (i, key), (quantiles, moments) in _find(values.where("g.by IS NOT NULL AND v IS NOT NULL"), probs, accuracy).items():
+        mine = found[columns[i]]
+        mine.table[key if by else None], mine.moments[key if by else None] = quantiles, moments
+    return found
+
 
-    sizes, known, pending = {}, defaultdict(dict), []
+def _find(values: DataFrame, probs: Sequence[float], accuracy: int | None) -> dict[Any, tuple[dict[float, float], Moments]]:
+    """Quantiles and moments of ``v`` per ``g``."""
+    first = [F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")]
+    if accuracy is not None:
+        first.append(F.percentile_approx("v", list(probs), accuracy).alias("q"))
+    bounds = values.groupBy("g").agg(*first).collect()
+    moments = {row.g: Moments(row.n, row.lo, row.hi, row.mean, row.std) for row in bounds}
+    if accuracy is not None:
+        return {row.g: (dict(zip(probs, row.q)), moments[row.g]) for row in bounds}
+
+    known, pending = defaultdict(dict), []
     for row in bounds:
-        sizes[row.g] = row.n
         ranks = {min(math.floor((row.n - 1) * p) + step, row.n - 1) for p in probs for step in (0, 1)}
         pending.append((row.g, row.lo, row.hi, 0, sorted(ranks)))
 
@@ -77,12 +116,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: str
             break
         pending = [p for at in range(0, len(unresolved), RANGES) for p in _split(values, unresolved[at : at + RANGES])]
         if [p[:3] for p in pending] == [u[:3] for u in unresolved]:
-            raise RuntimeError(f"the ranges of {column} don't narrow")
-
-    table = {}
-    for g, n in sizes.items():
-        table[g if by else None] = {p: _interpolate(known[g], n, p) for p in probs}
-    return Quantiles(table)
+            raise RuntimeError("the ranges don't narrow")
+    return {g: ({p: _interpolate(known[g], m.n, p) for p in probs}, m) for g, m in moments.items()}
 
 
 def _split(values: DataFrame, ranges: list[tuple]) -> list[tuple]:

@@ -27,31 +27,29 @@ def is_high_risk() -> Column:
     return F.coalesce(risky, F.lit(False)) | F.coalesce(flooded, F.lit(False))
 
 
-def water_table_stats(df: DataFrame) -> DataFrame:
-    """Mean, spread, range and quartiles of the water table depth, one row."""
-    depth = F.col("wtdepannmin")
-    found = exact_quantiles(df, "wtdepannmin", (0.25, 0.5, 0.75))
-    return df.agg(
-        F.avg(depth).alias("mean"), F.stddev_samp(depth).alias("std"),
-        F.min(depth).alias("min"), F.max(depth).alias("max"),
-    ).select("*", *[F.lit(found.value(p)).cast("double").alias(n) for p, n in ((0.5, "median"), (0.25, "q25"), (0.75, "q75"))])
+def water_table_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Mean, spread, range and quartiles of the water table depth, one row; ``accuracy`` asks for sketched quartiles."""
+    found = exact_quantiles(df, "wtdepannmin", (0.25, 0.5, 0.75), accuracy=accuracy)
+    m = found.moments.get(None)
+    moments = (m.mean, m.deviation, m.low, m.high) if m else (None,) * 4
+    names = ("mean", "std", "min", "max", "median", "q25", "q75")
+    return df.sparkSession.createDataFrame([(*moments, *[found.value(p) for p in (0.5, 0.25, 0.75)])], ", ".join(f"{n} double" for n in names))
 
 
-def water_table_by_class(df: DataFrame) -> DataFrame:
-    """Mean, median and spread of the water table depth per class that has any."""
-    known = df.dropna("any", subset=["occ_cls", "wtdepannmin"])
-    medians = exact_quantiles(known, "wtdepannmin", (0.5,), by="occ_cls").frame(known, "occ_cls", {0.5: "median"})
-    stats = known.groupBy("occ_cls").agg(F.avg("wtdepannmin").alias("mean"), F.stddev_samp("wtdepannmin").alias("std"))
-    return stats.join(F.broadcast(medians), "occ_cls")
+def water_table_by_class(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Mean, median and spread of the water table depth per class that has any, from the passes of the median."""
+    found = exact_quantiles(df, "wtdepannmin", (0.5,), by="occ_cls", accuracy=accuracy)
+    rows = [(cls, m.mean, found.value(0.5, cls), m.deviation) for cls, m in found.moments.items()]
+    return df.sparkSession.createDataFrame(rows, "occ_cls string, mean double, median double, std double")
 
 
 def component_ranking(df: DataFrame, k: int = TOP_COMPONENTS) -> DataFrame:
     """The ``k`` most frequent soil components and the missing entry, with unrounded shares.
 
     Every row also carries the number of distinct values (null is one) and the share of all
-    rows that the ``k`` components cover.
+    rows that the ``k`` components cover. The counts, a row per component, are named five times and so staged.
     """
-    counts = value_counts(df, "compname", keep_missing=True)
+    counts = stage(value_counts(df, "compname", keep_missing=True), "components")
     known = F.col("value") != MISSING
     top = by_frequency(counts.where(known), "value", k)
     whole = counts.agg(F.sum("n")).scalar()
