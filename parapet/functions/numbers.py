@@ -10,6 +10,31 @@ from pyspark.sql import types as T
 NUMBER_CHARACTERS = "0123456789+-.eE \t\r\n"
 
 
+# Of a row that stands for many buildings: their number, and the sum of their years.
+WEIGHT, YEARS = "_rows", "_years"
+
+
+def counted(df: DataFrame, condition: Column | None = None) -> Column:
+    """The number of buildings (that meet a condition): of rows, or of what weighted rows stand for."""
+    if WEIGHT not in df.columns:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    weight = F.col(WEIGHT) if condition is None else F.when(condition, F.col(WEIGHT))
+    return F.coalesce(F.sum(weight), F.lit(0).cast("bigint"))
+
+
+def mean_year(df: DataFrame, condition: Column | None = None) -> Column:
+    """The mean year of construction of the buildings (that meet a condition)."""
+    only = lambda c: c if condition is None else F.when(condition, c)
+    if WEIGHT not in df.columns:
+        return F.avg(only(F.col("year_built")))
+    return F.try_divide(F.sum(only(F.col(YEARS))), F.sum(only(F.col(WEIGHT))))
+
+
+def mean_area(df: DataFrame) -> Column:
+    """The mean floor area; weighted rows carry the sum."""
+    return F.try_divide(F.sum("gfa"), F.sum(WEIGHT)) if WEIGHT in df.columns else F.avg("gfa")
+
+
 def finite_or_null(c: Column, inf: bool = True) -> Column:
     """NaN becomes null; the infinities as well unless ``inf`` is false."""
     bad = F.isnan(c)

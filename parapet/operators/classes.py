@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parapet.functions import votes as V
+from parapet.functions.numbers import counted
 from parapet.functions.text import UNCLASSIFIED, has_text, is_unclassified
 
+#: Of a row without its vote text: whether it had one.
+HAS_VOTES = "_has_votes"
+
 
 def vote_outcome(df: DataFrame) -> DataFrame:
     """Add ``outcome`` (changed, tie, none), ``vote_class``, ``tie`` and ``mix_rule`` for unclassified rows.
@@ -57,24 +61,25 @@ def recalculate_mix(resolved: DataFrame) -> DataFrame:
 def resolution_stats(resolved: DataFrame) -> DataFrame:
     """One row: how many rows were open, had votes, changed or not, and had their mix renewed."""
     judged = F.col("outcome").isNotNull()
+    votes = F.col(HAS_VOTES) if HAS_VOTES in resolved.columns else has_text(F.col("occ_dict"))
     return resolved.agg(
-        F.count_if(judged).alias("total_unclassified_before"),
-        F.count_if(judged & has_text(F.col("occ_dict"))).alias("with_occdict"),
-        F.count_if(F.col("outcome") == "changed").alias("changed"),
-        F.count_if(judged & (F.col("outcome") != "changed")).alias("unchanged"),
-        F.count_if((F.col("occ_cls_orig") == UNCLASSIFIED) & (F.col("occ_cls") != UNCLASSIFIED)).alias("mix_sc_recalculated"),
+        counted(resolved, judged).alias("total_unclassified_before"),
+        counted(resolved, judged & votes).alias("with_occdict"),
+        counted(resolved, F.col("outcome") == "changed").alias("changed"),
+        counted(resolved, judged & (F.col("outcome") != "changed")).alias("unchanged"),
+        counted(resolved, (F.col("occ_cls_orig") == UNCLASSIFIED) & (F.col("occ_cls") != UNCLASSIFIED)).alias("mix_sc_recalculated"),
     )
 
 
 def changed_to(resolved: DataFrame) -> DataFrame:
     """Rows per class that the votes decided."""
     changed = resolved.where(F.col("outcome") == "changed")
-    return changed.groupBy(F.col("vote_class").alias("occ_cls")).agg(F.count(F.lit(1)).alias("n"))
+    return changed.groupBy(F.col("vote_class").alias("occ_cls")).agg(counted(resolved).alias("n"))
 
 
 def tie_histogram(resolved: DataFrame) -> DataFrame:
     """How often each tie occurred, most frequent first."""
-    ties = resolved.where(F.col("tie").isNotNull()).groupBy("tie").agg(F.count(F.lit(1)).alias("n"))
+    ties = resolved.where(F.col("tie").isNotNull()).groupBy("tie").agg(counted(resolved).alias("n"))
     return ties.orderBy(F.desc("n"), "tie")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.bands import era
+from parapet.functions.numbers import counted
 from parapet.operators.cleaning import complete_cases
 
 # The column sets of the carbon benchmark report.
@@ -67,7 +68,7 @@ def era_base(df: DataFrame) -> DataFrame:
     """
     located = df.dropna("any", subset=["material_type", "foundation_type"])
     return located.groupBy(era(F.col("year_built")).alias("era"), "material_type", "foundation_type", "occ_cls").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("gfa"), F.lit(0.0)).alias("area")
+        counted(df).alias("n"), F.coalesce(F.sum("gfa"), F.lit(0.0)).alias("area")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parapet.functions.numbers import percent
+from parapet.functions.numbers import WEIGHT, counted, percent
 from parapet.functions.text import MISSING
 
 # The mix labels of the overview.
@@ -27,7 +27,8 @@ def value_counts(df: DataFrame, column: str | Column, name: str = "value", keep_
     """
     c = F.col(column) if isinstance(column, str) else column
     label = F.coalesce(c, F.lit(MISSING)) if keep_missing else c
-    return df.select(label.alias(name)).groupBy(name).agg(F.count(name).alias("n")).where(F.col("n") > 0)
+    weight = [WEIGHT] if WEIGHT in df.columns else []
+    return df.select(label.alias(name), *weight).groupBy(name).agg(counted(df, F.col(name).isNotNull()).alias("n")).where(F.col("n") > 0)
 
 
 def by_frequency(counts: DataFrame, name: str, k: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parapet.functions import bands as B
 from parapet.functions import votes as V
+from parapet.functions.numbers import WEIGHT, counted
 from parapet.functions.text import UNCLASSIFIED, UNKNOWN
 from parapet.operators.distribution import recode_rare
 from parapet.operators.quantiles import stacked_quantiles
@@ -22,7 +23,8 @@ SIMPLE_LEVELS = ("occ_cat", "year_cat", "drainage_cat")
 TOP_CLASSES = 9
 CLASS_MIN_ROWS = 100
 FLOW_LEVELS = ("All Buildings", "Year", "Occupancy", "Material", "Foundation", "Soil")
-FLOW_COLUMNS = ("year_band", "occupancy", "material", "foundation", "soil")
+YEAR_BAND = "year_band"
+FLOW_COLUMNS = (YEAR_BAND, "occupancy", "material", "foundation", "soil")
 
 
 @dataclass(frozen=True)
@@ -125,19 +127,20 @@ def labelled_flow(df: DataFrame, top_classes: int = 12, top_soils: int = 15, gro
     With ``group_others`` rare classes and soils are merged. A null class can then be one of
     the frequent values; it stays null and so drops out of the table.
     """
+    weight = [WEIGHT] if WEIGHT in df.columns else []
     named = df.select(
-        B.year_band(F.col("year_built"), B.YEAR_LABELS_FLOW).alias("year_band"),
+        F.col(YEAR_BAND) if YEAR_BAND in df.columns else B.year_band(F.col("year_built"), B.YEAR_LABELS_FLOW).alias(YEAR_BAND),
         "occ_cls",
         F.coalesce("material_type", F.lit(UNKNOWN)).alias("material"),
         F.coalesce("foundation_type", F.lit(UNKNOWN)).alias("foundation"),
         F.coalesce("compname", F.lit(UNKNOWN)).alias("soil"),
-        "gfa",
+        "gfa", *weight,
     )
     if not group_others:
         return named.withColumn("occupancy", F.coalesce("occ_cls", F.lit(UNKNOWN))).drop("occ_cls")
     # The recodes work on counts per label combination, far fewer rows than buildings.
     cube = stage(named.groupBy("year_band", "occ_cls", "material", "foundation", "soil").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("gfa").alias("gfa")
+        counted(named).alias("n"), F.sum("gfa").alias("gfa")
     ), "flow-cube")
     classes = _weighted_recode(cube, "occ_cls", top_classes, "Other", "occupancy")
     return _weighted_recode(classes, "soil", top_soils, "Other Soils", "soil").drop("occ_cls")
@@ -154,7 +157,7 @@ def _weighted_recode(cube: DataFrame, column: str, k: int, other: str, into: str
 def flow_table(df: DataFrame, top_classes: int = 12, top_soils: int = 15, group_others: bool = False) -> DataFrame:
     """Count and area per year band, class, material, foundation and soil, in one aggregate."""
     labelled = labelled_flow(df, top_classes, top_soils, group_others)
-    size = F.sum("n") if group_others else F.count(F.lit(1))
+    size = F.sum("n") if group_others else counted(labelled)
     return labelled.dropna("any", subset=list(FLOW_COLUMNS)).groupBy(*FLOW_COLUMNS).agg(
         size.alias("count"), F.coalesce(F.sum("gfa"), F.lit(0.0)).alias("gfa")
     )
@@ -163,7 +166,7 @@ def flow_table(df: DataFrame, top_classes: int = 12, top_soils: int = 15, group_
 def flow_meta(df: DataFrame, top_classes: int = 12, top_soils: int = 15, group_others: bool = False) -> DataFrame:
     """One row that describes the flow table."""
     mode = (f"top_{top_classes}_plus_other", f"top_{top_soils}_plus_other") if group_others else ("raw", "raw")
-    return df.agg(F.count(F.lit(1)).alias("total_buildings")).select(
+    return df.agg(counted(df).alias("total_buildings")).select(
         "total_buildings",
         F.lit(" > ".join(FLOW_LEVELS)).alias("levels"),
         F.lit(" > ".join(B.YEAR_LABELS_FLOW)).alias("year_order"),
@@ -175,9 +178,9 @@ def flow_meta(df: DataFrame, top_classes: int = 12, top_soils: int = 15, group_o
 def class_use_links(df: DataFrame) -> DataFrame:
     """Class to primary use: (occ_cls, prim_occ, source, target, value)."""
     both = F.col("occ_cls").isNotNull() & F.col("prim_occ").isNotNull()
-    counted = df.groupBy("occ_cls", "prim_occ").agg(F.count_if(both).alias("value"))
+    pairs = df.groupBy("occ_cls", "prim_occ").agg(counted(df, both).alias("value"))
     use = F.when(F.col("prim_occ") == UNCLASSIFIED, F.concat(F.lit("Unclassified (from "), "occ_cls", F.lit(")")))
-    return counted.where("value > 0").select(
+    return pairs.where("value > 0").select(
         "occ_cls", "prim_occ",
         F.concat("occ_cls", F.lit(" (Class)")).alias("source"),
         use.otherwise(F.concat("prim_occ", F.lit(" (Type)"))).alias("target"),

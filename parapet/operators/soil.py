@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.bands import ENG_LABELS
-from parapet.functions.numbers import percent, truncate
+from parapet.functions.numbers import counted, mean_year, percent, truncate
 from parapet.functions.text import MISSING
 from parapet.operators.distribution import by_frequency, many_group_counts, value_counts
 from parapet.operators.quantiles import exact_quantiles
@@ -64,9 +64,9 @@ def risk_summary(df: DataFrame) -> DataFrame:
     """One row about high-risk buildings: count, share, mean year and area."""
     risk = is_high_risk()
     return df.agg(
-        F.count_if(risk).alias("high_risk_count"),
-        percent(F.count_if(risk), F.count(F.lit(1))).alias("high_risk_percentage"),
-        F.coalesce(truncate(F.avg(F.when(risk, F.col("year_built")))), F.lit(0)).alias("high_risk_avg_year"),
+        counted(df, risk).alias("high_risk_count"),
+        percent(counted(df, risk), counted(df)).alias("high_risk_percentage"),
+        F.coalesce(truncate(mean_year(df, risk)), F.lit(0)).alias("high_risk_avg_year"),
         F.coalesce(F.sum(F.when(risk, F.col("gfa"))), F.lit(0.0)).alias("high_risk_total_area"),
     )
 
@@ -82,7 +82,11 @@ def soil_by_class(df: DataFrame) -> DataFrame:
     All four come from one pass; the counts, a row per label, are staged because zero rows
     of the engineering labels are added to them.
     """
-    counts = stage(many_group_counts(df, "occ_cls", SOIL_COLUMNS), "soil-counts")
+    return ranked_counts(stage(many_group_counts(df, "occ_cls", SOIL_COLUMNS), "soil-counts"))
+
+
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """:func:`soil_by_class` from its counts."""
     labels = F.explode(F.array(*[F.lit(x) for x in ENG_LABELS]))
     zeros = counts.select("occ_cls").distinct().select(F.lit("engineering").alias("what"), "occ_cls", labels.alias("value"), F.lit(0).cast("bigint").alias("n"))
     full = counts.unionByName(zeros).groupBy("what", "occ_cls", "value").agg(F.sum("n").alias("n"))

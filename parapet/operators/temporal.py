@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.bands import ERA_SPLIT, decade_label, display_year
-from parapet.functions.numbers import percent, truncate
+from parapet.functions.numbers import counted, mean_area, mean_year, percent, truncate
 
 LAST_DECADE_END = 2030
 
@@ -14,7 +14,7 @@ LAST_DECADE_END = 2030
 def annual_series(cluster_rows: DataFrame) -> DataFrame:
     """Count, mean and total area per year and class, over the complete-case table."""
     series = cluster_rows.groupBy(truncate(F.col("year_built")).alias("year"), "occ_cls", "year_built").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("gfa").alias("avg_area"), F.sum("gfa").alias("total_area")
+        counted(cluster_rows).alias("n"), mean_area(cluster_rows).alias("avg_area"), F.sum("gfa").alias("total_area")
     )
     return series.select("year", display_year(F.col("year")).alias("display_year"), "occ_cls", "n", "avg_area", "total_area")
 
@@ -49,17 +49,17 @@ def historic_summary(df: DataFrame) -> DataFrame:
     old = F.col("year_built") < ERA_SPLIT
     home = F.col("occ_cls") == "Residential"
     return df.agg(
-        F.count_if(old).alias("total_count"),
-        F.count_if(old & home).alias("residential_count"),
-        F.count_if(old & ~home).alias("non_residential_count"),
-        percent(F.count_if(old), F.count(F.lit(1))).alias("percentage_of_total"),
+        counted(df, old).alias("total_count"),
+        counted(df, old & home).alias("residential_count"),
+        counted(df, old & ~home).alias("non_residential_count"),
+        percent(counted(df, old), counted(df)).alias("percentage_of_total"),
     )
 
 
 def historic_classes(df: DataFrame) -> DataFrame:
     """Buildings before 1940 per class."""
     old = df.where(F.col("year_built") < ERA_SPLIT)
-    return old.groupBy("occ_cls").agg(F.count("occ_cls").alias("n")).where("n > 0")
+    return old.groupBy("occ_cls").agg(counted(df, F.col("occ_cls").isNotNull()).alias("n")).where("n > 0")
 
 
 def decade_classes(df: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def decade_classes(df: DataFrame) -> DataFrame:
     The total includes rows without a class, which have no row of their own.
     """
     recent = df.where((F.col("year_built") >= ERA_SPLIT) & (F.col("year_built") < LAST_DECADE_END))
-    counts = recent.groupBy(decade_label(F.col("year_built")).alias("decade"), "occ_cls").agg(F.count(F.lit(1)).alias("n"))
+    counts = recent.groupBy(decade_label(F.col("year_built")).alias("decade"), "occ_cls").agg(counted(df).alias("n"))
     with_total = counts.withColumn("total", F.sum("n").over(Window.partitionBy("decade")))
     return with_total.where("occ_cls IS NOT NULL")
 
@@ -76,9 +76,9 @@ def decade_classes(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """One row: size, mean year and area, year range and the classes."""
     return df.agg(
-        F.count(F.lit(1)).alias("total_buildings"),
-        truncate(F.avg("year_built")).alias("avg_year_built"),
-        F.avg("gfa").alias("avg_area_sqm"),
+        counted(df).alias("total_buildings"),
+        truncate(mean_year(df)).alias("avg_year_built"),
+        mean_area(df).alias("avg_area_sqm"),
         truncate(F.min("year_built")).alias("min_year"),
         truncate(F.max("year_built")).alias("max_year"),
         F.array_join(F.sort_array(F.collect_set("occ_cls")), "|").alias("occupancy_classes"),

@@ -1,6 +1,7 @@
 """The report document: every report of the building table, written as data sets and one JSON summary.
 
-The prepared table is written once and all reports read it, each pruned to its columns.
+The prepared table is written once. Reports on labels read one cube of it, made in a single pass; the few
+others read it pruned to their columns.
 Reports whose size depends on labels only go into the summary; samples and maps stay data sets.
 """
 
@@ -10,6 +11,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from parapet.functions import votes
 from parapet.functions.bands import ENG_LABELS
 from parapet.functions.numbers import null_non_finite
-from parapet.operators import classes, cleaning, clustering, crosstab, distribution, flows, sampling, soil, temporal
+from parapet.operators import classes, cleaning, clustering, crosstab, cube, distribution, flows, sampling, soil, temporal
 from parapet.plans import buildings as plan
 from parapet.sources import writers
 from parapet.staging import cleared, stage
@@ -29,7 +31,7 @@ SUMMARY_ROWS = 200_000
 
 @dataclass
 class Tables:
-    """The staged inputs of the reports."""
+    """The staged inputs of the reports. What several reports share is made once, when the first one asks for it."""
 
     raw: DataFrame
     prepared: DataFrame
@@ -40,58 +42,63 @@ class Tables:
         prepared = stage(plan.prepared(raw), "prepared")
         return Tables(raw, prepared, cleaning.cluster_table(prepared))
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        return stage(cube.label_cube(self.prepared), "label-cube")
 
-def _hierarchy(t: Tables) -> DataFrame:
-    return flows.hierarchy_links(flows.hierarchy_cube(t.prepared, flows.terciles(t.prepared)))
+    def view(self, name: str) -> DataFrame:
+        return cube.view(self.cube, name)
 
+    @cached_property
+    def edges(self) -> flows.Terciles | None:
+        return flows.terciles(self.prepared)
 
-def _indexed(links: DataFrame, diagram: str, first: str, second: str) -> DataFrame:
-    # Links are one row per pair of labels and are read three times.
-    links = stage(links, "links")
-    return flows.indexed_links(links, flows.node_index(links, diagram, first, second), diagram)
-
+    @cached_property
+    def class_uses(self) -> DataFrame:
+        # Links are one row per pair of labels; links, their numbers and their names all read them.
+        return stage(flows.class_use_links(self.view("use")).withColumn("diagram", F.lit("class_use")), "links")
 
-def _nodes(links: DataFrame, diagram: str, first: str, second: str) -> DataFrame:
-    """Names of the numbers that a diagram's links use."""
-    return flows.node_index(links, diagram, first, second)
+    @cached_property
+    def vote_links(self) -> DataFrame:
+        return stage(flows.vote_links(self.prepared), "links")
 
 
-def _class_uses(t: Tables) -> DataFrame:
-    return flows.class_use_links(t.prepared).withColumn("diagram", F.lit("class_use"))
+def _indexed(links: DataFrame, diagram: str, first: str, second: str) -> DataFrame:
+    return flows.indexed_links(links, flows.node_index(links, diagram, first, second), diagram)
 
 
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
-    "summary_stats": lambda t: temporal.summary(t.prepared),
-    "overview_occupancy_counts": lambda t: distribution.value_counts(t.prepared, "occ_cls", "occ_cls"),
-    "mix_sc_distribution": lambda t: distribution.mix_distribution(t.prepared),
-    "hierarchical_distribution": _hierarchy,
-    "hierarchy_bands": lambda t: flows.band_descriptions(t.prepared, flows.terciles(t.prepared)),
-    "year_occ_flow": lambda t: flows.flow_table(t.prepared),
-    "year_occ_flow_meta": lambda t: flows.flow_meta(t.prepared),
-    "occupancy_hierarchy": lambda t: _indexed(_class_uses(t), "diagram", "occ_cls", "prim_occ"),
-    "occupancy_hierarchy_nodes": lambda t: _nodes(_class_uses(t), "diagram", "occ_cls", "prim_occ"),
-    "occ_cls_vote_flow": lambda t: _indexed(flows.vote_links(t.prepared), "metric", "occ_cls", "vote_type"),
-    "occ_cls_vote_flow_nodes": lambda t: _nodes(flows.vote_links(t.prepared), "metric", "occ_cls", "vote_type"),
-    "temporal_data": lambda t: temporal.annual_series(t.cluster),
-    "pre1940": lambda t: temporal.historic_summary(t.prepared),
-    "pre1940_classes": lambda t: temporal.historic_classes(t.prepared),
-    "post1940": lambda t: temporal.decade_classes(t.prepared),
-    "materials_foundation": lambda t: crosstab.era_matrix(t.prepared),
-    "materials_foundation_cells": lambda t: crosstab.cell_breakdown(t.prepared),
-    "soil_drainage": lambda t: distribution.value_shares(t.prepared, "drainagecl"),
-    "soil_flooding": lambda t: distribution.value_shares(t.prepared, "flodfreqcl"),
+    "summary_stats": lambda t: temporal.summary(t.view("years")),
+    "overview_occupancy_counts": lambda t: distribution.value_counts(t.view("years"), "occ_cls", "occ_cls"),
+    "mix_sc_distribution": lambda t: distribution.mix_distribution(t.view("mix")),
+    "hierarchical_distribution": lambda t: flows.hierarchy_links(flows.hierarchy_cube(t.prepared, t.edges)),
+    "hierarchy_bands": lambda t: flows.band_descriptions(t.prepared, t.edges),
+    "year_occ_flow": lambda t: flows.flow_table(t.view("flow")),
+    "year_occ_flow_meta": lambda t: flows.flow_meta(t.view("mix")),
+    "occupancy_hierarchy": lambda t: _indexed(t.class_uses, "diagram", "occ_cls", "prim_occ"),
+    "occupancy_hierarchy_nodes": lambda t: flows.node_index(t.class_uses, "diagram", "occ_cls", "prim_occ"),
+    "occ_cls_vote_flow": lambda t: _indexed(t.vote_links, "metric", "occ_cls", "vote_type"),
+    "occ_cls_vote_flow_nodes": lambda t: flows.node_index(t.vote_links, "metric", "occ_cls", "vote_type"),
+    "temporal_data": lambda t: temporal.annual_series(t.view("years").where(cube.COMPLETE)),
+    "pre1940": lambda t: temporal.historic_summary(t.view("years")),
+    "pre1940_classes": lambda t: temporal.historic_classes(t.view("years")),
+    "post1940": lambda t: temporal.decade_classes(t.view("years")),
+    "materials_foundation": lambda t: crosstab.era_matrix(t.view("years")),
+    "materials_foundation_cells": lambda t: crosstab.cell_breakdown(t.view("years")),
+    "soil_drainage": lambda t: distribution.value_shares(t.view("soil"), "drainagecl"),
+    "soil_flooding": lambda t: distribution.value_shares(t.view("soil"), "flodfreqcl"),
     "soil_water_table": lambda t: soil.water_table_stats(t.prepared),
-    "soil_engineering": lambda t: distribution.value_shares(t.prepared, "eng_class", ENG_LABELS),
-    "soil_components": lambda t: soil.component_ranking(t.prepared),
-    "soil_by_occupancy": lambda t: soil.soil_by_class(t.prepared),
+    "soil_engineering": lambda t: distribution.value_shares(t.view("engineering"), "eng_class", ENG_LABELS),
+    "soil_components": lambda t: soil.component_ranking(t.view("flow")),
+    "soil_by_occupancy": lambda t: soil.ranked_counts(cube.soil_counts(t.cube)),
     "soil_water_by_occupancy": lambda t: soil.water_table_by_class(t.prepared),
-    "soil_risk": lambda t: soil.risk_summary(t.prepared),
-    "soil_risk_by_occupancy": lambda t: soil.risk_by_class(t.prepared),
+    "soil_risk": lambda t: soil.risk_summary(t.view("soil")),
+    "soil_risk_by_occupancy": lambda t: soil.risk_by_class(t.view("soil")),
     "cleaning_funnel": lambda t: cleaning.cleaning_funnel(t.raw),
     "quality_checks": lambda t: cleaning.quality_checks(t.raw, t.prepared),
-    "unclassified_resolution": lambda t: classes.resolution_stats(t.prepared),
-    "unclassified_changed_to": lambda t: classes.changed_to(t.prepared),
-    "unclassified_ties": lambda t: classes.tie_histogram(t.prepared),
+    "unclassified_resolution": lambda t: classes.resolution_stats(t.view("repair")),
+    "unclassified_changed_to": lambda t: classes.changed_to(t.view("repair")),
+    "unclassified_ties": lambda t: classes.tie_histogram(t.view("repair")),
 }
 
 
