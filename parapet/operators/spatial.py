@@ -8,6 +8,7 @@ The joins back to the buildings are plain equi-joins that adaptive execution can
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ POINT_TYPES = ("AGR", "COM", "EDU", "GOV", "IND", "REL", "RES")
 RESIDENTIAL = POINT_TYPES.index("RES")
 NEAREST_POINT_M = 5.0
 PERMIT_RADIUS_M = 30.0
+# Side of a cell of boxes in degrees (a power of two); rows of a cell that is not split further, the parts of a side, and how often.
+BOX_CELL = 1 / 1024
+CROWD, SPLIT, DEEPEST = 4096, 8, 4
 # Side of a cell of the polygon index in degrees (a power of two), and what its edges are widened by.
 LAND_CELL, HAIR = 0.0625, 1e-9
 
@@ -50,19 +54,46 @@ def _cover(low: str, high: str, size: float) -> Column:
     return F.explode(F.sequence(_cell(F.col(low), size), _cell(F.col(high), size)))
 
 
-def contained(points: DataFrame, boxes: DataFrame, cell: float = 0.001) -> DataFrame:
+def _inside() -> Column:
+    return F.col("longitude").between(F.col("lon_min"), F.col("lon_max")) & F.col("latitude").between(F.col("lat_min"), F.col("lat_max"))
+
+
+def contained(points: DataFrame, boxes: DataFrame, cell: float = BOX_CELL, crowd: int = CROWD) -> DataFrame:
     """Every (point, box) with the point inside, borders included.
 
-    Boxes are copied to the cells they touch; a point lies in one cell, so no pair repeats.
+    Boxes are copied to the cells they touch; a point lies in one cell, so no pair repeats. A cell with more
+    than ``crowd`` points is split in SPLIT x SPLIT, and again while that holds: boxes that cover the whole cell meet its
+    points there, where every pair is a result, and only those whose border passes it go down to its parts. ``cell`` is a power
+    of two, so that parts nest exactly.
     """
-    tiled = boxes.withColumn("cx", _cover("lon_min", "lon_max", cell)).withColumn("cy", _cover("lat_min", "lat_max", cell))
-    located = points.withColumn("cx", _cell(F.col("longitude"), cell)).withColumn("cy", _cell(F.col("latitude"), cell))
-    edges = tiled.select("cx", "cy", "lon_min", "lon_max", "lat_min", "lat_max", *[
-        c for c in boxes.columns if c not in points.columns and c not in ("lon_min", "lon_max", "lat_min", "lat_max")
-    ])
-    joined = located.join(edges, ["cx", "cy"])
-    inside = F.col("longitude").between(F.col("lon_min"), F.col("lon_max")) & F.col("latitude").between(F.col("lat_min"), F.col("lat_max"))
-    return joined.where(inside).drop("cx", "cy")
+    own = [c for c in boxes.columns if c not in points.columns and c not in ("lon_min", "lon_max", "lat_min", "lat_max")]
+    tiles = boxes.withColumn("cx", _cover("lon_min", "lon_max", cell)).withColumn("cy", _cover("lat_min", "lat_max", cell))
+    tiles = tiles.select("cx", "cy", "lon_min", "lon_max", "lat_min", "lat_max", *own)
+    at = lambda df, size: df.withColumns({"cx": _cell(F.col("longitude"), size), "cy": _cell(F.col("latitude"), size)})
+    located = at(stage(points, "points"), cell)
+    meet = lambda some, around: some.join(around, ["cx", "cy"]).where(_inside()).drop("cx", "cy")
+    out = []
+    for _ in range(DEEPEST):
+        crowded = located.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("cx", "cy")
+        if crowded.isEmpty():
+            break
+        crowded = stage(crowded, "crowded-cells")
+        west, south = F.col("cx") * cell, F.col("cy") * cell
+        covers = (F.col("lon_min") <= west) & (F.col("lon_max") >= west + cell) & (F.col("lat_min") <= south) & (F.col("lat_max") >= south + cell)
+        out.append(meet(located.join(crowded, ["cx", "cy"], "left_anti"), tiles))
+        located, tiles = (df.join(crowded, ["cx", "cy"], "left_semi") for df in (located, tiles))
+        out.append(meet(located, tiles.where(covers)))
+        finer = cell / SPLIT
+        parts = {}
+        for c, low, high in (("cx", "lon_min", "lon_max"), ("cy", "lat_min", "lat_max")):
+            first = F.greatest(_cell(F.col(low), finer), F.col(c) * SPLIT)
+            last = F.least(_cell(F.col(high), finer), F.col(c) * SPLIT + (SPLIT - 1))
+            parts[c] = F.explode(F.sequence(first, last))
+        border = stage(tiles.where(~F.coalesce(covers, F.lit(False))), "border-tiles")
+        tiles = border.withColumn("cx", parts["cx"]).withColumn("cy", parts["cy"])
+        located, cell = at(stage(located.select(*points.columns), "points"), finer), finer
+    out.append(meet(located, tiles))
+    return reduce(DataFrame.unionByName, out)
 
 
 def point_in_footprint(points: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -110,36 +141,64 @@ def multi_unit_votes(votes: DataFrame) -> DataFrame:
     return many.select("build_id", "n_points", F.concat_ws(", ", *parts).alias("occ_dict"))
 
 
-def nearest_within(places: DataFrame, targets: DataFrame, radius_m: float, target_id: str) -> DataFrame:
-    """Per row of ``places`` with a target within ``radius_m``: the nearest one, ties to the lower id.
+def _cube_cells(lon: Column, lat: Column, around: float, side: float) -> dict[str, Column]:
+    """The cells of ``side`` metres that a ball of ``around`` metres touches, per axis as first and last; for 0 both are the point's own.
 
-    Rows of the grid are ``radius_m`` high. The width of a cell follows the latitude of its
-    row, so the same rule holds everywhere short of the poles. Targets, the smaller side,
-    are copied to the cells their circle may touch.
+    Positions are points of space, so the poles and the date line are places like any other.
     """
-    height = radius_m / METRES_PER_DEGREE * 1.001
+    lon, lat = F.radians(lon), F.radians(lat)
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    return {f"{end}_{axis}": F.floor((c * EARTH_RADIUS_M + sign * around) / side) for axis, c in axes.items() for end, sign in (("first", -1), ("last", 1))}
 
-    def width(row: Column) -> Column:
-        top = F.greatest(F.abs(row), F.abs(row + 1)) * height
-        return F.lit(height) / F.greatest(F.cos(F.radians(F.least(top, F.lit(89.0)))), F.lit(0.01))
 
-    spots = places.select("longitude", "latitude").distinct()
-    spots = spots.withColumn("cy", F.floor(F.col("latitude") / height))
-    spots = spots.withColumn("cx", F.floor(F.col("longitude") / width(F.col("cy"))))
-
-    near = targets.groupBy(F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat")).agg(F.min(target_id).alias(target_id))
-    row = F.floor(F.col("t_lat") / height)
-    near = near.withColumn("cy", F.explode(F.sequence(row - 1, row + 1)))
-    step = width(F.col("cy"))
-    # Next to the date line a target also stands on the other side of it; cells are far narrower than a degree.
-    turned = F.when(F.col("t_lon") > 179, F.array("t_lon", F.col("t_lon") - 360)).when(F.col("t_lon") < -179, F.array("t_lon", F.col("t_lon") + 360))
-    near = near.withColumn("at", F.explode(F.coalesce(turned, F.array("t_lon"))))
-    first, last = F.floor(F.col("at") / step) - 1, F.floor(F.col("at") / step) + 1
-    near = near.withColumn("cx", F.explode(F.sequence(first, last)))
+CUBE = ["c_x", "c_y", "c_z"]
 
+
+def _own_cells(df: DataFrame, lon: str, lat: str, side: float) -> DataFrame:
+    cells = _cube_cells(F.col(lon), F.col(lat), 0.0, side)
+    return df.withColumns({f"c_{axis}": cells[f"first_{axis}"] for axis in "xyz"})
+
+
+def _nearest_round(spots: DataFrame, near: DataFrame, radius_m: float, target_id: str) -> DataFrame:
+    """(longitude, latitude, _best) of the spots with a target within ``radius_m``."""
+    # A chord is never longer than its arc; a little more for rounding.
+    reach = radius_m * 1.001
+    ends = _cube_cells(F.col("t_lon"), F.col("t_lat"), reach, 4 * reach)
+    for axis in "xyz":
+        near = near.withColumn(f"c_{axis}", F.explode(F.sequence(ends[f"first_{axis}"], ends[f"last_{axis}"])))
     distance = F.round(haversine(F.col("longitude"), F.col("latitude"), F.col("t_lon"), F.col("t_lat")), 6)
-    pairs = spots.join(near, ["cx", "cy"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
-    best = pairs.groupBy("longitude", "latitude").agg(F.min(F.struct("distance_m", target_id)).alias("_best"))
+    pairs = _own_cells(spots, "longitude", "latitude", 4 * reach).join(near, CUBE).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
+    return pairs.groupBy("longitude", "latitude").agg(F.min(F.struct("distance_m", target_id)).alias("_best"))
+
+
+def _radii(near: DataFrame, radius_m: float, crowd: int) -> list[float]:
+    """The radius, and before it smaller ones where cells hold more than ``crowd`` targets, each a quarter of the next."""
+    out = [radius_m]
+    while len(out) <= DEEPEST:
+        counts = _own_cells(near, "t_lon", "t_lat", 4 * out[0] * 1.001).groupBy(*CUBE).agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n")).first()[0] or 0) <= crowd:
+            break
+        out.insert(0, out[0] / 4)
+    return out
+
+
+def nearest_within(places: DataFrame, targets: DataFrame, radius_m: float, target_id: str, crowd: int = CROWD) -> DataFrame:
+    """Per row of ``places`` with a target within ``radius_m``: the nearest one, ties to the lower id.
+
+    Space is cut into cubes four radii wide. Targets, the smaller side, are copied to the cells their
+    ball touches: eight at most, and three to four on average. Where cells are crowded, smaller radii with smaller
+    cells come first: whoever finds a target there has found the nearest, and only the others look farther.
+    """
+    spots = places.select("longitude", "latitude").distinct()
+    near = stage(targets.groupBy(F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat")).agg(F.min(target_id).alias(target_id)), "targets")
+    found, radii = [], _radii(near, radius_m, crowd)
+    if len(radii) > 1:
+        spots = stage(spots, "spots")
+    for radius in radii:
+        left = reduce(lambda df, done: df.join(done, ["longitude", "latitude"], "left_anti"), found, spots)
+        best = _nearest_round(left, near, radius, target_id)
+        found.append(best if radius == radius_m else stage(best, "nearest"))
+    best = reduce(DataFrame.unionByName, found)
     return places.join(best, ["longitude", "latitude"]).select(
         *[c for c in places.columns if c not in ("longitude", "latitude")], "longitude", "latitude",
         F.col(f"_best.{target_id}").alias(target_id), F.col("_best.distance_m").alias("distance_m"),

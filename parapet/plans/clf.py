@@ -20,12 +20,19 @@ def heatmap(cells: list[Row], table: str, measure: str) -> dict:
     return {"z": [[values[a, b] for b in x] for a in y], "x": x, "y": y}
 
 
-def document(clf: DataFrame) -> dict:
-    """The whole document; the matrices have one value per pair of labels."""
+def document(clf: DataFrame, folder: str | None = None) -> dict:
+    """The whole document; the matrices have one value per pair of labels.
+
+    A scatter too large for it is written below ``folder``, where the document then says it lies; without a folder
+    it is the one that :func:`run` writes.
+    """
     scatter = crosstab.clf_scatter(clf).select(*crosstab.SCATTER_COLUMNS).limit(SCATTER_ROWS + 1).collect()
     cells = crosstab.clf_heatmaps(clf).collect()
     small = len(scatter) <= SCATTER_ROWS
-    out = {"scatter_data": {c: [r[c] for r in scatter] for c in crosstab.SCATTER_COLUMNS} if small else {"path": "scatter"}}
+    place = "scatter" if folder is None else f"{folder}/scatter"
+    if not small and folder is not None:
+        writers.write_records(crosstab.clf_scatter(clf), place)
+    out = {"scatter_data": {c: [r[c] for r in scatter] for c in crosstab.SCATTER_COLUMNS} if small else {"path": place}}
     for table in ("material", "struct"):
         out[f"heatmap_{table}_count"] = heatmap(cells, table, "n")
         out[f"heatmap_{table}_gfa"] = heatmap(cells, table, "area")

@@ -159,3 +159,77 @@ def test_equal_polygons_and_no_polygon(spark):
     twice = spark.createDataFrame([(1, square), (1, square), (2, square), (3, None), (4, [])], kind)
     assert [r.build_id for r in S.inside_polygons(places, twice).collect()] == [1]
     assert S.inside_polygons(places, spark.createDataFrame([], kind)).count() == 0
+
+
+def _all_nearest(places, targets, radius):
+    p, t = np.array([x[1:] for x in places]), np.array([x[1:] for x in targets])
+    lon1, lat1, lon2, lat2 = (np.radians(x) for x in (p[:, :1], p[:, 1:], t[:, 0], t[:, 1]))
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    d = np.round(2 * S.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h))), 6)
+    out = {}
+    for i, row in enumerate(d):
+        best = min((x, targets[j][0]) for j, x in enumerate(row))
+        if best[0] <= radius:
+            out[places[i][0]] = best[1]
+    return out
+
+
+def _nearest(spark, places, targets, radius, **more):
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, longitude double, latitude double")
+    rows = S.nearest_within(frame(places, "build_id"), frame(targets, "permit_id"), radius, "permit_id", **more).collect()
+    assert len(rows) == len({r.build_id for r in rows})
+    return {r.build_id: r.permit_id for r in rows}
+
+
+@pytest.mark.parametrize("centre", [(0.0, 90.0), (77.0, -90.0), (180.0, 12.0), (-71.0, 42.0), (0.0, 0.0)])
+def test_nearest_at_poles_and_date_line(spark, centre):
+    """Places around a pole lie on all longitudes, those at the date line on both sides of it."""
+    rng = np.random.default_rng(6)
+    lon, lat = centre
+
+    def around(n):
+        out = []
+        for i in range(n):
+            if abs(lat) == 90:
+                out.append((i, float(rng.uniform(-180, 180)), float(lat - np.sign(lat) * abs(rng.normal(0, 0.0008)))))
+            else:
+                x = lon + rng.normal(0, 0.0006)
+                out.append((i, float(x - 360 if x > 180 else x), float(lat + rng.normal(0, 0.0006))))
+        return out
+
+    places, targets = [*around(150), (900, lon, lat)], [*around(100), (901, lon, lat)]
+    want = _all_nearest(places, targets, 30.0)
+    assert _nearest(spark, places, targets, 30.0) == want and 50 < len(want) and want[900] == 901
+    if centre[1] == 12.0:
+        assert any(p[1] < 0 < targets[want[p[0]]][1] for p in places if want.get(p[0], 901) != 901)
+
+
+def test_nearest_in_a_dense_place(spark):
+    """Crowded cells are searched by smaller radii first; the results are the same."""
+    rng = np.random.default_rng(9)
+    spot = lambda n, spread: [(float(-71 + rng.normal(0, spread)), float(42 + rng.normal(0, spread))) for _ in range(n)]
+    places = [(i, *p) for i, p in enumerate(spot(300, 0.00002) + spot(200, 0.0004))]
+    targets = [(i, *p) for i, p in enumerate(spot(400, 0.00003) + spot(100, 0.0006))]
+    want = _all_nearest(places, targets, 30.0)
+    frame = spark.createDataFrame([t[1:] for t in targets], "t_lon double, t_lat double")
+    assert len(S._radii(frame, 30.0, 20)) > 2 and S._radii(frame, 30.0, 1000) == [30.0]
+    assert _nearest(spark, places, targets, 30.0, crowd=20) == want == _nearest(spark, places, targets, 30.0) and len(want) > 400
+
+
+def test_crowded_cells_are_split(spark):
+    """Boxes of all sizes over a dense place: those that cover a cell, those that border it, and points on borders."""
+    rng = np.random.default_rng(3)
+    side = S.BOX_CELL
+    points = [(float(x), float(y)) for x, y in rng.normal(0.3 * side, 0.2 * side, (500, 2))] + [(float(x), float(y)) for x, y in rng.integers(-3, 4, (60, 2)) * side / 8]
+    points = sorted(set(points))
+    boxes = []
+    for i in range(120):
+        x, y = rng.normal(0.3 * side, 0.5 * side, 2) if i % 3 else rng.integers(-8, 9, 2) * side / 8
+        half = side * 10 ** rng.uniform(-2.5, 0.6) if i % 3 else side * rng.integers(1, 9) / 8
+        boxes.append((i, float(x - half), float(x + half), float(y - half), float(y + half)))
+    want = sorted((p, b[0]) for p in points for b in boxes if b[1] <= p[0] <= b[2] and b[3] <= p[1] <= b[4])
+    p = spark.createDataFrame(points, "longitude double, latitude double")
+    b = spark.createDataFrame(boxes, "box int, lon_min double, lon_max double, lat_min double, lat_max double")
+    for crowd in (10, 100, 10_000):
+        got = sorted(((r.longitude, r.latitude), r.box) for r in S.contained(p, b, crowd=crowd).collect())
+        assert got == want and len(want) > 5000, crowd
