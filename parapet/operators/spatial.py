@@ -220,9 +220,10 @@ def rule_matches(footprints: DataFrame, points: DataFrame) -> DataFrame:
 def matches(footprints: DataFrame, points: DataFrame) -> DataFrame:
     """All matched footprints and the rule that matched them: single, multi or nearest.
 
-    The first two rules are needed twice, as matches and to leave them out of the third, so
-    their result is staged.
+    Points are read by all three rules, and the first two rules are needed twice, as matches and to leave
+    them out of the third, so both are staged.
     """
+    points = stage(points.select("point_id", "type_no", "longitude", "latitude"), "points")
     ruled = stage(rule_matches(footprints, points), "rule-matches")
     near = nearest_for_unmatched(footprints, points, ruled).select("build_id", F.lit("nearest").alias("rule"))
     return ruled.unionByName(near)
