@@ -12,7 +12,8 @@ A tile holds at most QUERY_BLOCK x CANDIDATE_BLOCK products, whatever the size o
 are dealt to blocks by a hash of the id, with a number of blocks that follows the counts.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take
-no part, nor do null ids; of rows with the same id the smallest vector counts; vectors only meet
+no part, nor do null ids; rows equal in id and vector count once, other rows of one id are rows of
+their own, as queries (their lists share the id) and as candidates, also of each other; vectors only meet
 vectors of their own dimension; ties go to the smaller id; a query with fewer candidates than k
 gets them all, one without any gets no row; other columns are not read.
 """
@@ -30,16 +31,16 @@ from pyspark.sql import functions as F
 K, QUERY_BLOCK, CANDIDATE_BLOCK = 20, 2048, 8192
 #: Products of a slice of a tile that are held at once.
 _SLICE = 1 << 21
-_OUT = "query_id long, vec_id long, score double"
+_OUT = "query_id long, tag long, vec_id long, score double"
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, vector as doubles) of the rows that take part, one per id."""
+    """(vec_id, vector as doubles, tag) of the rows that take part; ``tag`` tells the vectors of one id apart."""
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col(key).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
     rows = rows.select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.distinct().withColumn("tag", F.xxhash64("vector"))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,12 +58,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
-def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest candidates of each query in one tile as (query_id, vec_id, score)."""
+def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> list[tuple[int, int, int, float]]:
+    """The k nearest candidates of each query in one tile as (query_id, tag, vec_id, score)."""
     if not len(queries) or not len(candidates):
         return []
     q, c = np.stack(queries["vector"].to_numpy()), np.stack(candidates["vector"].to_numpy())
     q_ids, c_ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+    q_tags, c_tags = queries["tag"].to_numpy(), candidates["tag"].to_numpy()
     q_codes, q_scale, q_norm, q_error = quantise(q)
     c_codes, c_scale, c_norm, c_error = quantise(c)
     out = []
@@ -73,7 +75,7 @@ def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> list[tuple[
         # |xy - x'y'| <= |x'||ey| + |ex||y'| + |ex||ey|, and a little for the rounding of this sum.
         bound = q_norm[part, None] * c_error[None, :] + q_error[part, None] * (c_norm + c_error)[None, :]
         bound = bound * (1 + 1e-9) + 1e-12 * (1 + q_norm[part, None] * c_norm[None, :])
-        own = q_ids[part, None] == c_ids[None, :]
+        own = (q_ids[part, None] == c_ids[None, :]) & (q_tags[part, None] == c_tags[None, :])
         low = np.where(own, -np.inf, near - bound)
         reach = np.partition(low, len(c_ids) - k, axis=1)[:, len(c_ids) - k] if len(c_ids) > k else np.full(len(low), -np.inf)
         rows, columns = np.nonzero((near + bound >= reach[:, None]) & ~own)
@@ -82,7 +84,7 @@ def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> list[tuple[
             # Row-wise sums of products are the same for the same two vectors, wherever they stand.
             scores = (c[found] * q[start + i]).sum(axis=1)
             best = heapq.nsmallest(k, zip((-scores).tolist(), c_ids[found].tolist()))
-            out.extend((int(q_ids[start + i]), vec, -score) for score, vec in best)
+            out.extend((int(q_ids[start + i]), int(q_tags[start + i]), vec, -score) for score, vec in best)
     return out
 
 
@@ -101,13 +103,13 @@ def search(
     queries, n_queries = _blocks(rows.where(is_query), query_block)
     candidates, n_candidates = _blocks(rows, candidate_block)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("block").alias("q"), spread(n_candidates).alias("c"), F.size("vector").alias("d"), "vec_id", "vector")
-    right = candidates.select(spread(n_queries).alias("q"), F.col("block").alias("c"), F.size("vector").alias("d"), "vec_id", "vector")
+    left = queries.select(F.col("block").alias("q"), spread(n_candidates).alias("c"), F.size("vector").alias("d"), "vec_id", "tag", "vector")
+    right = candidates.select(spread(n_queries).alias("q"), F.col("block").alias("c"), F.size("vector").alias("d"), "vec_id", "tag", "vector")
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(tile(a, b, k), columns=["query_id", "vec_id", "score"])
+        return pd.DataFrame(tile(a, b, k), columns=["query_id", "tag", "vec_id", "score"])
 
     found = left.groupBy("q", "c", "d").cogroup(right.groupBy("q", "c", "d")).applyInPandas(work, _OUT)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

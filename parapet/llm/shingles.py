@@ -45,7 +45,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     value, lower = kept("byte values", byte_values), kept("lower", _lower)
-    size = max(len(raw), 2 * SLICE)
+    # A power of two, so that long texts of many lengths share a few tables.
+    size = 1 << max(len(raw) - 1, 2 * SLICE - 1).bit_length()
     power, inverse = kept(("powers", size), lambda: (powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[lower[raw]] * power[:len(raw)])))
     before = np.concatenate(([True], space[:-1]))

@@ -8,15 +8,17 @@ Windows of one anchor occurrence follow each other, and about one byte in 170 is
 
 1. Anchors of every distinct text are counted; one that occurs once has no equal windows.
 2. Texts with repeated anchors give the bytes around each occurrence, which meet by anchor.
-3. There the suffixes at window starts are sorted, compared by prefix polynomial hashes up to
-   WIDTH bytes. Neighbours with equal hashes are candidates. A binary search over prefix hashes
-   finds their common extension, which is verified byte by byte, so one search confirms a whole
-   run of windows; a candidate that fails is settled by comparing its window's bytes.
+3. There windows that agree on WIDTH bytes by a prefix polynomial hash share a bucket. Of each run of
+   such windows the first one's suffix is put in order with the others of its bucket, by mergesort
+   (:func:`suffix_order`): two suffixes are compared by their common extension, a binary search over
+   prefix hashes. Neighbours in this order have the longest extensions; these are verified byte by
+   byte, so one comparison confirms a whole run of windows; one that fails is settled by its window's bytes.
+   Suffixes that share no window hash can't be equal and are left out of the order.
 4. Confirmed windows become byte spans, merged per text.
 
 Equal texts are one text with a count; a text that is there twice loses everything if it has
 WIDTH bytes. An anchor with more than BLOCK occurrences is dealt to several tasks: each settles
-its own, and windows found only once there meet again as single rows by 128-bit hashes.
+its own, and windows found only once there meet again as single rows by 128-bit cryptographic hashes of their bytes.
 
 Defined results: a null text counts as empty; texts shorter than WIDTH keep all bytes; matches
 never cross documents; repeated rows and repeated or null ids are documents of their own; an
@@ -125,6 +127,50 @@ def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> n
     return np.bincount(np.repeat(np.arange(len(a)), size), differ, len(a)) == 0
 
 
+def suffix_order(bucket: np.ndarray, starts: np.ndarray, rest: np.ndarray, width: int, raw: np.ndarray, sums: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """The order of suffixes inside their buckets, by mergesort; ``bucket`` ascends, a suffix has ``rest`` bytes and agrees with its bucket on ``width``.
+
+    Two suffixes are compared by their common extension, a binary search over prefix hashes, and the byte
+    after it; one that ends there comes first. All merges of a level are done at once: a suffix moves by the number of
+    suffixes of the other run that come before it, itself a binary search.
+    """
+    n = len(bucket)
+    order = np.arange(n)
+    begin = np.searchsorted(bucket, bucket, "left")
+    end = np.searchsorted(bucket, bucket, "right")
+    place = np.arange(n) - begin
+
+    def before(a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        most = np.minimum(rest[a], rest[b])
+        common = _common(starts[a], starts[b], most, width, sums, power)
+        ended = common == most
+        at = np.where(ended, 0, common)
+        less = np.where(ended, rest[a] < rest[b], raw[starts[a] + at] < raw[starts[b] + at])
+        return less | (or_equal & ended & (rest[a] == rest[b]))
+
+    run = 1
+    while run < (end - begin).max(initial=0):
+        number = place // run
+        other = begin + (number ^ 1) * run
+        low = np.minimum(other, end)
+        first, high = low.copy(), np.minimum(other + run, end)
+        late = number % 2 == 1  # of the second run: equal ones of the first come before
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                break
+            middle = (low[open_] + high[open_]) // 2
+            goes = before(order[middle], order[open_], late[open_])
+            low[open_] = np.where(goes, middle + 1, low[open_])
+            high[open_] = np.where(goes, high[open_], middle)
+        target = begin + (number // 2) * 2 * run + (place - number * run) + (low - first)
+        merged_order = np.empty_like(order)
+        merged_order[target] = order
+        order = merged_order
+        run *= 2
+    return order
+
+
 def repeated(group: np.ndarray, shift: np.ndarray, contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All windows of the contexts: index of the context, start in it, whether it has an equal in its group, and a hash.
 
@@ -145,15 +191,28 @@ def repeated(group: np.ndarray, shift: np.ndarray, contexts: list[bytes], width:
     partner[order[1:][same]] = order[:-1][same]
     partner[order[:-1][same & (partner[order[:-1]] < 0)]] = order[1:][same & (partner[order[:-1]] < 0)]
     state = np.where(partner >= 0, 1, 0)  # 1: a candidate, 2: confirmed
+    ranks = np.empty(len(key), np.int64)
+    ranks[order] = np.cumsum(np.concatenate(([True], ~same))) - 1  # the bucket of equal keys
+    rest = size[owner] - inside
     while True:
         # The first open candidate of each run; its extension confirms those that follow it.
         todo = np.flatnonzero(state == 1)
         if not len(todo):
             break
         todo = todo[np.concatenate(([True], (todo[1:] != todo[:-1] + 1) | (owner[todo[1:]] != owner[todo[:-1]])))]
-        other = partner[todo]
-        most = np.minimum(size[owner[todo]] - inside[todo], size[owner[other]] - inside[other])
-        common = _common(starts[todo], starts[other], most, width, sums, power)
+        # The suffixes of their buckets in order; the longest extension is that of a neighbour.
+        wanted = np.zeros(ranks.max() + 1, bool)
+        wanted[ranks[todo]] = True
+        suffix = order[wanted[ranks[order]]]
+        suffix = suffix[suffix_order(ranks[suffix], starts[suffix], rest[suffix], width, raw, sums, power)]
+        close = ranks[suffix][1:] == ranks[suffix][:-1]
+        left, right = suffix[:-1][close], suffix[1:][close]
+        common = _common(starts[left], starts[right], np.minimum(rest[left], rest[right]), width, sums, power)
+        reach, near = np.zeros(len(key), np.int64), np.full(len(key), -1)
+        for mine, other in ((right, left), (left, right)):
+            better = common > reach[mine]
+            reach[mine[better]], near[mine[better]] = common[better], other[better]
+        common, other = reach[todo], near[todo]
         good = _equal(raw, starts[todo], starts[other], common)
         for i in np.flatnonzero(~good):
             window = raw[starts[todo[i]]:][:width].tobytes()
@@ -244,7 +303,8 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     each = stage(each, "substring-anchors")
     occurrences = each.select("digest", F.explode("found").alias("f")).select("digest", "f.*")
     often = occurrences.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    often = often.select("hash", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    # Written, so that the join may split an anchor with very many occurrences.
+    often = stage(often.select("hash", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "substring-often")
     wanted = occurrences.join(often, "hash").groupBy("digest").agg(
         F.collect_list(F.struct("hash", "blocks", "place", "first", "last")).alias("found")
     )

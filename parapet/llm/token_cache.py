@@ -166,7 +166,8 @@ def count_tokens(
             texts = texts.join(misses, "digest", "left_semi")
         counted = texts.mapInArrow(_counted(path, version), "digest binary, n_tokens long")
         counted.write.mode("append").parquet(f"{cache}/version={version}")
-    found = rows.join(stored(spark, cache, version), "digest", "left")
+    # Written, so that the join may split a digest that very many rows have.
+    found = rows.join(stage(stored(spark, cache, version), "counts"), "digest", "left")
     n = F.when(F.col("n_tokens").isNull(), F.raise_error(F.lit("a count is gone from the cache"))).otherwise(F.col("n_tokens"))
     out = found.select(F.col("key").alias(key), "n_bytes", n.cast("long").alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

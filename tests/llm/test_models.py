@@ -165,3 +165,12 @@ def test_neighbours_in_small_tiles(spark):
     got = nearest.search(df, F.col("vec_id") % 3 == 0, k=7, query_block=11, candidate_block=17)
     assert same(map(tuple, got.collect()), brute_nearest(rows, 7, lambda i: i % 3 == 0))
     assert nearest.search(df.limit(0), F.col("vec_id") % 3 == 0).collect() == []
+
+
+def test_vectors_that_share_an_id(spark):
+    """Different vectors of one id are rows of their own; equal rows count once."""
+    rows = [(20, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [0.1, 0.0]), (1, [9.0, 0.0]), (20, [3.0, 1.0]), (2, [2.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in nearest.search(df, F.col("vec_id") % 20 == 0, k=3).collect())
+    want = [(20, 1, 1, 9.0), (20, 1, 1, 27.0), (20, 2, 2, 11.0), (20, 2, 20, 3.0), (20, 3, 2, 2.0), (20, 3, 20, 3.0)]
+    assert got == want

@@ -63,3 +63,45 @@ def test_every_window_names_one_anchor(raw, width):
     for h, p, a, b in zip(hashes, place, first, last):
         for s in range(a, b + 1):
             assert named.setdefault(raw[s:s + width], (h, p - s)) == (h, p - s)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("ab", max_size=9), min_size=1, max_size=40), st.integers(1, 3))
+def test_suffix_order(tails, width):
+    """Suffixes of several buckets, each with its own first bytes, in the order of their bytes; equal ones keep their places."""
+    head = [bytes([120 + i % 3]) * width for i in range(len(tails))]
+    suffixes = sorted((h + t.encode() for h, t in zip(head, tails)), key=lambda x: x[:width])
+    raw = np.frombuffer(b"".join(suffixes), np.uint8)
+    rest = np.array([len(x) for x in suffixes])
+    starts = np.cumsum(rest) - rest
+    bucket = np.unique([x[:width] for x in suffixes], return_inverse=True)[1]
+    sums, power = substrings._prefix(raw, np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64))
+    order = substrings.suffix_order(bucket, starts, rest, width, raw, sums, power)
+    assert order.tolist() == sorted(range(len(suffixes)), key=lambda i: suffixes[i])
+
+
+def test_hash_collisions_are_found_by_bytes(documents, monkeypatch):
+    """With a hash that hardly tells windows apart, the bytes still decide."""
+    prefix = substrings._prefix
+
+    def weak(raw, values):
+        """a and b hash alike."""
+        same = values.copy()
+        same[ord("a")] = same[ord("b")]
+        return prefix(raw, same)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc"), 60)) for _ in range(12)]
+    contexts = [t.encode() for t in texts] + [texts[0][5:].encode() + b"zz", texts[3][:40].encode()]
+    group, shift = np.zeros(len(contexts), np.uint64), np.zeros(len(contexts), np.int64)
+    contexts += [contexts[1].replace(b"a", b"b"), contexts[2][:30].replace(b"b", b"a") + contexts[2][30:]]
+    group, shift = np.zeros(len(contexts), np.uint64), np.zeros(len(contexts), np.int64)
+    shift[12] = 5
+    monkeypatch.setattr(substrings, "_prefix", weak)
+    owner, inside, hit, _ = substrings.repeated(group, shift, contexts, 20)
+    at = Counter((int(shift[o] + i), contexts[o][i:i + 20]) for o, i in zip(owner, inside))
+    assert [at[int(shift[o] + i), contexts[o][i:i + 20]] > 1 for o, i in zip(owner, inside)] == hit.tolist()
+
+
+def test_periodic_text(documents):
+    rows = [(0, "ab" * 300), (1, "x" + "ab" * 200 + "y"), (2, "abc" * 150), (3, "ab" * 30 + "abc" * 30), (4, "q" * 25 + "ab" * 12)]
+    assert found(documents(rows), width=24, gram=8) == brute(rows, 24) == found(documents(rows), width=24, gram=8, block=7)
