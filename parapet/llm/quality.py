@@ -20,7 +20,10 @@ from parapet.llm.common import SPACES, let, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST, NOTICE_CHARS = 50, 50, 0.5, 200
 SYMBOLS = "#*$%&|<>"
-CLOSING = r"""[.!?\x{2026}:;"'\x{201D}\x{2019}\x{00BB})\]][\x20\x09-\x0D]*$"""
+# Marks that end a sentence or a phrase, by script: Latin, Greek, Armenian, Arabic and Urdu, Devanagari, Tibetan, Myanmar, Ethiopic, Khmer, Chinese and Japanese.
+MARKS = ".!?…:;\"'" + "\u037e\u0387" + "։" + "؛؟۔" + "।॥" + "།" + "၊။" + "።፧" + "។៕" + "。！？；：．｡"
+#: Such a mark or a closing bracket or quote, in the syntax that Java and RE2 share; Thai and Lao write no marks at line ends.
+CLOSING = rf"([{MARKS}\p{{Pe}}\p{{Pf}}]|[\x{{0E00}}-\x{{0EFF}}])[\x20\x09-\x0D]*$"
 SEPARATORS = "|»›•·"
 NOTICES = (
     "licensed under|released under|all rights reserved|copyright|creative commons|terms of use|terms of service|privacy policy|"
@@ -51,17 +54,20 @@ def _repeated(words: Column, n: Column) -> Column:
     return F.when(n >= 4, let(windows, count)).otherwise(F.lit(0))
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line with a word survives the punctuation, navigation and boilerplate rules."""
+def line_passes(line: Column, notices: str = NOTICES) -> Column:
+    """Whether a line with a word survives the punctuation, navigation and boilerplate rules; ``notices`` is a pattern over its lower case."""
     separators = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
     blanks = F.length(line) - F.length(F.translate(line, " ", ""))
     navigation = (separators >= 3) & (separators * 5 >= blanks + 1)
-    notice = (F.length(line) <= NOTICE_CHARS) & F.lower(line).rlike(NOTICES)
+    notice = (F.length(line) <= NOTICE_CHARS) & F.lower(line).rlike(notices)
     return line.rlike(CLOSING) & ~navigation & ~notice
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """One row per document: the base measures, the base verdict, text lost to the line rules, and ``kept``."""
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost: float = MAX_LOST, notices: str = NOTICES) -> DataFrame:
+    """One row per document: the base measures, the base verdict, ``kept``, text lost to the line rules, and ``cleaned``, the lines that survive them.
+
+    Blank lines are no part of ``cleaned``; a document that is not kept has it too.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of_words(words: Column) -> Column:
@@ -70,10 +76,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost:
 
     def of_lines(lines: Column) -> Column:
         chars = lambda found: F.aggregate(found, F.lit(0), lambda acc, s: acc + F.length(s))
-        return F.struct(
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            chars(lines).cast("long").alias("line_chars"), chars(F.filter(lines, lambda s: ~line_passes(s))).cast("long").alias("lost_chars"),
-        )
+        return let(F.filter(lines, lambda s: line_passes(s, notices)), lambda good: F.struct(
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), chars(lines).cast("long").alias("line_chars"),
+            (chars(lines) - chars(good)).cast("long").alias("lost_chars"), F.array_join(good, "\n").alias("cleaned"),
+        ))
 
     filled = F.filter(F.split(t, "\n"), lambda s: s.rlike(_FILLED))
     rows = docs.select(
@@ -87,6 +93,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost:
     return rows.select(
         key, n.alias("n_words"), "word_chars", "n_symbols", F.col("l.n_dup_lines").alias("n_dup_lines"), repeats.alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & ~lost).alias("kept"), F.col("l.line_chars").alias("line_chars"), F.col("l.lost_chars").alias("lost_chars"),
+        F.col("l.cleaned").alias("cleaned"),
     )
 
 
@@ -104,22 +111,23 @@ WITH t AS (
 ), cov AS (
   SELECT row_no, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) o(k) GROUP BY row_no
 ), ln AS (
-  SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT row_no, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d
 ), marks AS (
-  SELECT row_no, line, length(line) AS n, length(line) - length(translate(line, '|»›•·', '')) AS seps,
+  SELECT row_no, line_no, line, length(line) AS n, length(line) - length(translate(line, '|»›•·', '')) AS seps,
          length(line) - length(replace(line, ' ', '')) AS blanks FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), judged AS (
-  SELECT row_no, line, n, regexp_matches(line, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*$') AND NOT (seps >= 3 AND seps * 5 >= blanks + 1)
-    AND NOT (n <= 200 AND regexp_matches(lower(line), 'licensed under|released under|all rights reserved|copyright|creative commons|terms of use|terms of service|privacy policy|cookie|javascript|subscribe|sign in|log in')) AS pass
+  SELECT row_no, line_no, line, n, regexp_matches(line, '@CLOSING@') AND NOT (seps >= 3 AND seps * 5 >= blanks + 1)
+    AND NOT (n <= 200 AND regexp_matches(lower(line), '@NOTICES@')) AS pass
   FROM marks
 ), lines AS (
-  SELECT row_no, count(*) - count(DISTINCT line) AS n_dup_lines, sum(n) AS line_chars, coalesce(sum(n) FILTER (WHERE NOT pass), 0) AS lost_chars FROM judged GROUP BY row_no
+  SELECT row_no, count(*) - count(DISTINCT line) AS n_dup_lines, sum(n) AS line_chars, coalesce(sum(n) FILTER (WHERE NOT pass), 0) AS lost_chars,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE pass), '') AS cleaned FROM judged GROUP BY row_no
 ), m AS (
   SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+         coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars, md5(coalesce(cleaned, '')) AS cleaned_md5
   FROM d JOIN w USING (row_no) LEFT JOIN cov USING (row_no) LEFT JOIN lines USING (row_no)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT lost_chars > 0.5 * line_chars AS kept, line_chars, lost_chars FROM m
-"""
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT lost_chars > 0.5 * line_chars AS kept, line_chars, lost_chars, cleaned_md5 FROM m
+""".replace("@CLOSING@", CLOSING.replace("'", "''")).replace("@NOTICES@", NOTICES)

@@ -90,6 +90,29 @@ def test_line_rules(spark, line, good):
     assert spark.createDataFrame([(line,)], "line string").select(quality.line_passes(F.col("line"))).first()[0] is good
 
 
+@pytest.mark.parametrize("line", [
+    "यह एक वाक्य है।", "这是一个句子。", "他说：“你好！”", "「こんにちは。」", "یہ ایک جملہ ہے۔", "هل هذا سؤال؟", "Սա նախադասություն է։", "ይህ ዓረፍተ ነገር ነው።", "ประโยคหนึ่ง", "Ένα ερώτημα;",
+])
+def test_lines_of_other_scripts(spark, line):
+    assert spark.createDataFrame([(line,), (line + " x",)], "line string").select(quality.line_passes(F.col("line"))).collect()[0][0] is True
+
+
+def test_documents_of_other_scripts_are_kept(documents):
+    kinds = {1: ("शब्द", "।"), 2: ("句子", "。"), 3: ("جملہ", "۔"), 4: ("word", "")}
+    rows = [(i, "\n".join(" ".join(f"{word}{k}x{j}" for j in range(6)) + mark for k in range(20))) for i, (word, mark) in kinds.items()]
+    out = {r.doc_id: r for r in quality.measure(documents(rows)).collect()}
+    assert [out[i].kept for i in kinds] == [True, True, True, False] and out[1].lost_chars == 0 and out[1].cleaned == rows[0][1]
+
+
+def test_cleaned_text_and_notices(documents):
+    text = "\n".join(["A first sentence stands here.", "Home | News | Sport | More.", " ", "Todos los derechos reservados.", "  And a last one.  "])
+    (plain,) = quality.measure(documents([(1, text)])).collect()
+    assert plain.cleaned == "A first sentence stands here.\nTodos los derechos reservados.\n  And a last one.  "
+    (other,) = quality.measure(documents([(1, text)], clashes=True), notices="derechos reservados").collect()
+    assert other.cleaned == "A first sentence stands here.\n  And a last one.  " and other.lost_chars == plain.lost_chars + 30
+    assert [r.cleaned for r in quality.measure(documents([(1, None), (2, "")])).collect()] == ["", ""]
+
+
 # Mixing
 
 def test_shortage_goes_to_siblings_first(spark):
@@ -128,6 +151,30 @@ def test_prefix_of_each_leaf(documents, monkeypatch):
             assert got.get(r[0], 0) == epochs + (rest > 0 and total <= rest), (s, r)
 
 
+def test_no_budget_is_lost(documents):
+    """What the document at the end can't give whole, its first words give."""
+    rows = [(i, "w " * 10, None, "many") for i in range(10)] + [(99, " ".join(f"x{i}" for i in range(100)), None, "one")]
+    df = documents(rows, clashes=True)
+    out = mixing.mix(df, {"source": F.col("source")}, {}, 0.6, max_epochs=1, cut=True)
+    assert out.columns == [*df.columns, "n_tokens", "n_copies", "n_part"]
+    got = out.collect()
+    assert sum(r.n_tokens * r.n_copies + r.n_part for r in got) == 120
+    (one,) = [r for r in got if r.source == "one"]
+    assert (one.n_copies, one.n_part) == (0, 60)
+    assert out.where("source = 'one'").select(mixing.first_words(F.col("text"), F.col("n_part"))).first()[0] == " ".join(f"x{i}" for i in range(60))
+    # Copies of one row share the rest.
+    alike = [(7, "a b c d", None, "s")] * 5
+    got = mixing.mix(documents(alike), {"source": F.col("source")}, {}, 0.55, max_epochs=1, cut=True).collect()
+    assert [(r.n_copies, r.n_part) for r in got] == [(0, 2)] * 5
+
+
+def test_first_words_keep_white_space(spark):
+    text = " a\tb \n c\x1fd  e"
+    df = spark.createDataFrame([(text, n) for n in range(0, 7)], "t string, n long")
+    want = ["", " a", " a\tb", " a\tb \n c\x1fd", text, text, text]
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n").cast("int"))).collect()] == want
+
+
 def test_mixing_odd_rows(documents):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     out = mixing.mix(documents(ODD_ROWS, clashes=True), levels, {}, 1.0, max_epochs=1).collect()
