@@ -6,8 +6,8 @@ tag path, its hashed words and a few measures, and labels it with the whole page
 There are no labelled pages, so the labeller learns from pages whose markup tells the parts: blocks
 inside ``article`` or ``main`` are text, blocks inside navigation, headers, footers, asides, forms
 and elements named as adverts, notices or comments are not, others give no label. A bounded sample
-of SAMPLE_PAGES pages (expected number; rows are drawn by a hash of the url, pages of up to
-SAMPLE_CHARS characters) is learned as it is, and once more with foreign parts put in and other
+of SAMPLE_PAGES such pages (expected number; of those that have a text part rows are drawn by a hash of the url, pages of
+up to SAMPLE_CHARS characters; of a page with more than SAMPLE_BLOCKS blocks half as many from either end) is learned as it is, and once more with foreign parts put in and other
 elements around the text, so that parts and layouts are learned that the sample lacks.
 
 Defined results: a null or empty page, or one without text, gives an empty text; repeated rows
@@ -30,6 +30,8 @@ from parapet.llm.state import kept
 
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 120, 60_000, 60
 TEXT_PARTS = frozenset(("article", "main", ".main", ".article"))
+# What a page with a text part has in its markup.
+TELLS = r"""(?i)<(article|main)[\s>]|\b(class|id|role)\s*=\s*["']?[^"'>]*\b(article|main)\b"""
 OTHER_PARTS = frozenset(
     "nav header footer aside form menu button dialog .nav .navigation .menu .header .footer .sidebar .aside .ad .ads .advert .advertisement .banner "
     ".sponsored .promo .cookie .cookies .consent .notice .comment .comments .comentarios .disqus .related .share .social .breadcrumb .breadcrumbs "
@@ -74,13 +76,19 @@ def changed(page: list[Block], label: np.ndarray, others: list[Block], rng: np.r
     return [b for b, _ in rows], np.array([y for _, y in rows], np.float32)
 
 
+def _ends(page: list[Block]) -> list[Block]:
+    half = SAMPLE_BLOCKS // 2
+    return page if len(page) <= SAMPLE_BLOCKS else page[:half] + page[-half:]
+
+
 def learn(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE_PAGES, seed: int = 5) -> labeller.Weights:
     """A labeller from a sample of ``pages``."""
-    n = max(1, pages.count())
+    telling = pages.where(F.col(html).rlike(TELLS))
+    n = max(1, telling.count())
     draw = F.pmod(F.xxhash64(F.col(url), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = pages.where((F.length(html) <= SAMPLE_CHARS) & (draw < min(1.0, sample / n))).select(F.col(html).alias("html"))
+    rows = telling.where((F.length(html) <= SAMPLE_CHARS) & (draw < min(1.0, sample / n))).select(F.col(html).alias("html"))
     found = sorted(r.html for r in rows.collect())
-    told = [(page, teacher(page)) for page in (blocks(text)[:SAMPLE_BLOCKS] for text in found) if page]
+    told = [(page, teacher(page)) for page in (_ends(blocks(text)) for text in found) if page]
     told = [(page, y) for page, y in told if (y == 1).any()]
     rng, memory = np.random.default_rng(seed), {}
     others = [b for page, _ in told for b in page]

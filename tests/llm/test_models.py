@@ -174,3 +174,50 @@ def test_vectors_that_share_an_id(spark):
     got = sorted(tuple(r) for r in nearest.search(df, F.col("vec_id") % 20 == 0, k=3).collect())
     want = [(20, 1, 1, 9.0), (20, 1, 1, 27.0), (20, 2, 2, 11.0), (20, 2, 20, 3.0), (20, 3, 2, 2.0), (20, 3, 20, 3.0)]
     assert got == want
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ('<p>One <img alt="a > b"> two</p>', ["One two"]), ('<a title="x > y">t</a>', ["t"]), ("<p title='a \"> b'>t</p>u", ["t", "u"]),
+    ('<a title="x < y and <b>">t</a> u', ["t u"]), ("<p title=it's>a</p><p>it's > b</p>", ["a", "it's > b"]),
+    ('<p title="open>a</p><p>b</p>', ["a", "b"]), ("<p a = \"1>2\" b='3>4' c=5>t", ["t"]), ('x = "<b>y</b>"', ['x = "y"']),
+])
+def test_quoted_values(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<td><nav><table><tr><td>menu", {"menu": "nav"}), ("<li><article>a<ul><li>b<li>c</ul>d", dict.fromkeys("abcd", "article")),
+    ("<article><table><tr><td>a</div><td>b<tr><td>c</table>d</article>", dict.fromkeys("abcd", "article")),
+    ("<dl><dt>a<dd><article>b<dl><dt>c<dd>d</dl>e</article></dl>", dict.fromkeys("bcde", "article")),
+    ("<article><p>a<div>b</div>c</article>", dict.fromkeys("abc", "article")), ("<nav><ul><li>a</li></ul></nav><li>b", {"a": "nav"}),
+])
+def test_ancestors_of_nested_lists_and_tables(page, want):
+    found = {b.text: b.path for b in blocks(page)}
+    assert all(part in found[text] for text, part in want.items())
+    assert all(part not in path for text, path in found.items() if text not in want for part in want.values())
+
+
+def test_siblings_end_each_other():
+    found = {b.text: b.path for b in blocks("<ul><li class=x>a<li>b</ul><table><tr class=r><td class=y>c<td>d<tr><td>e</table><p class=z>f<p>g")}
+    assert ".x" in found["a"] and ".x" not in found["b"] and ".y" in found["c"] and ".y" not in found["d"]
+    assert ".r" in found["d"] and ".r" not in found["e"] and ".z" in found["f"] and ".z" not in found["g"]
+
+
+def test_whole_stack_and_all_names():
+    """An ancestor is seen from any depth and a name after any number of others."""
+    deep = "<article class='" + " ".join(f"u{i}" for i in range(30)) + " last'>" + "<div><span>" * 200 + "deep"
+    (block,) = blocks(deep)
+    assert "article" in block.path and ".last" in block.path and len(block.path) == 34
+    many = blocks("<div>" * 20_000 + "<p>x</p>" * 2000)
+    assert len(many) == 2000 and all(b.path == ("div", "p") for b in many)
+
+
+def test_sample_is_drawn_from_pages_that_tell(spark, monkeypatch):
+    """A few pages with parts among many without: the labeller still learns from them."""
+    telling = "<nav>Home page links</nav><article><p>This is the story, told at length.</p></article><footer>All rights</footer>"
+    rows = [(i, f"u{i}", telling if i % 50 == 0 else "<div>nothing tells here</div>") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    monkeypatch.setattr(html_text.labeller, "train", lambda x, y, **k: seen.append(len(y)) or labeller.Weights.fresh(1))
+    html_text.learn(pages, sample=12)
+    assert seen == [36]
