@@ -7,8 +7,9 @@ capacity is the sum below it, only what a whole family cannot use reaches the fa
 Budgets are whole tokens, rounded down.
 
 A leaf with budget B and T tokens takes every document B div T times, and of the next epoch's
-seeded order the longest run of whole documents from the start that fits in B mod T. The order
-is an MD5 of seed, epoch and document. Where the run ends is found without sorting a leaf: token
+seeded order the longest run of whole documents from the start that fits in B mod T. With ``cut`` it also takes
+what is left of B mod T from the start of the next document, so no budget is lost; without, that rest (less than a
+document) goes to nobody. The order is an MD5 of seed, epoch and document. Where the run ends is found without sorting a leaf: token
 sums per hash prefix give the prefix in which it ends, and only documents with that prefix are
 ordered one by one. The prefix grows longer with the largest leaf, so that this rest stays small.
 
@@ -83,7 +84,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, floa
 
 
 def plan(narrow: DataFrame, levels: Sequence[str], weights: Mapping[str, float], total: float, max_epochs: int, seed: int) -> DataFrame:
-    """Per leaf: ``budget``, full ``epochs`` and ``cut``, the last order key taken of the next epoch (null: none).
+    """Per leaf: ``budget``, full ``epochs``, ``cut``, the last order key taken of the next epoch (null: none), and ``part``, the key after it with the tokens left for it.
 
     ``narrow`` has the levels, ``tokens`` and ``identity`` (the text that is hashed into the order).
     """
@@ -102,11 +103,17 @@ def plan(narrow: DataFrame, levels: Sequence[str], weights: Mapping[str, float],
     # The run ends in the last prefix that begins within the rest; a rest equal to a prefix's end goes on with documents of 0 tokens.
     ends = sums.withColumn("before", before).where(F.col("before") <= F.col("rest")).groupBy(*levels).agg(F.max(F.struct("prefix", "before")).alias("end"))
     tail = keyed.join(ends, list(levels)).where(F.col("prefix") == F.col("end.prefix"))
-    tail = tail.groupBy(*levels, "key").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("end.before").alias("before"))
+    tail = tail.groupBy(*levels, "key").agg(
+        F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("alike"), F.max("rest").alias("rest"), F.max("end.before").alias("before"))
     upto = F.col("before") + F.sum("tokens").over(W.partitionBy(*levels).orderBy("key"))
-    last = tail.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy(*levels).agg(F.max("key").alias("last"))
-    cuts = ends.join(last, list(levels), "left").select(*levels, F.coalesce("last", F.col("end.prefix")).alias("cut"))
-    return given.join(cuts, list(levels), "left").select(*levels, "budget", "epochs", "cut")
+    # The first key that does not fit gives what is left, shared by the rows of that key.
+    left = F.col("rest") - (F.col("upto") - F.col("tokens"))
+    part = F.struct("key", F.floor(left / F.col("alike")).cast("long").alias("tokens"))
+    last = tail.withColumn("upto", upto).groupBy(*levels).agg(
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key"))).alias("last"), F.min(F.when(F.col("upto") > F.col("rest"), part)).alias("part")
+    )
+    cuts = ends.join(last, list(levels), "left").select(*levels, F.coalesce("last", F.col("end.prefix")).alias("cut"), "part")
+    return given.join(cuts, list(levels), "left").select(*levels, "budget", "epochs", "cut", "part")
 
 
 def order_key(epoch: Column, identity: Column, seed: int) -> Column:
@@ -115,10 +122,12 @@ def order_key(epoch: Column, identity: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, float], total: float, key: str = "doc_id", text: str = "text",
-    max_epochs: int = 2, seed: int = SEED,
+    max_epochs: int = 2, seed: int = SEED, cut: bool = False,
 ) -> DataFrame:
     """The chosen rows of ``docs`` with the levels' names, ``n_tokens`` (words) and ``n_copies``, how often each is taken.
 
+    With ``cut`` there is also ``n_part``: the first tokens of a row that are taken once more, not 0 for the rows of one
+    document a leaf; such a row may have no whole copy. :func:`first_words` cuts its text.
     ``levels`` maps level names, root first, to expressions over ``docs``; a null becomes ``null``.
     """
     names = list(levels)
@@ -133,10 +142,20 @@ def mix(
     by_depth = stage(plan(narrow, inner, weights, total, max_epochs, seed), "mix-plan")
     joined = base.join(by_depth, inner)
     part = F.col("cut").isNotNull() & (order_key(F.col("epochs"), F.col("identity"), seed) <= F.col("cut"))
-    joined = joined.withColumn("copies", F.col("epochs") + F.when(part, F.lit(1)).otherwise(F.lit(0))).where(F.col("copies") > 0)
+    joined = joined.withColumn("copies", F.col("epochs") + F.when(part, F.lit(1)).otherwise(F.lit(0)))
+    more = F.coalesce(F.when(order_key(F.col("epochs"), F.col("identity"), seed) == F.col("part.key"), F.col("part.tokens")), F.lit(0).cast("long"))
+    joined = joined.withColumn("more", more if cut else F.lit(0)).where("copies > 0 OR more > 0")
     taken = {c.lower() for c in docs.columns}
     extra = {name: F.col(c) for name, c in zip(names, inner) if name.lower() not in taken}
-    return unboxed(joined, docs.columns, **extra, n_tokens=F.col("tokens"), n_copies=F.col("copies").cast("long"))
+    parts = {"n_part": F.col("more")} if cut else {}
+    return unboxed(joined, docs.columns, **extra, n_tokens=F.col("tokens"), n_copies=F.col("copies").cast("long"), **parts)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words of a text, white space before and between them as it is."""
+    # Words and the runs before them, in turn; a run may be empty only before the first word.
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n), "")
 
 
 def _sql() -> str:
@@ -166,11 +185,13 @@ def _sql() -> str:
         "p AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM leaf JOIN b3 USING (domain, lang, source))",
         "k AS (SELECT t.*, epochs, budget - epochs * tokens AS rest, "
         f"md5('{SEED}:' || epochs || ':' || identity) AS key FROM t JOIN p USING (domain, lang, source))",
-        "c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)",
+        "c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, "
+        "sum(n_tokens) OVER (PARTITION BY domain, lang, source, key) AS own, count(*) OVER (PARTITION BY domain, lang, source, key) AS alike FROM k)",
     ]
     return (
-        "WITH " + ", ".join(parts) + " SELECT doc_id, domain, lang, source, n_tokens, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n_copies "
-        "FROM c WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0"
+        "WITH " + ", ".join(parts) + " SELECT * FROM (SELECT doc_id, domain, lang, source, n_tokens, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n_copies, "
+        "CAST(CASE WHEN upto > rest AND upto - own < rest THEN (rest - upto + own) // alike ELSE 0 END AS BIGINT) AS n_part FROM c) AS taken "
+        "WHERE n_copies > 0 OR n_part > 0"
     )
 
 

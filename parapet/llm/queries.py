@@ -45,15 +45,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_quality_rules", quality.SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.measure(table(spark, folder, "documents"))
+    out = quality.measure(table(spark, folder, "documents"))
+    return out.withColumn("cleaned_md5", F.md5(F.col("cleaned").cast("binary"))).drop("cleaned")
 
 
 @query("op6_mixing", mixing.SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     levels = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
-    out = mixing.mix(docs, levels, mixing.WEIGHTS, mixing.TOTAL, max_epochs=mixing.EPOCHS)
-    return out.select("doc_id", "domain", F.coalesce("lang", F.lit("null")).alias("lang"), F.coalesce("source", F.lit("null")).alias("source"), "n_tokens", "n_copies")
+    out = mixing.mix(docs, levels, mixing.WEIGHTS, mixing.TOTAL, max_epochs=mixing.EPOCHS, cut=True)
+    return out.select("doc_id", "domain", F.coalesce("lang", F.lit("null")).alias("lang"), F.coalesce("source", F.lit("null")).alias("source"), "n_tokens", "n_copies", "n_part")
 
 
 @query("op8_nearest")
