@@ -42,7 +42,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     levels = {"__domain": mixing.domain_of(F.col("source")), "__lang": F.col("lang"), "__source": F.col("source")}
-    return mixing.mix(docs, levels, mixing.WEIGHTS, MIX_TOTAL, max_epochs=MIX_EPOCHS).select(*docs.columns)
+    mixed = mixing.mix(docs, levels, mixing.WEIGHTS, MIX_TOTAL, max_epochs=MIX_EPOCHS, cut=True)
+    # The document in which a source's budget ends gives its first words; all others are whole.
+    part = F.col("n_copies") == 0
+    text = F.when(part, mixing.first_words(F.col("text"), F.col("n_part").cast("int"))).otherwise(F.col("text"))
+    return mixed.select(*[(text if c == "text" else F.when(part, F.length(text).cast("long")).otherwise(F.col(c)) if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
