@@ -9,7 +9,7 @@ Windows of one anchor occurrence follow each other, and about one byte in 170 is
 1. Anchors of every distinct text are counted; one that occurs once has no equal windows.
 2. Texts with repeated anchors give the bytes around each occurrence, which meet by anchor.
 3. There windows that agree on WIDTH bytes by a prefix polynomial hash share a bucket. Of each run of
-   such windows the first one's suffix is put in order with the others of its bucket, by mergesort
+   such windows the first one's suffix is put in order with those of its bucket, by mergesort
    (:func:`suffix_order`): two suffixes are compared by their common extension, a binary search over
    prefix hashes. Neighbours in this order have the longest extensions; these are verified byte by
    byte, so one comparison confirms a whole run of windows; one that fails is settled by its window's bytes.
@@ -44,6 +44,8 @@ WIDTH, GRAM, BLOCK = 400, 64, 12_000
 PIECE, PLACE_BITS = 1 << 20, 21
 #: Context bytes that are sorted at once, at least one anchor's.
 BATCH = 1 << 21
+#: Bytes that are compared in one go, window hashes that are made in one go, and rows of windows that leave a task in one go.
+COMPARED, HASHED, MARKS = 1 << 20, 1 << 18, 1 << 16
 
 
 def _prefix(raw: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +123,18 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray, width: int, sums: np
 
 
 def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether ``size`` bytes from a and b are the same, byte by byte."""
-    steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    differ = raw[np.repeat(a, size) + steps] != raw[np.repeat(b, size) + steps]
-    return np.bincount(np.repeat(np.arange(len(a)), size), differ, len(a)) == 0
+    """Whether ``size`` bytes from a and b are the same, byte by byte; about COMPARED bytes are looked at in one go."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + COMPARED, "right")))
+        n = size[start:stop]
+        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = raw[np.repeat(a[start:stop], n) + steps] != raw[np.repeat(b[start:stop], n) + steps]
+        out[start:stop] = np.bincount(np.repeat(np.arange(stop - start), n), differ, stop - start) == 0
+        start = stop
+    return out
 
 
 def suffix_order(bucket: np.ndarray, starts: np.ndarray, rest: np.ndarray, width: int, raw: np.ndarray, sums: np.ndarray, power: np.ndarray) -> np.ndarray:
@@ -180,39 +190,45 @@ def repeated(group: np.ndarray, shift: np.ndarray, contexts: list[bytes], width:
     size = np.array([len(c) for c in contexts])
     base = np.cumsum(size) - size
     n = size - width + 1
-    owner = np.repeat(np.arange(len(contexts)), n)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    starts = base[owner] + inside
+    # Four bytes a number: there is a row for every window of a crowded anchor.
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), n)
+    inside = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+    starts = base.astype(np.int32)[owner] + inside
     sums, power = _prefix(raw, kept("byte values", byte_values))
-    key = mixed(_hashes(sums, power, starts, width) ^ mixed(group[owner] + (shift[owner] + inside).astype(np.uint64)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    partner = np.full(len(key), -1)
-    partner[order[1:][same]] = order[:-1][same]
-    partner[order[:-1][same & (partner[order[:-1]] < 0)]] = order[1:][same & (partner[order[:-1]] < 0)]
-    state = np.where(partner >= 0, 1, 0)  # 1: a candidate, 2: confirmed
-    ranks = np.empty(len(key), np.int64)
-    ranks[order] = np.cumsum(np.concatenate(([True], ~same))) - 1  # the bucket of equal keys
-    rest = size[owner] - inside
+    key = np.empty(len(owner), np.uint64)
+    for at in range(0, len(owner), HASHED):
+        some = slice(at, at + HASHED)
+        mine = owner[some]
+        key[some] = mixed(_hashes(sums, power, starts[some], width) ^ mixed(group[mine] + (shift[mine] + inside[some]).astype(np.uint64)))
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    same = key[order[1:]] == key[order[:-1]]
+    bucket = np.empty(len(key), np.int32)  # of equal keys
+    bucket[order] = np.cumsum(np.concatenate(([True], ~same)), dtype=np.int32) - 1 if len(key) else 0
+    heads = np.flatnonzero(np.concatenate(([True], ~same))).astype(np.int32)  # first place of each bucket in the order
+    state = np.zeros(len(key), np.uint8)  # 1: a candidate, 2: confirmed
+    state[order[1:][same]] = 1
+    state[order[:-1][same]] = 1
+    rest = lambda at: size[owner[at]] - inside[at]
     while True:
         # The first open candidate of each run; its extension confirms those that follow it.
         todo = np.flatnonzero(state == 1)
         if not len(todo):
             break
         todo = todo[np.concatenate(([True], (todo[1:] != todo[:-1] + 1) | (owner[todo[1:]] != owner[todo[:-1]])))]
-        # The suffixes of their buckets in order; the longest extension is that of a neighbour.
-        wanted = np.zeros(ranks.max() + 1, bool)
-        wanted[ranks[todo]] = True
-        suffix = order[wanted[ranks[order]]]
-        suffix = suffix[suffix_order(ranks[suffix], starts[suffix], rest[suffix], width, raw, sums, power)]
-        close = ranks[suffix][1:] == ranks[suffix][:-1]
-        left, right = suffix[:-1][close], suffix[1:][close]
-        common = _common(starts[left], starts[right], np.minimum(rest[left], rest[right]), width, sums, power)
-        reach, near = np.zeros(len(key), np.int64), np.full(len(key), -1)
-        for mine, other in ((right, left), (left, right)):
-            better = common > reach[mine]
-            reach[mine[better]], near[mine[better]] = common[better], other[better]
-        common, other = reach[todo], near[todo]
+        # Their suffixes in order, with two others of each bucket, so that none is alone; the longest extension is that of a neighbour.
+        suffix = np.unique(np.concatenate((todo, order[heads[bucket[todo]]], order[heads[bucket[todo]] + 1])))
+        suffix = suffix[np.argsort(bucket[suffix], kind="stable")]
+        suffix = suffix[suffix_order(bucket[suffix], starts[suffix].astype(np.int64), rest(suffix), width, raw, sums, power)]
+        by_number = np.argsort(suffix)
+        place = by_number[np.searchsorted(suffix, todo, sorter=by_number)]
+        common, other = np.zeros(len(todo), np.int64), np.full(len(todo), -1)
+        for step in (-1, 1):
+            near = suffix[np.clip(place + step, 0, len(suffix) - 1)]
+            pair = np.flatnonzero((near != todo) & (bucket[near] == bucket[todo]))
+            a, b = todo[pair], near[pair]
+            found = _common(starts[a], starts[b], np.minimum(rest(a), rest(b)), width, sums, power)
+            better = found > common[pair]
+            common[pair[better]], other[pair[better]] = found[better], b[better]
         good = _equal(raw, starts[todo], starts[other], common)
         for i in np.flatnonzero(~good):
             window = raw[starts[todo[i]]:][:width].tobytes()
@@ -230,7 +246,7 @@ def _spans(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame
     held: list[pd.DataFrame] = []
     size, last = 0, None
 
-    def work() -> pd.DataFrame:
+    def work() -> Iterator[pd.DataFrame]:
         rows = pd.concat(held, ignore_index=True)
         block = rows["block"].to_numpy(np.uint64)
         group = mixed(rows["hash"].to_numpy(np.int64).view(np.uint64) ^ mixed(block + np.uint64(7)))
@@ -240,34 +256,36 @@ def _spans(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame
         new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]]))) if len(at) else np.empty(0, bool)
         begin, end = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
         digest = rows["digest"].to_numpy()
-        out = pd.DataFrame({
+        yield pd.DataFrame({
             "digest": digest[owner[begin]], "start": first[owner[begin]] + inside[begin], "stop": first[owner[begin]] + inside[end] + width,
             "mark": None, "alone": False,
         })
-        split = np.flatnonzero(rows["blocks"].to_numpy()[owner] > 1)
-        if len(split):
-            # One row for each different window of the block; only those found once still need a partner.
-            _, one = np.unique(key[split], return_index=True)
-            split = split[one]
-            contexts, hashes = rows["bytes"], rows["hash"].to_numpy()
-            marks = [
-                hashlib.blake2b(contexts[owner[w]][inside[w]:inside[w] + width] + hashes[owner[w]].tobytes(), digest_size=16).digest() for w in split
-            ]
-            begin = first[owner[split]] + inside[split]
-            more = pd.DataFrame({"digest": digest[owner[split]], "start": begin, "stop": begin + width, "mark": marks, "alone": ~hit[split]})
-            out = pd.concat([out, more], ignore_index=True)
-        return out
+        split = np.flatnonzero(rows["blocks"].to_numpy()[owner] > 1).astype(np.int32)
+        if not len(split):
+            return
+        # One row for each different window of the block; only those found once still need a partner.
+        _, one = np.unique(key[split], return_index=True)
+        split = split[one]
+        del one, key
+        contexts, hashes = rows["bytes"].tolist(), [h.tobytes() for h in rows["hash"].to_numpy()]
+        # A crowded block has millions of them, so they leave some at a time.
+        for at in range(0, len(split), MARKS):
+            some = split[at:at + MARKS]
+            places = zip(owner[some].tolist(), inside[some].tolist())
+            marks = [hashlib.blake2b(contexts[o][i:i + width] + hashes[o], digest_size=16).digest() for o, i in places]
+            begin = first[owner[some]] + inside[some]
+            yield pd.DataFrame({"digest": digest[owner[some]], "start": begin, "stop": begin + width, "mark": marks, "alone": ~hit[some]})
 
     for batch in batches:
         for key, part in batch.groupby(["hash", "block"], sort=False):
             if key != last and size >= BATCH:
-                yield work()
+                yield from work()
                 held, size = [], 0
             held.append(part)
             size += int(part["bytes"].map(len).sum())
             last = key
     if held:
-        yield work()
+        yield from work()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
