@@ -36,9 +36,9 @@ from parapet.llm.state import kept
 
 CAPACITY, END_ID = 4096, 2
 #: Remainders that are held before windows are filled, and words whose ids a worker keeps.
-POOL, CACHED_WORDS = 1024, 1_500_000
-#: Characters that are tokenised at once (or one longer text), and words that are encoded in one call.
-SLICE, WORDS_A_CALL = 1 << 21, 2000
+POOL, CACHED_WORDS = 1024, 500_000
+#: Characters that are tokenised at once (or one longer text; a worker holds some 80 bytes for each), and words that are encoded in one call.
+SLICE, WORDS_A_CALL = 1 << 19, 2000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 BASE = 0x9E3779B97F4A7C15
 # Separators that engines see differently.
@@ -130,13 +130,14 @@ class WordTokenizer:
     def _plain_ids(self, texts: list[bytes]) -> list[bytes]:
         joined = b"\n".join(texts) + b"\n   "
         raw = np.frombuffer(joined, np.uint8)
-        if len(raw) > len(self.power):
-            self.power, self.inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), b, np.uint64)))) for b in (self.power[1], self.inverse[1]))
+        power, inverse = self.power, self.inverse
+        if len(raw) > len(power):  # a long text: its tables go with it
+            power, inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), b, np.uint64)))) for b in (power[1], inverse[1]))
         begins, ends = self._words(raw)
         if not len(begins):
             return [b""] * len(texts)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value[raw] * self.power[:len(raw)])))
-        hashes = (sums[ends] - sums[begins]) * self.inverse[begins]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value[raw] * power[:len(raw)])))
+        hashes = (sums[ends] - sums[begins]) * inverse[begins]
         fresh, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(fresh) > CACHED_WORDS:
             self._forget()
