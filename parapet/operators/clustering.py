@@ -61,6 +61,8 @@ UNITS = 1_000_000
 MAX_LABELS = 1_000
 # Group statistics are broadcast up to so many groups.
 BROADCAST_GROUPS = 10_000
+# A pass reads only the groups of its models up to so many.
+FILTER_GROUPS = 1_000
 # Centroids that a pass sends to every task; models beyond that are fitted in further batches.
 CENTROID_BYTES = 64 * 1024 * 1024
 
@@ -192,7 +194,8 @@ def points(df: DataFrame, design: Design, name: str, groups: dict[str, Group]) -
     joined = df.join(F.broadcast(table) if len(groups) <= BROADCAST_GROUPS else table, "grp")
     fixed = {f"x{i}": _fixed(_scaled(F.col(c), F.col(f"_mean{i}"), F.col(f"_deviation{i}"))) for i, c in enumerate(design.numeric)}
     made = joined.withColumns({**fixed, **label_slots(design)}).withColumnRenamed("build_id", "pid").drop(*stats)
-    return stage(made, name, spread_by="pid", rows=sum(g.n for g in groups.values()))
+    # In order of group and labels, so that a pass works on many rows of one kind at once.
+    return stage(made, name, spread_by="pid", rows=sum(g.n for g in groups.values()), sort_by=("grp", *label_slots(design)))
 
 
 # --- one pass -----------------------------------------------------------------------------
@@ -295,8 +298,11 @@ def _fit_batch(table: DataFrame, design: Design, models: Sequence[Model], seed:
     for _ in range(max_iterations):
         if not active:
             break
-        kernel = kernels.partial_sums(n_num, n_cat, design.size, float(UNITS), _group_models(active, index))
-        rows = narrow.mapInArrow(kernel, schema).groupBy("model", "cluster").agg(
+        open_models = _group_models(active, index)
+        kernel = kernels.partial_sums(n_num, n_cat, design.size, float(UNITS), open_models)
+        # Groups whose models have all settled are not sent to the tasks.
+        left = narrow.where(F.col("grp").isin(list(open_models))) if len(open_models) <= FILTER_GROUPS else narrow
+        rows = left.mapInArrow(kernel, schema).groupBy("model", "cluster").agg(
             F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in values]
         ).collect()
         gathered: dict[int, dict[int, tuple]] = {}

@@ -16,6 +16,9 @@ from pyspark import cloudpickle
 # Per group: (model number, centroid vectors [k, size], bias [k]).
 GroupModels = dict[str, list[tuple[int, np.ndarray, np.ndarray]]]
 
+#: Rows that are labelled at once, rows a combination of labels has at least to be worked on by itself, and the share of the squares by which rounding may move a distance (far more than it can).
+CHUNK, LEAST_RUN, CLOSE = 2048, 256, 1e-12
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -54,27 +57,98 @@ def _columns(batch: pa.RecordBatch, prefix: str, count: int) -> list[np.ndarray]
     return [batch.column(f"{prefix}{i}").to_numpy(zero_copy_only=False) for i in range(count)]
 
 
+def _runs(slots: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Positions of the rows of each combination of label slots; nothing if most combinations have few rows."""
+    if not slots:
+        return []
+    code = slots[0].astype(np.int64)
+    for s in slots[1:]:
+        code = code * size + s
+    order = np.argsort(code, kind="stable")
+    edges = np.flatnonzero(np.diff(code[order])) + 1
+    return np.split(order, edges) if len(code) >= LEAST_RUN * (len(edges) + 1) else []
+
+
+class _Stacked:
+    """The centroids of all models of a group, one below the other, as weights of 1, of x0.. in units and of the indicators of slots."""
+
+    def __init__(self, mine: list[tuple[int, np.ndarray, np.ndarray]], n_num: int, n_cat: int, units: float):
+        self.models, self.n_num, self.units, self.parts = mine, n_num, units, []
+        vectors, bias = np.concatenate([v for _, v, _ in mine]), np.concatenate([b for _, _, b in mine])
+        square = (vectors[:, :n_num] ** 2).sum(axis=1)
+        self.scale = 1.0 + float(square.max() + np.abs(bias).max() + 2.0 * n_cat)
+        self.weights = np.column_stack((square + bias if n_cat else square, -2.0 / units * vectors[:, :n_num], -2.0 * vectors[:, n_num:]))
+        at = 0
+        for _, v, _ in mine:
+            self.parts.append(slice(at, at + len(v)))
+            at += len(v)
+        self.totals = np.zeros((at, self.weights.shape[1]), np.int64)
+
+    def add(self, part: np.ndarray, slots: list[np.ndarray], one: list[int]) -> None:
+        """Label points (columns) and add them up; ``one`` has the slots that all of them share, if ``part`` lacks the indicators.
+
+        A point's distances, less the part that all centroids share, are one matrix product. Where two of them are so
+        close that rounding may decide, :func:`nearest` does.
+        """
+        weights = self.weights[:, :len(part)]
+        if one:
+            weights = weights.copy()
+            weights[:, 0] += self.weights[:, [1 + s for s in one]].sum(axis=1)
+        scores = weights @ part
+        owner = np.empty(scores.shape, bool)
+        x = [c / self.units for c in part[1:1 + self.n_num]]
+        near = CLOSE * (sum(c * c for c in x) + self.scale)
+        for at in self.parts:
+            best = scores[at].min(axis=0)
+            best += near
+            np.less_equal(scores[at], best, out=owner[at])
+        if np.count_nonzero(owner) > len(self.parts) * part.shape[1]:
+            for at, (_, vectors, bias) in zip(self.parts, self.models):
+                close = np.flatnonzero(owner[at].sum(axis=0) > 1)
+                if len(close):
+                    label, _ = nearest([c[close] for c in x], [c[close] for c in slots], vectors, bias)
+                    owner[at, close] = False
+                    owner[at.start + label, close] = True
+        # Sums of a chunk stay far below 2**53, so the floats are exact in any order.
+        found = (owner.astype(np.float64) @ part.T).astype(np.int64)
+        self.totals[:, :found.shape[1]] += found
+        for s in one:
+            self.totals[:, 1 + s] += found[:, 0]
+
+
 def partial_sums(n_num: int, n_cat: int, size: int, units: float, models: GroupModels) -> Callable:
-    """One row per model and cluster of a partition: n, sums of x0.. and counts of each slot."""
+    """One row per model and cluster of a partition: n, sums of x0.. and counts of each slot.
+
+    Rows with the same label slots are worked on together where there are many, so that labels add a constant to a distance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        stacked: dict[str, _Stacked] = {}
         for batch in batches:
             fixed, slots = _columns(batch, "x", n_num), _columns(batch, "s", n_cat)
             for group, rows in _group_rows(batch):
-                mine, mine_slots = [c[rows] for c in fixed], [c[rows] for c in slots]
-                x = [c / units for c in mine]
-                for number, vectors, bias in models.get(group, ()):
-                    k = len(vectors)
-                    label, _ = nearest(x, mine_slots, vectors, bias)
-                    total = totals.setdefault(number, np.zeros((k, 1 + size), np.int64))
-                    total[:, 0] += np.bincount(label, minlength=k)
-                    for i, c in enumerate(mine):
-                        # A batch sum stays far below 2**53, so the floats are exact.
-                        total[:, 1 + i] += np.bincount(label, weights=c, minlength=k).astype(np.int64)
-                    for c in mine_slots:
-                        total[:, 1:] += np.bincount(label * size + c, minlength=k * size).reshape(k, size)
-        out = [(m, j, *t[j].tolist()) for m, t in totals.items() for j in range(len(t)) if t[j, 0] > 0]
+                if group not in models:
+                    continue
+                if group not in stacked:
+                    stacked[group] = _Stacked(models[group], n_num, n_cat, units)
+                mine_slots = [c[rows] for c in slots]
+                runs = _runs(mine_slots, size)
+                for run_rows in runs or [np.arange(len(rows))]:
+                    for at in range(0, len(run_rows), CHUNK):
+                        some = run_rows[at:at + CHUNK]
+                        here, here_slots = rows[some], [c[some] for c in mine_slots]
+                        part = np.zeros((1 + n_num if runs else 1 + size, len(here)))
+                        part[0] = 1.0
+                        for i, c in enumerate(fixed):
+                            part[1 + i] = c[here]
+                        if not runs:
+                            for c in here_slots:
+                                part[1 + c, np.arange(len(here))] += 1.0
+                        stacked[group].add(part, here_slots, [int(c[0]) for c in here_slots] if runs else [])
+        out = [
+            (number, j, *row) for group in stacked.values() for (number, _, _), at in zip(group.models, group.parts)
+            for j, row in enumerate(group.totals[at].tolist()) if row[0] > 0
+        ]
         if out:
             names = ["model", "cluster", "n", *[f"v{i}" for i in range(size)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)

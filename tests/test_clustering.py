@@ -216,3 +216,47 @@ def test_wide_labels_in_batches(spark, rows, monkeypatch):
     whole = key(K.sample_label_columns(fitted, sample))
     monkeypatch.setattr(K, "CENTROID_BYTES", 1)
     assert key(K.sample_label_columns(fitted, sample)) == whole
+
+
+def test_pass_on_close_and_equal_centroids():
+    """Sums of a pass are those of :func:`kernels.nearest`, also on ties, repeated slots and rows in any order."""
+    import numpy as np
+    import pyarrow as pa
+
+    from parapet.operators import kernels
+
+    rng, n, size = np.random.default_rng(4), 6000, 2 + 5 + 1
+    x = [rng.integers(-3, 4, n) * 500_000 for _ in range(2)]
+    s = [rng.choice([2, 3, 7], n), rng.choice([4, 5, 6, 7], n)]
+    vectors = np.zeros((5, size))
+    vectors[:, 0], vectors[:, 1] = [0.0, 1.0, 1.0, -0.5, 0.5 + 1e-14], [0.0, 0.0, 0.0, 0.25, 0.0]
+    vectors[:, 2:4], vectors[:, 4:7] = 0.5, 1 / 3
+    models = {"a": [(0, vectors, (vectors[:, 2:] ** 2).sum(axis=1) + 2.0), (1, vectors[:2], np.array([2.5, 2.5]))], "b": [(2, vectors[3:], np.zeros(2))]}
+    group = rng.choice(["a", "b", "c"], n)
+    order = np.lexsort((*s, group))
+    for rows in (np.arange(n), order):
+        arrays = [pa.array(group[rows]), *[pa.array(c[rows]) for c in x], *[pa.array(c[rows]) for c in s]]
+        batch = pa.RecordBatch.from_arrays(arrays, names=["grp", "x0", "x1", "s0", "s1"])
+        found = {r[:2]: r[2:] for out in kernels.partial_sums(2, 2, size, 1e6, models)(iter([batch])) for r in zip(*[c.to_pylist() for c in out.columns])}
+        expected = {}
+        for name, mine in models.items():
+            at = np.flatnonzero(group == name)
+            for number, v, bias in mine:
+                label, _ = kernels.nearest([c[at] / 1e6 for c in x], [c[at] for c in s], v, bias)
+                for j in np.unique(label):
+                    here = at[label == j]
+                    slots = sum(np.bincount(c[here], minlength=size) for c in s)
+                    expected[number, int(j)] = (len(here), *[int(c[here].sum()) for c in x], *slots[2:].tolist())
+        assert found == expected
+
+
+def test_staged_points_are_in_order(spark):
+    """A file's rows stand in order of group and labels, so that a pass meets many of a kind."""
+    from parapet.operators import clustering
+
+    rows = spark.range(400).selectExpr("id AS build_id", "CAST(id%7 AS DOUBLE) AS v", "CAST(id%3 AS STRING) AS f", "CAST(id%2 AS STRING) AS grp")
+    design = clustering.Design(("v",), (("f", ("0", "1", "2")),))
+    table = clustering.points(rows, design, "ordered-points", clustering._groups(rows, ("v",)))
+    for part in table.select("grp", "s0").rdd.glom().collect():
+        runs = [tuple(r) for r in part]
+        assert sum(a != b for a, b in zip(runs, runs[1:])) <= 6 * 8
