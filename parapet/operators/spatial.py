@@ -26,6 +26,8 @@ PERMIT_RADIUS_M = 30.0
 # Side of a cell of boxes in degrees (a power of two); rows of a cell that is not split further, the parts of a side, and how often.
 BOX_CELL = 1 / 1024
 CROWD, SPLIT, DEEPEST = 4096, 8, 4
+# Pairs of points and footprints that a task gives out.
+TASK_PAIRS = 4_000_000
 # Side of a cell of the polygon index in degrees (a power of two), and what its edges are widened by.
 LAND_CELL, HAIR = 0.0625, 1e-9
 
@@ -96,15 +98,29 @@ def contained(points: DataFrame, boxes: DataFrame, cell: float = BOX_CELL, crowd
     return reduce(DataFrame.unionByName, out)
 
 
-def point_in_footprint(points: DataFrame, footprints: DataFrame) -> DataFrame:
+def point_in_footprint(points: DataFrame, footprints: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(point_id, build_id, type_no) of every point inside a footprint.
 
-    Repeated positions and boxes meet once; the joins back are equi-joins.
+    Repeated positions and boxes meet once. Copies of a place make a result far larger than the tables, so its rows are
+    counted first: their number, not that of the bytes read, decides how many tasks there are, and a box with
+    more than ``task_pairs`` of them is dealt to several by its points.
     """
     edges = ["lon_min", "lon_max", "lat_min", "lat_max"]
-    hits = contained(points.select("longitude", "latitude").distinct(), footprints.select(*edges).distinct())
-    located = hits.join(points.select("point_id", "type_no", "longitude", "latitude"), ["longitude", "latitude"])
-    return located.join(footprints.select("build_id", *edges), edges).select("point_id", "build_id", "type_no")
+    points = stage(points.select("point_id", "type_no", "longitude", "latitude"), "points")
+    places = points.groupBy("longitude", "latitude").agg(F.count(F.lit(1)).alias("n_points"))
+    boxes = footprints.groupBy(*edges).agg(F.count(F.lit(1)).alias("n_boxes"))
+    # Written, so that a box keeps its number.
+    boxes = stage(boxes.withColumn("box", F.monotonically_increasing_id()), "boxes")
+    hits = stage(contained(places, boxes), "box-hits")
+    pairs = F.sum(F.col("n_points") * F.col("n_boxes"))
+    tasks = (hits.agg(pairs.alias("n")).first()[0] or 0) // task_pairs
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    sliced = stage(hits.groupBy("box").agg(F.ceil(pairs / task_pairs).cast("long").alias("slices")), "box-slices")
+    located = hits.select("longitude", "latitude", "box").join(sliced, "box").join(points, ["longitude", "latitude"])
+    located = located.select("box", F.pmod(F.xxhash64("point_id"), F.col("slices")).alias("slice"), "point_id", "type_no").repartition(parts, "box", "slice")
+    owners = footprints.select("build_id", *edges).join(boxes.join(sliced, "box"), edges)
+    owners = owners.select("box", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "build_id").repartition(parts, "box", "slice")
+    return located.join(owners, ["box", "slice"]).select("point_id", "build_id", "type_no")
 
 
 def footprint_votes(points: DataFrame, footprints: DataFrame) -> DataFrame:

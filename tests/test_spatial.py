@@ -233,3 +233,21 @@ def test_crowded_cells_are_split(spark):
     for crowd in (10, 100, 10_000):
         got = sorted(((r.longitude, r.latitude), r.box) for r in S.contained(p, b, crowd=crowd).collect())
         assert got == want and len(want) > 5000, crowd
+
+
+def test_pairs_of_crowded_places_are_dealt(spark):
+    """The number of pairs, not of rows read, decides how many tasks share them; borders, copies and signed zeros count."""
+    from pyspark.sql import functions as F
+
+    from parapet.operators import spatial
+
+    n = 300
+    points = spark.range(n).select(F.col("id").alias("point_id"), F.lit(1).alias("type_no"), F.expr("CASE WHEN id%2=0 THEN 0.0D ELSE -0.0D END").alias("longitude"), F.lit(5.0).alias("latitude"))
+    points = points.unionByName(spark.createDataFrame([(n, 2, 9.0, 5.0), (n + 1, 3, None, 5.0), (n + 2, 3, 9.0, 50.0)], "point_id long, type_no int, longitude double, latitude double"))
+    boxes = spark.range(n).select(F.col("id").alias("build_id"), F.expr("CASE WHEN id%3=0 THEN 0.0D ELSE -0.0D END").alias("lon_min"), F.lit(0.001).alias("lon_max"), F.lit(4.9995).alias("lat_min"), F.lit(5.0).alias("lat_max"))
+    boxes = boxes.unionByName(spark.createDataFrame([(n, 9.0, 9.0, 5.0, 5.0), (None, 9.0, 9.0, 5.0, 5.0), (7, None, 9.0, 5.0, 5.0)], "build_id long, lon_min double, lon_max double, lat_min double, lat_max double"))
+    found = spatial.point_in_footprint(points, boxes, task_pairs=2_000)
+    each = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(each) == n * n + 2 and max(each) < n * n / 4
+    assert found.where("point_id < 300 AND build_id < 300").distinct().count() == n * n
+    assert sorted(((r.point_id, r.build_id) for r in found.where("point_id >= 300").collect()), key=str) == [(n, n), (n, None)]
