@@ -27,16 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parapet.llm.state import kept
+from parapet.llm.state import kept, settled
 
 SAMPLE_DOCS, TOP_GRAMS, CONTRAST = 2_000, 20_000, 4.0
 ORDERS, HASHES, SLOT_BITS = (2, 4), 2, 18
-#: Characters that are worked on at once.
-PIECE = 1 << 20
+#: Characters in which a long text is read, and codes whose n-grams are looked up at once: a worker holds some 60 bytes for each of those.
+PIECE, GATHERED = 1 << 20, 1 << 17
 UNKNOWN = "und"
 _OUT = "lang_pred string, score double"
 
@@ -66,7 +67,7 @@ def grams(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, index of the text per code) of about PIECE characters; a longer text comes in several pieces.
+    """(codes, index of the text per code) of some GATHERED codes; a text longer than PIECE comes in several pieces.
 
     Between two texts stand two zeros, so that no n-gram of letters reaches across them.
     """
@@ -84,7 +85,7 @@ def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held.append(codes)
             owners.append(i)
             size += len(codes)
-            if size >= PIECE:
+            if size >= GATHERED:
                 yield flush()
                 held, owners, size = [], [], 0
     if held:
@@ -92,11 +93,13 @@ def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def all_grams(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(value, owner) of the n-grams inside one text, order by order."""
+    """(value, owner) of the n-grams inside one text, order by order, GATHERED at a time."""
     for order in ORDERS:
-        values = grams(codes, order)
-        inside = owner[:len(values)] == owner[order - 1:] if len(values) else np.empty(0, bool)
-        yield values[inside], owner[:len(values)][inside]
+        for at in range(0, max(1, len(codes) - order + 1), GATHERED):
+            values = grams(codes[at:at + GATHERED + order - 1], order)
+            begin, end = owner[at:at + len(values)], owner[at + order - 1:at + order - 1 + len(values)]
+            inside = begin == end
+            yield values[inside], begin[inside]
 
 
 @dataclass(frozen=True)
@@ -133,15 +136,17 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     n, size = len(texts), len(model.languages)
     hits, total, lettered = np.zeros((size, n)), np.zeros(n), np.zeros(n, bool)
     for codes, owner in pieces(texts):
-        lettered |= np.bincount(owner, codes != 0, n) > 0
+        here, m = slice(owner[0], owner[-1] + 1), owner[-1] + 1 - owner[0]
+        owner = owner - owner[0]
+        lettered[here] |= np.bincount(owner, codes != 0, m) > 0
         for values, of in all_grams(codes, owner):
-            total += np.bincount(of, minlength=n)
+            total[here] += np.bincount(of, minlength=m)
             mask = None
             for at in _slots(values):
                 mask = model.slots[at] if mask is None else mask & model.slots[at]
             for i in range(size):
                 bit = mask.dtype.type(1 << (i % 64))
-                hits[i] += np.bincount(of[(mask[:, i // 64] & bit) != 0], minlength=n)
+                hits[i, here] += np.bincount(of[(mask[:, i // 64] & bit) != 0], minlength=m)
     if not size:
         return [UNKNOWN] * n, [0.0] * n
     rate = model.false_rate[:, None]
@@ -158,6 +163,7 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+@settled
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, part in batch.groupby("lang", sort=False):
@@ -167,6 +173,19 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": values.view(np.int64), "n": n})
 
 
+def _sliced(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Consecutive texts of about GATHERED characters, so that few of a batch are Python's at once."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text.as_py())
+        size += len(part[-1] or "")
+        if size >= GATHERED:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Filters from the labelled documents that are not held out."""
     rows = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -191,11 +210,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
     # Plain parts: workers need not know this package to read them.
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.common, model.slots, model.false_rate))
 
-    @F.pandas_udf(_OUT)
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_OUT)
+    @settled
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         learned = Model(*shared.value)
         for batch in batches:
-            names, scores = predict(learned, batch.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores = [], []
+            for part in _sliced(batch):
+                found = predict(learned, part)
+                names += found[0]
+                scores += found[1]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return told(F.col(text))

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from parapet.llm import shingles
 from parapet.llm.graph import components
+from parapet.llm.state import settled
 from parapet.staging import stage
 
 SKETCH, RUN, BLOCK = 64, 3, 500
@@ -65,15 +66,18 @@ def run_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    @settled
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            sets = [s for part in shingles.sliced(texts) for s in shingles.shingle_sets(part, words)]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "mark": batch["mark"], "n": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "keys": [run_keys(s).view(np.int64) for s in sets],
-            })
+            at = 0
+            for part in shingles.sliced(b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch["text"]):
+                rows, sets = batch.iloc[at:at + len(part)], shingles.shingle_sets(part, words)
+                at += len(part)
+                yield pd.DataFrame({
+                    "doc_id": rows["doc_id"], "mark": rows["mark"], "n": [len(s) for s in sets],
+                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    "keys": [run_keys(s).view(np.int64) for s in sets],
+                })
 
     return run
 
@@ -154,6 +158,7 @@ def _compare(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
             found = stars(nodes, near)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
+    @settled
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         last = None

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parapet.llm.state import kept
+from parapet.llm.state import kept, settled
 
 CAPACITY, END_ID = 4096, 2
 #: Remainders that are held before windows are filled, and words whose ids a worker keeps.
@@ -259,6 +259,7 @@ def pack(
         schema = schema.add("ids", T.ArrayType(T.LongType()))
     closing = int(end_id).to_bytes(4, "little")
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept(("tokenizer", vocabulary), lambda: WordTokenizer(vocabulary))
         packer, first, kind = Packer(capacity, pool), TaskContext.get().partitionId() << 40, None

@@ -4,7 +4,8 @@ import random
 import tracemalloc
 
 import numpy as np
-from parapet.llm import packing, shingles, substrings
+import pandas as pd
+from parapet.llm import language, near_dup, packing, shingles, substrings
 from parapet.llm.queries import vocabulary
 
 
@@ -73,3 +74,21 @@ def test_factors_of_powers():
     starts = np.arange(0, half - 900, 701)
     assert (substrings._hashes(sums, power, starts, 900) == substrings._hashes(sums, power, starts + half, 900)).all()
     assert len(np.unique(substrings._hashes(sums, power, starts, 900))) == len(starts)
+
+
+def test_language_looks_up_few_codes_at_once():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefgh "), 1000)) * 2 for _ in range(1000)]
+    model = language.build({"a": np.arange(9, dtype=np.uint64), "b": np.arange(5, 12, dtype=np.uint64)}, "a")
+    language.predict(model, texts[:1])  # tables that a worker keeps
+    assert peak(lambda: language.predict(model, texts)) < 25
+    assert peak(lambda: language.predict(model, ["".join(texts[:400])])) < 40
+
+
+def test_sets_leave_a_task_in_parts():
+    texts = ["a few words that repeat " * 40 + str(i) for i in range(8000)]
+    batch = pd.DataFrame({"doc_id": range(len(texts)), "mark": 0, "text": texts})
+    next(near_dup._sets(5)(iter([batch.head(1)])))  # tables that a worker keeps
+    rows = []
+    assert peak(lambda: rows.extend(len(part) for part in near_dup._sets(5)(iter([batch])))) < 15
+    assert sum(rows) == len(texts) and len(rows) > 10
