@@ -91,3 +91,32 @@ def test_pieces():
         assert all("".join(counter.pieces(t, size)) == t for t in texts)
         assert counter.counts(texts, size) == direct(texts)
     assert len(list(counter.pieces(texts[0], 7))) > 100
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_kept_words(monkeypatch, most):
+    """Counts are those of whole texts, whatever white space there is and however few words are kept."""
+    monkeypatch.setattr(token_cache, "WORDS", most)
+    counter = token_cache.TokenCounter(BYTES)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\u180e", "\ufeff", "\u00e9"]
+    texts = [form.format(c) for c in blanks for form in ("a{0}b", "!{0}{0} {0}b.", "it's {0} we{0}'ll\n{0}x", "{0}  {0}\t", "a{0}<|endoftext|> {0}<|endoftext|>\n")]
+    texts += ["", " ", "x" * 500 + " y", "<|endoftext|> a <|endof text|>", *[r[1] or "" for r in ODD]]
+    for size in (5, token_cache.PIECE):
+        assert counter.counts(texts, size) == counter.counts(texts, size) == direct(texts)
+    assert len(counter.words) <= most
+    assert all(len(w) <= token_cache.WORD for w in counter.words)
+
+
+def test_known_words_are_not_encoded_again(monkeypatch):
+    counter = token_cache.TokenCounter(BYTES)
+    given, encode = [], counter.encode
+    monkeypatch.setattr(counter, "encode", lambda texts: given.extend(texts) or encode(texts))
+    texts = ["the same few words, of it\n" * k for k in range(1, 60)]
+    assert counter.counts(texts) == direct(texts)
+    assert sum(map(len, given)) < len(texts[-1])
+    # A full worker encodes what it doesn't know as one string.
+    monkeypatch.setattr(token_cache, "WORDS", len(counter.words))
+    given.clear()
+    text = "new ones beside\nthe same few words, of it"
+    assert counter.counts([text]) == direct([text])
+    assert given == ["new ones beside"]
