@@ -50,7 +50,8 @@ _CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 #: Words whose counts a worker keeps at most, and their most characters.
 WORDS, WORD = 1 << 17, 48
 # White space of other kinds begins no word: Python counts four controls to it that the tokenizer's rule doesn't.
-_WORDS = re.compile(r"\s*\S+(?:[^\S \t\n\r]\s*\S*)*|\s+")
+# Nothing is tried twice (++), else a long text between such characters would hold a state for each.
+_WORDS = re.compile(r"\s*+\S++(?:[^\S \t\n\r]\s*+\S*+)*+|\s+")
 _ROWS = 4096
 
 

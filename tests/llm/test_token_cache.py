@@ -98,6 +98,7 @@ def test_kept_words(monkeypatch, most):
     """Counts are those of whole texts, whatever white space there is and however few words are kept."""
     monkeypatch.setattr(token_cache, "WORDS", most)
     counter = token_cache.TokenCounter(BYTES)
+    assert all("".join(counter.known(t)[1]) == t for t in ["\u00a0a" * 100_000, "a\n" + " \n" * 100_000, "\x1c \x1c" * 100_000])
     blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\u180e", "\ufeff", "\u00e9"]
     texts = [form.format(c) for c in blanks for form in ("a{0}b", "!{0}{0} {0}b.", "it's {0} we{0}'ll\n{0}x", "{0}  {0}\t", "a{0}<|endoftext|> {0}<|endoftext|>\n")]
     texts += ["", " ", "x" * 500 + " y", "<|endoftext|> a <|endof text|>", *[r[1] or "" for r in ODD]]
